@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm.secrets_scan import scan_secrets
+from gristmill.llm.simhash import near_duplicates
 from gristmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(load(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), width=4, radius=4)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_secret_scan,)}
+    return {f.__name__: f for f in (op4_secret_scan, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
