@@ -6,24 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.llm.lz_fingerprint import lz_fingerprints
 from gristmill.llm.secrets_scan import scan_secrets
 from gristmill.llm.simhash import near_duplicates
+from gristmill.llm.warc import archive_round_trip
 from gristmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(load(spark, sf_dir, "documents"))
 
 
+def op5_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(load(spark, sf_dir, "pages"), roll_bytes=64 << 20, least_bytes=100)
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+     f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN f.first_id < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=4, radius=4)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_secret_scan, op8_simhash)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op4_secret_scan, op5_warc_writer, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_writer": OP5_SQL}
