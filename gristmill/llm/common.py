@@ -229,3 +229,42 @@ def in_span(key: str, cuts: list[int]) -> Column:
         return pd.Series(np.searchsorted(bounds, k.to_numpy(), side="right").astype(np.int32))
 
     return span(F.col(key))
+
+
+def uri(path: str) -> str:
+    """A path as pyarrow's file systems take it."""
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _murmur(value: int) -> int:
+    """Spark's hash of an int (32-bit Murmur 3, seed 42), signed."""
+    word = 0xFFFFFFFF
+    rotate = lambda x, r: ((x << r) | (x >> (32 - r))) & word
+    k = rotate(value * 0xCC9E2D51 & word, 15) * 0x1B873593 & word
+    h = (rotate(42 ^ k, 13) * 5 + 0xE6546B64) & word ^ 4
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & word
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & word
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@lru_cache(maxsize=8)
+def _slots(count: int) -> np.ndarray:
+    out, left, k = np.zeros(count, np.int32), set(range(count)), 0
+    while left:
+        if (at := _murmur(k) % count) in left:
+            out[at] = k
+            left.remove(at)
+        k += 1
+    return out
+
+
+def deal(df: DataFrame, count: int, span: str = "span") -> DataFrame:
+    """Rows by their ``span`` (0 to ``count`` - 1), each to a partition of its own: a hash of the number itself would put several in one."""
+    slots = _slots(count)
+
+    @F.pandas_udf("int")
+    def slot(k: pd.Series) -> pd.Series:
+        return pd.Series(slots[k.to_numpy()])
+
+    return df.repartition(count, slot(F.col(span)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import BASE, BASE_INVERSE, U64, balanced_cuts, id_and_text, in_span, mix, partitions, powers, table
+from gristmill.llm.common import BASE, BASE_INVERSE, U64, balanced_cuts, deal, id_and_text, in_span, mix, partitions, powers, table
 
 BINS = 128
 
@@ -148,6 +148,6 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     after = [(tops[below], above) for below, above in zip(spans, spans[1:] + spans[:1], strict=True)]  # the last row of `above` is followed by the top of `below`
     halo = F.broadcast(spark.createDataFrame(after, "k long, span int"))  # as many rows as spans
     first = rows.drop("span").join(halo, "k").withColumn("halo", F.lit(True))
-    dealt = rows.withColumn("halo", F.lit(False)).unionByName(first).repartition(count, "span")
+    dealt = deal(rows.withColumn("halo", F.lit(False)).unionByName(first), count)
     ordered = dealt.sortWithinPartitions(F.desc("span"), F.asc("halo"), F.desc("k"), F.desc("text")).select("span", "halo", "doc_id", "text")
     return ordered.mapInArrow(_compare, DDL)

@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from gristmill.llm.lz_fingerprint import lz_fingerprints
 from gristmill.llm.secrets_scan import scan_secrets
 from gristmill.llm.simhash import near_duplicates
+from gristmill.llm.token_files import token_file_round_trip
 from gristmill.llm.warc import archive_round_trip
 from gristmill.session import load
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,6 +26,10 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_round_trip(load(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(load(spark, sf_dir, "documents"))
 
@@ -42,7 +53,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op4_secret_scan, op5_warc_writer, op8_simhash)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Workspace, balanced_cuts, in_span, named, partitions, table
+from gristmill.llm.common import Workspace, balanced_cuts, deal, in_span, named, partitions, table, uri
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     cuts = balanced_cuts(rows, "k", F.octet_length("html") + 512, partitions(spark))
     both = rows.withColumn("mark", F.lit(None).cast("long")).unionByName(marks, allowMissingColumns=True).withColumn("shard", in_span("k", cuts))
     order = [F.asc("shard"), F.asc("k"), F.asc("digest"), F.asc_nulls_last("mark"), F.asc("url")]
-    dealt = both.repartition(partitions(spark), "shard").sortWithinPartitions(*order).select("shard", "k", "digest", "mark", "page_id", "url", "html", "large")
+    dealt = deal(both, partitions(spark), "shard").sortWithinPartitions(*order).select("shard", "k", "digest", "mark", "page_id", "url", "html", "large")
     files = ws.write(dealt.mapInArrow(_write(folder, roll_bytes, date), "name string, temporary string, records long, bytes long, sha256 string"), "files")
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
@@ -230,7 +230,6 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
     """Writes the pages to archives in the shared folder and reads them back."""
-    folder = Workspace(pages.sparkSession, "warc-archives").path("archives")
-    folder = folder if "://" in folder or folder.startswith("/") else folder.replace("file:/", "file:///", 1)
+    folder = uri(Workspace(pages.sparkSession, "warc-archives").path("archives"))
     write_archives(pages, folder, **options)
     return read_archives(pages.sparkSession, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
