@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm.lz_fingerprint import lz_fingerprints
+from gristmill.llm.quality import score
 from gristmill.llm.secrets_scan import scan_secrets
 from gristmill.llm.simhash import near_duplicates
 from gristmill.llm.token_files import token_file_round_trip
@@ -48,12 +49,16 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
 """
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), host_col="source", path_col="lang", max_labelled=20_000)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=4, radius=4)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op8_simhash)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op7_quality_classifier, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
