@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm.lz_fingerprint import lz_fingerprints
+from gristmill.llm.packing import pack
 from gristmill.llm.quality import score
 from gristmill.llm.secrets_scan import scan_secrets
 from gristmill.llm.simhash import near_duplicates
@@ -57,8 +58,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"), tokenizer_path(), capacities=(512, 1024, 2048, 4096))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op7_quality_classifier, op8_simhash)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op7_quality_classifier, op8_simhash, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
