@@ -20,7 +20,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that a kernel handles at a time; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -105,19 +105,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U64)
-    if n > 1:
-        with np.errstate(over="ignore"):
-            out[1:] = base
-            np.multiply.accumulate(out, out=out)
-    return out
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64, kept by powers of two so that calls share them."""
-    return _powers(base, 1 << max(16, (n - 1).bit_length() if n > 1 else 0))[:n]
+    """``base**0 .. base**(n-1)`` modulo 2**64; the longest table of a base is kept."""
+    if n > len(_POWERS.get(base, ())):
+        out = np.full(1 << max(16, (n - 1).bit_length()), base, U64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -131,6 +128,12 @@ def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes of words without case and punctuation: A-Z lower-cased, other letters, digits and non-ASCII bytes as they are, all else a space.
+PLAIN = np.full(256, 0x20, np.uint8)
+PLAIN[0x80:] = np.arange(0x80, 0x100)
+PLAIN[0x30:0x3A] = np.arange(0x30, 0x3A)
+PLAIN[0x61:0x7B] = PLAIN[0x41:0x5B] = np.arange(0x61, 0x7B)
+
 
 class Text:
     """Documents of one chunk: ``data`` their UTF-8 bytes, ``offsets`` where each begins (and the last ends)."""

@@ -17,8 +17,10 @@ import pyarrow as pa
 
 from gristmill.llm.common import U64, Text, chunks, mix, spans_hash
 
-#: Pieces that a worker keeps before it starts anew, and slots of its table: these bound its memory (about 100 MB).
-KEPT, SLOTS = 2_000_000, 1 << 22
+#: Pieces that a worker keeps before it starts anew, and slots of its table: these bound its memory (about 70 MB).
+KEPT, SLOTS = 1_200_000, 1 << 22
+#: Pieces that go to the library in one call, whose result is much larger than the ids.
+AT_ONCE = 10_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
@@ -120,20 +122,22 @@ class Encoder:
         self.n, self.used = n, m
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        return [x.ids for k in range(0, len(texts), AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
         """Encodes pieces: those of a space and a word in one call, as each then begins with the only space; the others one by one."""
         odd = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_GAP[data] | _LONG[data], out=odd[1:])
         plain = (data[start] == 0x20) & (odd[end] - odd[start] == 1) & (end - start > 1)
-        if plain.any():
-            joined = data[ragged(start[plain], end[plain] - start[plain])].tobytes().decode("utf-8", "surrogatepass")
+        some = np.flatnonzero(plain)
+        for k in range(0, len(some), AT_ONCE):
+            part = some[k : k + AT_ONCE]
+            joined = data[ragged(start[part], end[part] - start[part])].tobytes().decode("utf-8", "surrogatepass")
             ids = np.array(self._encode([joined])[0], self.dtype)
             opens = np.flatnonzero(self.spaced[ids])
-            if len(opens) != plain.sum():
+            if len(opens) != len(part):
                 raise ValueError("the tokenizer is not a byte-level BPE with the usual pattern")
-            self._add(first[plain], second[plain], ids, np.diff(np.r_[opens, len(ids)]))
+            self._add(first[part], second[part], ids, np.diff(np.r_[opens, len(ids)]))
         rest = ~plain
         if rest.any():
             found = self._encode([data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)])
