@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import U64, Text, Workspace, chunks, fresh, mix, named, spans_hash
+from gristmill.llm.common import PLAIN, U64, Text, Workspace, chunks, fresh, mix, named, spans_hash
 
 BUCKETS = 1 << 20
 MILLION = 1_000_000
@@ -35,12 +35,6 @@ _CLASS[ord("0") : ord("9") + 1] = 3
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 4
 _CLASS[[ord(c) for c in ".,;:?'\"()-"]] = 5
 _CLASS[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = 6
-#: Lower-cased letters and digits stay, all else separates words.
-_PLAIN = np.full(256, 0x20, np.uint8)
-_PLAIN[0x80:] = np.arange(0x80, 0x100)
-for _a, _b in (("a", "z"), ("0", "9")):
-    _PLAIN[ord(_a) : ord(_b) + 1] = np.arange(ord(_a), ord(_b) + 1)
-_PLAIN[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 DENSE = 16
 
 
@@ -54,9 +48,9 @@ def features(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total = np.zeros(len(text.data) + 1, np.int64)
         np.cumsum(kinds == k, out=total[1:])
         shares.append(np.diff(total[text.offsets]) / size)
-    start, end, first = text.words(_PLAIN[text.data])
+    start, end, first = text.words(PLAIN[text.data])
     doc = np.repeat(np.arange(n), np.diff(first))
-    hashes = mix(spans_hash(text.data.astype(U64) * U64(0) + _PLAIN[text.data] + U64(1), start, end))
+    hashes = mix(spans_hash(PLAIN[text.data].astype(U64) + U64(1), start, end))
     key = (doc.astype(U64) << U64(44)) | (hashes >> U64(20))
     key = np.unique(key)
     own = (key >> U64(44)).astype(np.int64)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.llm.decontaminate import find_leaks
 from gristmill.llm.lz_fingerprint import lz_fingerprints
 from gristmill.llm.packing import pack
 from gristmill.llm.quality import score
@@ -50,6 +51,10 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=20, similarity=0.8, least_words=5)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), host_col="source", path_col="lang", max_labelled=20_000)
 
@@ -63,7 +68,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op7_quality_classifier, op8_simhash, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op6_decontamination, op7_quality_classifier, op8_simhash, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
