@@ -12,6 +12,7 @@ from gristmill.llm.packing import pack
 from gristmill.llm.quality import score
 from gristmill.llm.secrets_scan import scan_secrets
 from gristmill.llm.simhash import near_duplicates
+from gristmill.llm.substring import substring_report
 from gristmill.llm.token_files import token_file_round_trip
 from gristmill.llm.warc import archive_round_trip
 from gristmill.session import load
@@ -67,9 +68,28 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), tokenizer_path(), capacities=(512, 1024, 2048, 4096))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(load(spark, sf_dir, "documents"), width=50)
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     e AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s, w FROM d WHERE len(w) >= 50),
+     h AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS k FROM e),
+     m AS (SELECT k, min(doc_id) AS low FROM h GROUP BY k HAVING min(doc_id) < max(doc_id)),
+     g AS (SELECT doc_id, s FROM h JOIN m USING (k) WHERE low < doc_id),
+     c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM g),
+     r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
+              ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '') END) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op6_decontamination, op7_quality_classifier, op8_simhash, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op6_decontamination, op7_quality_classifier, op8_simhash, op9_best_fit_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_writer": OP5_SQL}
+    return {"op5_warc_writer": OP5_SQL, "op10_substring_dedup": OP10_SQL}
