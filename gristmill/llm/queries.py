@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm.decontaminate import find_leaks
+from gristmill.llm.line_dedup import similar_lines
 from gristmill.llm.lz_fingerprint import lz_fingerprints
 from gristmill.llm.packing import pack
 from gristmill.llm.quality import score
@@ -30,6 +31,10 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_lines(load(spark, sf_dir, "documents"), similarity=0.8)
+
+
 def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(load(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
@@ -88,7 +93,7 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op6_decontamination, op7_quality_classifier, op8_simhash, op9_best_fit_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_line_dedup, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op6_decontamination, op7_quality_classifier, op8_simhash, op9_best_fit_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
