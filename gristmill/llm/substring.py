@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import U64, Text, Workspace, chunks, fresh, id_and_text, mix, named, spans_hash, table
+from gristmill.llm.common import U64, Text, Workspace, chunks, fresh, id_and_text, mix, named, spans_hash, table, word_hash
 
 #: Words of a minimizer.
 SEED = 12
@@ -44,7 +44,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 def stretches(text: Text, width: int) -> tuple[np.ndarray, ...]:
     """(document, minimizer, contents, first word, edges) of all stretches, and the words' hashes and documents' first words."""
     start, end, first = text.words()
-    words = mix(spans_hash(text.data.astype(U64) + U64(1), start, end))
+    words = word_hash(text.data, start, end)
     n = len(words)
     edges = n - width + 1
     if edges <= 0:
@@ -100,7 +100,7 @@ def _expand(width: int):
             ids, versions, spans = batch.column(0), batch.column(1), batch.column(3)
             for text in chunks(batch.column(2)):
                 start, end, first = text.words()
-                words = mix(spans_hash(text.data.astype(U64) + U64(1), start, end))
+                words = word_hash(text.data, start, end)
                 own = spans.slice(text.first, len(text))
                 row = np.repeat(np.arange(len(text)), own.value_lengths().to_numpy())
                 at, n, m = (own.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
@@ -138,24 +138,36 @@ def _cut(width: int, digest: bool):
 
 
 def _repeats(rows: DataFrame, width: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Texts with repeated edges (doc_id, version, text), and their spans (doc_id, version, at, n)."""
+    """Texts with repeated edges (doc_id, version, text), and their spans (doc_id, version, at, n).
+
+    All sides of the joins grow with the corpus, so they are merged at every size; hot keys are split by their skew.
+    """
     all_ = ws.write(rows.where("doc_id is not null").select("doc_id", "version", "text").mapInArrow(_stretches(width), STRETCH_DDL), "stretches")
     buckets = all_.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m")
-    shared = ws.write(all_.join(ws.write(buckets, "buckets"), "m"), "shared")  # stretches of minimizers that two documents have
+    shared = ws.write(all_.join(ws.write(buckets, "buckets").hint("merge"), "m"), "shared")  # stretches of minimizers that two documents have
     ws.drop("stretches")
+    ws.drop("buckets")
+    ws.release()
     first = F.min(F.struct("doc_id", "version", "at")).alias("first")
     paths = ws.write(shared.groupBy("m", "h", "n").agg(first), "paths")
     branching = ws.write(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "branching")
     open_ = ws.write(paths.join(branching, "m").select("first.doc_id", "first.version", "first.at", "n", "m"), "open")
-    later = shared.join(paths.select("m", "h", "n", F.col("first.doc_id").alias("source")), ["m", "h", "n"]).where("doc_id > source")
+    later = shared.join(paths.select("m", "h", "n", F.col("first.doc_id").alias("source")).hint("merge"), ["m", "h", "n"]).where("doc_id > source")
     later = ws.write(later.select("doc_id", "version", "at", "n"), "later")
     wanted = open_.select("doc_id", "version").unionByName(later.select("doc_id", "version")).distinct()
-    texts = ws.write(rows.join(ws.write(wanted, "wanted"), ["doc_id", "version"]).select("doc_id", "version", "text").dropDuplicates(["doc_id", "version"]), "texts")
+    texts = ws.write(rows.join(ws.write(wanted, "wanted").hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text").dropDuplicates(["doc_id", "version"]), "texts")
+    for name in ("shared", "paths", "branching", "wanted"):
+        ws.drop(name)
+    ws.release()
     spans = open_.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n", "m")).alias("spans"))  # no more than a document has words
     edges = ws.write(texts.join(spans, ["doc_id", "version"]).select("doc_id", "version", "text", "spans").mapInArrow(_expand(width), EDGES_DDL), "edges")
     least = ws.write(edges.groupBy("m", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m", "w", "low"), "least")
     single = edges.join(least, ["m", "w"]).where("low < doc_id").select("doc_id", "version", "at", F.lit(1).alias("n"))
-    return texts, ws.write(later.unionByName(single), "spans")
+    found = ws.write(later.unionByName(single), "spans")
+    for name in ("edges", "least", "later", "open"):
+        ws.drop(name)
+    ws.release()
+    return texts, found
 
 
 def _removals(rows: DataFrame, width: int, digest: bool, ws: Workspace) -> DataFrame:
