@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import PLAIN, U64, Text, chunks, id_and_text, mix, named, spans_hash, table
+from gristmill.llm.common import PLAIN, U64, Text, chunks, id_and_text, mix, named, table, word_hash
 
 #: Fixed masks: 1 where a seed looks.
 MASKS = ("1111", "11011", "10111", "11101")
@@ -33,7 +33,7 @@ def word_hashes(text: Text) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all documents, and for each document its first word's index."""
     plain = PLAIN[text.data]
     start, end, first = text.words(plain)
-    return mix(spans_hash(plain.astype(U64) + U64(1), start, end)), first
+    return word_hash(plain, start, end), first
 
 
 def seeds(words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from gristmill.llm.common import U64, Text, chunks, mix, spans_hash
+from gristmill.llm.common import U64, Text, chunks, word_hash
 
 #: Pieces that a worker keeps before it starts anew, and slots of its table: these bound its memory (about 70 MB).
 KEPT, SLOTS = 1_200_000, 1 << 22
@@ -146,9 +146,7 @@ class Encoder:
     def chunk(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a chunk, one after the other, and how many each has."""
         start, end = pieces(text)
-        codes = text.data.astype(U64) + U64(1)
-        first = mix(spans_hash(codes, start, end))
-        second = spans_hash(mix(codes), start, end)
+        first, second = (word_hash(text.data, start, end, seed) for seed in range(2))
         entry = self._find(first)
         if (new := np.flatnonzero(entry < 0)).size:
             if self.n + len(new) > KEPT:
