@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gristmill.llm.common import PLAIN, U64, Text, Workspace, chunks, fresh, mix, named, spans_hash
+from gristmill.llm.common import PLAIN, U64, Text, Workspace, chunks, fresh, named, word_hash
 
 BUCKETS = 1 << 20
 MILLION = 1_000_000
@@ -48,9 +49,10 @@ def features(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total = np.zeros(len(text.data) + 1, np.int64)
         np.cumsum(kinds == k, out=total[1:])
         shares.append(np.diff(total[text.offsets]) / size)
-    start, end, first = text.words(PLAIN[text.data])
+    plain = PLAIN[text.data]
+    start, end, first = text.words(plain)
     doc = np.repeat(np.arange(n), np.diff(first))
-    hashes = mix(spans_hash(PLAIN[text.data].astype(U64) + U64(1), start, end))
+    hashes = word_hash(plain, start, end)
     key = (doc.astype(U64) << U64(44)) | (hashes >> U64(20))
     key = np.unique(key)
     own = (key >> U64(44)).astype(np.int64)
@@ -89,7 +91,7 @@ class Model:
 NEUTRAL = Model(np.zeros(DENSE), np.ones(DENSE), np.zeros(DENSE), np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0)
 
 
-def fit(dense: np.ndarray, own: np.ndarray, bucket: np.ndarray, good: np.ndarray, most: int = 400, ridge: float = 1.0) -> Model:
+def fit(dense: np.ndarray, own: np.ndarray, bucket: np.ndarray, good: np.ndarray, most: int = 256, ridge: float = 1.0) -> Model:
     """Logistic regression by Newton steps; words are those whose document shares differ most surely between the classes."""
     n, n_good = len(good), int(good.sum())
     if not 0 < n_good < n:
@@ -103,7 +105,7 @@ def fit(dense: np.ndarray, own: np.ndarray, bucket: np.ndarray, good: np.ndarray
     chosen = np.sort(np.argsort(-sure, kind="stable")[:most])
     chosen = chosen[sure[chosen] > 5]
     mean, scale = dense.mean(0), dense.std(0) + 1e-6
-    x = np.zeros((n, DENSE + len(chosen) + 1))
+    x = np.zeros((n, DENSE + len(chosen) + 1), np.float32)
     x[:, :DENSE], x[:, -1] = (dense - mean) / scale, 1
     if len(chosen):
         at = np.minimum(np.searchsorted(chosen, bucket), len(chosen) - 1)
@@ -112,8 +114,13 @@ def fit(dense: np.ndarray, own: np.ndarray, bucket: np.ndarray, good: np.ndarray
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (good - p) - penalty * w)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for a in range(0, n, 2048):  # in parts, as the driver has little memory
+            part = x[a : a + 2048].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (good[a : a + 2048] - p)
+            curve += (part * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ part
+        step = np.linalg.solve(curve, slope)
         size = np.abs(step).max()
         w = w + step * min(1.0, 5 / max(size, 1e-12))
         if size < 1e-6:
@@ -147,8 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, id_col
     if not found:
         return NEUTRAL
     buckets = [np.frombuffer(r["buckets"], np.int32) for r in found]
-    own = np.repeat(np.arange(len(found)), list(map(len, buckets)))
-    return fit(np.stack([np.frombuffer(r["dense"]) for r in found]), own, np.concatenate(buckets).astype(np.int64), np.array([r["good"] == 1 for r in found]))
+    own = np.repeat(np.arange(len(found), dtype=np.int32), list(map(len, buckets)))
+    dense, good_ = np.stack([np.frombuffer(r["dense"]) for r in found]), np.array([r["good"] == 1 for r in found])
+    del found
+    return fit(dense, own, np.concatenate(buckets), good_)
 
 
 def _moments(groups: DataFrame, mean: Column, n: str, s: str, shift: int) -> float:
@@ -173,16 +182,23 @@ def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col
     ws = ws or Workspace(docs.sparkSession, "quality")
     model = train(docs, labels, max_labelled, id_col, text_col)
 
-    @F.pandas_udf("double")
-    def evidence(column):
-        import pandas as pd
-
-        values = [model.evidence(text) for text in chunks(pa.Array.from_pandas(column, type=pa.large_string()))]
-        return pd.Series(np.concatenate(values) if values else np.zeros(0))
-
-    host, path, ev, p = (fresh(docs, f"quality_{x}") for x in ("host", "path", "evidence", "p"))
-    extra = {host: named(host_col).cast("string"), path: named(path_col).cast("string"), ev: evidence(F.coalesce(named(text_col).cast("string"), F.lit("")))}
-    rows = docs.withColumns(extra) if keep_columns else docs.select(named(id_col).cast("long").alias("doc_id"), *(v.alias(k) for k, v in extra.items()))
+    host, path, ev, p, body = (fresh(docs, f"quality_{x}") for x in ("host", "path", "evidence", "p", "text"))
+    kept = [named(c) for c in docs.columns] if keep_columns else [named(id_col).cast("long").alias("doc_id")]
+    extra = [named(host_col).cast("string").alias(host), named(path_col).cast("string").alias(path)]
+    where = [c.lower() for c in docs.columns].index(text_col.lower())
+    plain = keep_columns and dict(docs.dtypes)[docs.columns[where]] == "string"  # the column itself is scored, not a copy
+    rows = docs.select(*kept, *extra, *([] if plain else [F.coalesce(named(text_col).cast("string"), F.lit("")).alias(body)]))
+    at = where if plain else len(rows.columns) - 1
+    schema = T.StructType([*rows.schema.fields[: len(rows.columns) - (not plain)], T.StructField(ev, T.DoubleType())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in chunks(batch.column(at)):
+                own = batch.slice(text.first, len(text))
+                columns = [own.column(k) for k in range(len(schema.fields) - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(model.evidence(text))], names=schema.names)
+
+    rows = rows.mapInArrow(judge, schema)
     rows = rows.withColumn(p, F.round((1 / (1 + F.exp(-(F.col(ev) + F.lit(model.prior))))) * MILLION).cast("long"))
     rows = ws.write(rows, "rows")
     paths = ws.write(rows.groupBy(F.col(host).alias("g_host"), F.col(path).alias("g_path")).agg(F.count("*").alias("path_n"), F.sum(p).alias("path_s")), "paths")
