@@ -43,14 +43,22 @@ def _delete(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows go to Python in batches of so many bytes; the default takes several times that of memory outside the heap where texts are long.
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage; a lost executor loses none of them.
 
+    Where the session leaves the size of Arrow batches at its default, it is set to 8 MB.
+
     ``drop`` deletes a table once a later one has been written from it; what is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if spark.conf.get(ARROW_BYTES) == ARROW_DEFAULT:
+            spark.conf.set(ARROW_BYTES, "8m")
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
