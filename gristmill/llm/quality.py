@@ -101,9 +101,9 @@ def fit(dense: np.ndarray, own: np.ndarray, bucket: np.ndarray, good: np.ndarray
     share = (in_good + in_bad) / n
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_good + 1 / (n - n_good)))
     sure = np.abs(in_good / n_good - in_bad / (n - n_good)) / spread
-    sure[in_good + in_bad < 5] = 0
+    sure[in_good + in_bad < 4] = 0
     chosen = np.sort(np.argsort(-sure, kind="stable")[:most])
-    chosen = chosen[sure[chosen] > 5]
+    chosen = chosen[sure[chosen] > 4]
     mean, scale = dense.mean(0), dense.std(0) + 1e-6
     x = np.zeros((n, DENSE + len(chosen) + 1), np.float32)
     x[:, :DENSE], x[:, -1] = (dense - mean) / scale, 1
