@@ -107,7 +107,7 @@ def _skip(source, skip, budget):
 
 
 def joined(spark, sf):
-    return S.join_scores(scored(spark, sf).drop("pos", "char_len", "language_score").where("doc_id % 10 <> 3"), C.with_features(candidates(spark, sf)).drop("source"))
+    return S.join_scores(scored(spark, sf).drop("pos", "char_len", "language_score").where("doc_id % 10 <> 3"), candidates(spark, sf).drop("source"))
 
 
 def join_scores_text(spark, sf):
