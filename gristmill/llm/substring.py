@@ -6,8 +6,8 @@ nonbranching stretch of a document, which is kept as one row: its contents' hash
 Equal stretches compact into one path with the smallest document that has it.
 
 * A bucket of one path has no branch: all edges of it occur exactly where the path does.
-* In a bucket of several paths they may share some edges. Each path is expanded once, at its first source coordinates, to the hashes of
-  its edges, and joins on those tell which of them start in a smaller document.
+* In a bucket of several paths they may share some edges. Each path is expanded at all its occurrences in its first document, in every row
+  of that id, to the hashes of its edges, and joins on those tell which of them start in a smaller document.
 * A document that isn't the first of a path repeats all of it. Spans of repeated edges meet at their coordinates, and the words go.
 
 Paths are told apart by two 64-bit hashes and their length, edges by two 64-bit hashes. Words ``[^\\x20\\x09-\\x0D]+`` are unchanged. Null
@@ -148,23 +148,23 @@ def _repeats(rows: DataFrame, width: int, ws: Workspace) -> tuple[DataFrame, Dat
     ws.drop("stretches")
     ws.drop("buckets")
     ws.release()
-    first = F.min(F.struct("doc_id", "version", "at")).alias("first")
-    paths = ws.write(shared.groupBy("m", "h", "n").agg(first), "paths")
-    branching = ws.write(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "branching")
-    open_ = ws.write(paths.join(branching, "m").select("first.doc_id", "first.version", "first.at", "n", "m"), "open")
-    later = shared.join(paths.select("m", "h", "n", F.col("first.doc_id").alias("source")).hint("merge"), ["m", "h", "n"]).where("doc_id > source")
-    later = ws.write(later.select("doc_id", "version", "at", "n"), "later")
+    paths = ws.write(shared.groupBy("m", "h", "n").agg(F.min("doc_id").alias("source")), "paths")
+    branching = ws.write(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m", F.lit(True).alias("branches")), "branching")
+    sources = paths.join(branching, "m", "left")
+    placed = shared.join(sources.hint("merge"), ["m", "h", "n"]).where("doc_id > source or branches")  # doc_id is source or more
+    placed = ws.write(placed.select("doc_id", "version", "at", "n", "m", (F.col("doc_id") == F.col("source")).alias("own")), "placed")
+    open_, later = placed.where("own").drop("own"), placed.where("not own").select("doc_id", "version", "at", "n")
     wanted = open_.select("doc_id", "version").unionByName(later.select("doc_id", "version")).distinct()
     texts = ws.write(rows.join(ws.write(wanted, "wanted").hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text").dropDuplicates(["doc_id", "version"]), "texts")
     for name in ("shared", "paths", "branching", "wanted"):
         ws.drop(name)
     ws.release()
-    spans = open_.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n", "m")).alias("spans"))  # no more than a document has words
+    spans = open_.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n", "m")).alias("spans"))  # no more than a document has words; equal rows are one
     edges = ws.write(texts.join(spans, ["doc_id", "version"]).select("doc_id", "version", "text", "spans").mapInArrow(_expand(width), EDGES_DDL), "edges")
     least = ws.write(edges.groupBy("m", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m", "w", "low"), "least")
     single = edges.join(least, ["m", "w"]).where("low < doc_id").select("doc_id", "version", "at", F.lit(1).alias("n"))
     found = ws.write(later.unionByName(single), "spans")
-    for name in ("edges", "least", "later", "open"):
+    for name in ("edges", "least", "placed"):
         ws.drop(name)
     ws.release()
     return texts, found

@@ -91,5 +91,15 @@ def test_substrings_against_all_windows(docs, seed, width):
     assert sorted(digest(r["text"]) for r in kept.collect()) == sorted(r[3] for r in removed(rows, width))
 
 
+def test_substrings_of_blocks_that_a_document_doubles(docs):
+    rng = random.Random(5)
+    for width in (13, 50):
+        a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (3 * width, width + 7, 3 * width))
+        twice, other = " ".join((a + b + c) * 2), " ".join(a + b + c)
+        rows = [(1, " ".join(b)), (5, twice), (5, other + " x"), (5, twice), (7, other), (9, " ".join(c + b + a + b))]
+        got = substring.substring_report(docs(rows), width=width).collect()
+        assert sorted((tuple(r) for r in got), key=str) == removed(rows, width)
+
+
 def test_no_documents(docs):
     assert substring.substring_report(docs([])).count() == 0 and line_dedup.similar_lines(docs([])).count() == 0
