@@ -10,6 +10,9 @@ The lexer adds, without taking any base span away:
 * ``literal``: a literal given directly to a sensitive name (``db_pwd = "..."``, ``"client_secret": "..."``, ``export X=...``);
 * ``constant``: a literal that reaches a sensitive name by constants (``k = "..."; auth_token = k``, also ``"a" + k`` and ``${k}``).
 
+A name stands for all its definitions in the text, wherever they are, so no binding hides another. ``name: type = literal`` gives the
+literal to ``name``; to the type's place as well (it may be a name after a label), unless it is a built-in type.
+
 A null or empty text has no spans. Rows repeat as they come in; the result has one row for each row of the input, in no order.
 """
 
@@ -55,6 +58,10 @@ OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*")
 STRING = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`''')
 REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_.(\[/+=\-])")
 BARE = re.compile(r"""[^\s"'`,;#&<>(){}\[\]|]+""")
+#: What may stand between ``name:`` and ``=``: words with parameters in brackets, and unions of them.
+TYPE = r"[&*]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\n=]{0,80}\]|<[^\n=]{0,80}>)?\??"
+TYPED = re.compile(rf"({TYPE}(?:[ \t]*\|[ \t]*{TYPE}){{0,8}})[ \t]*=(?![=~>])[ \t]*")
+BUILT_IN = frozenset("str string String bytes int float bool boolean number char any Any object Object None null undefined Text AnyStr Final".split())
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -113,26 +120,34 @@ def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, int]]
     """(start, kind, end) of the literals that sensitive names get, directly or by constants."""
     if "=" not in text and ":" not in text:
         return []
-    pairs = []
+    pairs, types = [], set()
     for m in OPERATOR.finditer(text):
-        if (name := NAME_BEFORE.search(text, max(0, m.start() - 140), m.start())) and (terms := _expression(text, m.end())):
-            pairs.append((name[2], terms))
+        if name := NAME_BEFORE.search(text, max(0, m.start() - 140), m.start()):
+            terms = _expression(text, m.end())
+            if text[m.start()] == ":" and m[0].strip() == ":" and (typed := TYPED.match(text, m.end())) and (given := _expression(text, typed.end())):
+                terms = given + [t for t in terms if t[0] == "literal"]
+                types.add(typed.end(1))
+            if terms:
+                pairs.append((name[2], terms, name.end(2) in types and name[2].rpartition(".")[2] in BUILT_IN))
     constants: dict[str, list[tuple[str, str, int, int]]] = {}
-    for name, terms in pairs:
-        constants.setdefault(name, terms)  # the first definition holds
+    for name, terms, is_type in pairs:
+        if not is_type:
+            constants.setdefault(name, []).extend(terms)
+    targets: dict[float, list] = {}
+    for name, terms, _ in pairs:
+        if weight := name_weight(name):
+            targets.setdefault(weight, []).extend((t, 3, name) for t in terms)
     out = set()
-    for name, terms in pairs:
-        if not (weight := name_weight(name)):
-            continue
-        seen, todo = {name}, [(t, 3) for t in terms]
+    for weight, todo in targets.items():  # names of one weight go together, so each definition is followed once for them
+        seen = set()
         while todo:
-            (what, value, start, end), kind = todo.pop()
+            (what, value, start, end), kind, name = todo.pop()
             if what == "literal":
                 if weight * literal_strength(value) >= threshold:
                     out.add((start, kind, end))
-            elif value in constants and value not in seen:
+            elif value in constants and value not in seen and value != name:
                 seen.add(value)
-                todo += [(t, 4) for t in constants[value]]
+                todo += [(t, 4, value) for t in constants[value]]
             elif kind == 3 and value not in constants and any(c.isdigit() for c in value) and weight * literal_strength(value) >= threshold:
                 out.add((start, 3, end))  # a bare word of a configuration file
     return sorted(out)

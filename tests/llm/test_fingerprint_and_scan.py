@@ -92,3 +92,20 @@ def test_base_spans_on_random_text(docs):
 )
 def test_lexer(text, found):
     assert [KINDS[k] for _, k, _ in lexed_spans(text)] == found
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ('k = ""; k = "hV9x2LqTz81Rm"; db_pwd = k', [("constant", "hV9x2LqTz81Rm")]),
+        ('k = "hV9x2LqTz81Rm"\ndb_pwd = k\nk = "pQ7w3NsVb52Ty"\nauth_token = k', [("constant", "hV9x2LqTz81Rm"), ("constant", "pQ7w3NsVb52Ty")]),
+        ('greeting: str = "hello world"\ndb_pwd: str = "hV9x2LqTz81Rm"', [("literal", "hV9x2LqTz81Rm")]),
+        ('title: str = "hV9x2LqTz81Rm"\ndef f(db_pwd: str): pass', []),
+        ('title: str = "hV9x2LqTz81Rm"\ndb_pwd: str = title', [("constant", "hV9x2LqTz81Rm")]),
+        ('db_pwd: dict[str, str] | None = "hV9x2LqTz81Rm"', [("literal", "hV9x2LqTz81Rm")]),
+        ('INFO: db_pwd = "hV9x2LqTz81Rm"', [("literal", "hV9x2LqTz81Rm")]),
+        ("token: QUJDREVGR0hJSktM= other", [("literal", "QUJDREVGR0hJSktM=")]),
+    ],
+)
+def test_every_definition_counts(text, found):
+    assert [(KINDS[k], text[a:b]) for a, k, b in lexed_spans(text)] == found
