@@ -143,9 +143,12 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits the model on the ``max_labelled`` labelled documents whose ids hash least; what comes to the driver is bounded by that."""
+    """Fits the model on the ``max_labelled`` labelled documents whose ids hash least; what comes to the driver is bounded by that.
+
+    A label counts where its quality is known or it is toxic, which alone makes a document bad.
+    """
     good = F.min(F.when((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)), 1).otherwise(0)).alias("good")
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(good)
+    known = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(good)
     some = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "good", "text")  # at most max_labelled pairs

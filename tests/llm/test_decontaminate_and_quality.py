@@ -85,3 +85,10 @@ def test_posteriors_shrink_sparse_sites(spark):
     everything = quality.score(docs, labels.where("quality = 1")).collect()
     assert all(r["keep"] for r in everything) and len(everything) == len(rows)
     assert quality.score(docs.limit(0), labels).count() == 0 and quality.score(docs, labels.limit(0)).where("keep").count() == len(rows)
+
+
+def test_toxic_labels_of_unknown_quality_teach(spark):
+    rows = [(k, "fine words here and there" if k < 100 else "%%% $$$ ***", "host", "p") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) if k < 100 else (k, None, 1) for k in range(0, 200, 2)] + [(1, None, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"] for r in quality.score(docs, labels).where("keep").collect()} == set(range(100))
