@@ -14,6 +14,8 @@ The join orders words by rarity (counts of all words, in a sketch of fixed size;
 For a removal one similar earlier set is enough, so a set takes its first possible partners under each word, until ``SURE`` of them are as
 good as similar or there are ``TRIES``; where none of them holds and there are more, all its partners are tried in another pass. Groups of
 near copies thus give a few pairs for each line, not all pairs.
+
+``similar_lines`` and ``remove_lines`` work that way. ``line_links`` returns the whole join: no limit on partners, all pairs verified.
 """
 
 from __future__ import annotations
@@ -224,8 +226,8 @@ PAIR = pa.schema([("y", pa.int64()), ("ny", pa.int32()), ("x", pa.int64()), ("nx
 PAIR_DDL = "y long, ny int, x long, nx int, more boolean, x_doc long, x_line int, y_doc long"
 
 
-def _candidates(t: Fraction, only):
-    """Pairs of sets under each word of a slot, the earlier as x: the first ones for each later set, or all for the sets in ``only``."""
+def _candidates(t: Fraction, only, every: bool = False):
+    """Pairs of sets under each word of a slot, the earlier as x: the first ones for each later set, or all (``every``; for the sets in ``only``)."""
     width = sum(np.dtype(d).itemsize for _, d in POSTING)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -269,7 +271,7 @@ def _candidates(t: Fraction, only):
             apart = np.where(alike, np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
             fits = (np.minimum(n[x] - at[x], n[todo] - at[todo]) >= need) & (apart <= free)
             got = todo[fits]
-            if only is None:
+            if only is None and not every:
                 full = (sure[got] >= SURE) | (taken[got] >= TRIES)
                 more[got[full]] = True
                 taken[got] += 1
@@ -339,8 +341,8 @@ def _sets(bloom):
     return run
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, t: Fraction, ws: Workspace, name: str) -> DataFrame:
-    """The pairs whose sets are similar, with their similarity."""
+def _verified(rows: DataFrame, pairs: DataFrame, t: Fraction, ws: Workspace, name: str, every: bool = False) -> DataFrame:
+    """The pairs whose sets are similar, with their similarity: all (``every``), or one of each set whose likeliest partner holds."""
     spark = rows.sparkSession
     wanted = ws.write(pairs.select(F.col("y").alias("h"), F.col("y_doc").alias("doc")).unionByName(pairs.select(F.col("x").alias("h"), F.col("x_doc").alias("doc"))).distinct(), f"wanted{name}")
     bits = _gather(wanted.mapInArrow(_bloom, "body binary"), "uint8", False)
@@ -361,8 +363,10 @@ def _verified(rows: DataFrame, pairs: DataFrame, t: Fraction, ws: Workspace, nam
     def check(some: DataFrame, step: str) -> DataFrame:
         both = some.join(side("y", ["words"]).hint("merge"), keys("y")).join(side("x", ["words"]).hint("merge"), keys("x")).withColumn("common", F.size(F.array_intersect("y_words", "x_words")))
         both = both.where(F.col("common") * t.denominator >= (total - F.col("common")) * t.numerator)
-        return ws.write(both.select("y", "ny", "x_doc", "x_line", (F.col("common") / (total - F.col("common"))).alias("similarity")), f"{step}{name}")
+        return ws.write(both.select("y", "ny", *(["x"] if every else []), "x_doc", "x_line", (F.col("common") / (total - F.col("common"))).alias("similarity")), f"{step}{name}")
 
+    if every:
+        return check(close, "all")
     rest = [c for c in close.columns if c not in ("y", "ny")]
     best = close.groupBy("y", "ny").agg(F.min_by(F.struct(*rest), F.struct("apart", "x_doc", "x_line", "x")).alias("r")).select("y", "ny", "r.*")
     held = check(ws.write(best, f"best{name}"), "held")  # the likeliest partner of each set
@@ -371,13 +375,9 @@ def _verified(rows: DataFrame, pairs: DataFrame, t: Fraction, ws: Workspace, nam
     return held.unionByName(check(ws.write(others, f"others{name}"), "more"))
 
 
-def similar_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
-    """A row for each line that goes: (doc_id, line, kept_doc_id, kept_line, similarity, h), with an earlier line that it resembles.
-
-    The line it resembles is the first of its equals, or else the likeliest earlier one that verification held. ``h`` is the hash of its set.
-    """
+def _prepared(docs: DataFrame, similarity: float, id_col: str, text_col: str, ws: Workspace) -> tuple:
+    """Threshold, rows, their lines, ranks of words, and what makes the candidate pairs."""
     spark = docs.sparkSession
-    ws = ws or Workspace(spark, "line-dedup")
     t = Fraction(str(similarity))
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     lines = ws.write(rows.mapInArrow(_lines, LINE_DDL), "lines")
@@ -385,9 +385,19 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     lines = lines.where("body is null").drop("body")
     slots = 4 * partitions(spark)
 
-    def pairs(only=None) -> DataFrame:
-        return rows.mapInArrow(_postings(rank, slots, t, only), "slot int, body binary").groupBy("slot").applyInArrow(_candidates(t, only), PAIR_DDL)
+    def pairs(only=None, every=False) -> DataFrame:
+        return rows.mapInArrow(_postings(rank, slots, t, only), "slot int, body binary").groupBy("slot").applyInArrow(_candidates(t, only, every), PAIR_DDL)
+
+    return t, rows, lines, rank, pairs
+
 
+def similar_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
+    """A row for each line that goes: (doc_id, line, kept_doc_id, kept_line, similarity, h), with an earlier line that it resembles.
+
+    The line it resembles is the first of its equals, or else the likeliest earlier one that verification held. ``h`` is the hash of its set.
+    """
+    ws = ws or Workspace(docs.sparkSession, "line-dedup")
+    spark, (t, rows, lines, rank, pairs) = docs.sparkSession, _prepared(docs, similarity, id_col, text_col, ws)
     found = ws.write(pairs().groupBy("y", "ny", "x", "nx", "x_doc", "x_line", "y_doc").agg(F.max("more").alias("more")), "pairs")
     ws.release()
     verified = _verified(rows, found, t, ws, "0")
@@ -410,6 +420,27 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     return gone.select("doc_id", "line", pick(F.col("first.doc_id"), F.col("near.x_doc")).alias("kept_doc_id"), pick(F.col("first.line"), F.col("near.x_line")).alias("kept_line"), pick(F.lit(1.0), F.round("near.similarity", 6)).alias("similarity"), "h").distinct()
 
 
+def line_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The whole join: (doc_id, line, kept_doc_id, kept_line, similarity, h, kept_h).
+
+    A distinct set stands at its first line and has a row for each earlier distinct set that is similar; a later line of a set has one row,
+    of similarity 1, that names the set's first line. ``h`` and ``kept_h`` are the sets' hashes. Links are as many as there are similar
+    pairs of distinct sets, so a group of near copies has the square of its size.
+    """
+    ws = Workspace(docs.sparkSession, "line-links")
+    t, rows, lines, _, pairs = _prepared(docs, similarity, id_col, text_col, ws)
+    found = ws.write(pairs(every=True).drop("more").distinct(), "pairs")
+    ws.release()
+    linked = _verified(rows, found, t, ws, "0", every=True)
+    first = ws.write(lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line")).alias("first")), "known")
+    ws.release()
+    links = linked.join(first.hint("merge"), (F.col("y") == F.col("h")) & (F.col("ny") == F.col("n")))
+    links = links.select("first.doc_id", "first.line", F.col("x_doc").alias("kept_doc_id"), F.col("x_line").alias("kept_line"), F.round("similarity", 6).alias("similarity"), "h", F.col("x").alias("kept_h"))
+    equal = lines.join(first.hint("merge"), ["h", "n"]).where(F.struct("doc_id", "line") > F.col("first"))
+    equal = equal.select("doc_id", "line", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"), F.lit(1.0).alias("similarity"), "h", F.col("h").alias("kept_h"))
+    return links.unionByName(equal.distinct())
+
+
 def _rewrite(where: int, spans: int, drop_empty: bool, schema_width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm.decontaminate import find_leaks
-from gristmill.llm.line_dedup import similar_lines
+from gristmill.llm.line_dedup import line_links
 from gristmill.llm.lz_fingerprint import lz_fingerprints
 from gristmill.llm.packing import pack
 from gristmill.llm.quality import score
@@ -32,7 +32,7 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_lines(load(spark, sf_dir, "documents"), similarity=0.8)
+    return line_links(load(spark, sf_dir, "documents"), similarity=0.8)
 
 
 def op3_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

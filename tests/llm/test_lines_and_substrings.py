@@ -44,6 +44,24 @@ def test_lines_against_all_pairs(docs, monkeypatch, tries):
         assert (r["kept_doc_id"], r["kept_line"]) < (r["doc_id"], r["line"]) and abs(len(a & b) / len(a | b) - r["similarity"]) < 1e-6
 
 
+def test_links_are_all_pairs_of_distinct_sets(docs, monkeypatch):
+    y = [f"y{k}" for k in range(10)]
+    rows = near_lines(4) + [(60, " ".join(y[2:])), (61, " ".join(y[:2] + y[4:])), (62, " ".join(y)), (63, " ".join(y[::-1])), (None, " ".join(y)), (64, None), (65, "")]
+    rows += [(70 + k, " ".join([f"z{j}" for j in range(20)] + [f"own{k}"])) for k in range(80)]
+    monkeypatch.setattr(line_dedup, "TRIES", 1)
+    first, want = {}, []
+    for i, k, words in sorted((i, k, frozenset(line.split())) for i, t in rows if i is not None for k, line in enumerate((t or "").split("\n"))):
+        if words in first:
+            want.append((i, k, *first[words], 1.0))
+        elif words:
+            want += [(i, k, *at, round(len(words & w) / len(words | w), 6)) for w, at in first.items() if len(words & w) >= 0.8 * len(words | w) - 1e-9]
+            first[words] = (i, k)
+    got = line_dedup.line_links(docs(rows, extra=True)).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    assert {(62, 0, 60, 0, 0.8), (62, 0, 61, 0, 0.8)} <= {tuple(r)[:5] for r in got}
+    assert line_dedup.line_links(docs([])).count() == 0
+
+
 def test_lines_are_removed(docs):
     rows = [(1, "one two three\nfour five six"), (2, "one two three\nseven eight nine"), (3, "four five six"), (4, None), (5, ""), (None, "one two three"), (6, "six five four\n\n")]
     out = line_dedup.remove_lines(docs(rows, extra=True))
