@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.storage import Workspace as Workspace
+
 U64 = np.uint64
 #: Odd multiplier of the polynomial hashes modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -24,66 +21,6 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 1_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = context.getCheckpointDir()
-    if not path:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-#: Rows go to Python in batches of so many bytes; the default takes several times that of memory outside the heap where texts are long.
-ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-
-
-class Workspace:
-    """Tables written to the shared folder to cut lineage; a lost executor loses none of them.
-
-    Where the session leaves the size of Arrow batches at its default, it is set to 8 MB.
-
-    ``drop`` deletes a table once a later one has been written from it; what is left goes when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        if spark.conf.get(ARROW_BYTES) == ARROW_DEFAULT:
-            spark.conf.set(ARROW_BYTES, "8m")
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._end)
-
-    def _end(self) -> None:
-        try:
-            _delete(self.spark, self.root)
-        except Exception:  # the JVM may be gone by then
-            return
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished jobs now, as it otherwise does at its next periodic clean-up."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
-        _delete(self.spark, self.path(name))
-
-
 def named(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -220,38 +157,54 @@ def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f, c in zip(schema, columns, strict=True)], schema=schema)
 
 
+def _bin_of(starts: np.ndarray, ends: np.ndarray, widths: np.ndarray, some: int):
+    """For each key the number of its range, times ``some`` + 1, and its bin there; -1 outside of the ranges."""
+
+    @F.pandas_udf("long")
+    def run(k: pd.Series) -> pd.Series:
+        own = k.to_numpy().astype(np.int64)
+        at = np.maximum(np.searchsorted(starts, own, side="right") - 1, 0)
+        inside = (own >= starts[at]) & (own <= ends[at])
+        off = (own.view(U64) - starts.view(U64)[at]) // widths[at]  # modulo 2**64, so ranges of any width do
+        return pd.Series(np.where(inside, at * (some + 1) + off.astype(np.int64), -1))
+
+    return run
+
+
 def balanced_cuts(df: DataFrame, key: str, weight: Column, parts: int, bins: int = 4096) -> list[int]:
     """At most ``parts - 1`` cuts of the long column ``key`` that share out ``weight`` evenly; the same for the same rows.
 
-    Exact sums over equal-width bins, and again within bins that weigh more than half a part, so clustered keys are cut finely. One
-    round gives the driver ``bins`` sums for each heavy bin, of which there are fewer than ``2 * parts``. No key is split.
+    Exact sums over equal-width bins, and again within bins that weigh more than half a part, so clustered keys are cut finely. A round is
+    one job, whatever the number of heavy bins; the driver gets ``bins`` sums in the first and at most 64 for each heavy bin in later ones, of
+    which there are fewer than ``2 * parts``. No key is split.
     """
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None or parts < 2:
         return []
-    ranges, done = [(low, high)], []
-    goal = None
+    ranges, done, goal = [(low, high)], [], 0.0
     while ranges:
+        some = bins if not goal else 64
+        starts, ends = np.array([a for a, _ in ranges], np.int64), np.array([b for _, b in ranges], np.int64)
+        widths = [max(1, -(-(b - a + 1) // some)) for a, b in ranges]
+        bin_of = _bin_of(starts, ends, np.array(widths, U64), some)
+        sums = df.select(bin_of(key).alias("bin"), weight.alias("w")).where("bin >= 0").groupBy("bin").agg(F.sum("w").cast("double").alias("w")).collect()
+        goal = goal or sum(r["w"] or 0 for r in sums) / parts or 1.0
         heavy: list[tuple[int, int]] = []
-        for a, b in ranges:
-            width = max(1, -(-(b - a + 1) // bins))
-            slot = F.expr(f"cast((cast(`{key}` as decimal(20,0)) - {a}) div {width} as long)")
-            sums = df.where((F.col(key) >= a) & (F.col(key) <= b)).groupBy(slot.alias("slot")).agg(F.sum(weight).cast("double").alias("w")).collect()
-            if goal is None:
-                goal = sum(r["w"] or 0 for r in sums) / parts
-            for r in sums:
-                x, y = a + r["slot"] * width, min(b, a + (r["slot"] + 1) * width - 1)
-                if (r["w"] or 0) > goal / 2 and y > x:
-                    heavy.append((x, y))
-                else:
-                    done.append((x, r["w"] or 0))
+        for r in sorted(sums):
+            at, off = divmod(r["bin"], some + 1)
+            x = ranges[at][0] + off * widths[at]
+            y = min(ranges[at][1], x + widths[at] - 1)
+            if (r["w"] or 0) > goal / 2 and y > x:
+                heavy.append((x, y))
+            else:
+                done.append((x, r["w"] or 0))
         ranges = heavy
-    cuts, filled = [], 0.0
+    cuts, total, part = [], 0.0, 0
     for x, w in sorted(done):
-        if filled and filled + w / 2 > goal and len(cuts) < parts - 1:
+        if (now := min(parts - 1, int((total + w / 2) / goal))) > part and total:  # by the total so far, so that parts don't drift
             cuts.append(x)
-            filled = 0.0
-        filled += w
+            part = now
+        total += w
     return cuts
 
 
@@ -266,40 +219,14 @@ def in_span(key: str, cuts: list[int]) -> Column:
     return span(F.col(key))
 
 
-def uri(path: str) -> str:
-    """A path as pyarrow's file systems take it."""
-    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-
-
-def _murmur(value: int) -> int:
-    """Spark's hash of an int (32-bit Murmur 3, seed 42), signed."""
-    word = 0xFFFFFFFF
-    rotate = lambda x, r: ((x << r) | (x >> (32 - r))) & word
-    k = rotate(value * 0xCC9E2D51 & word, 15) * 0x1B873593 & word
-    h = (rotate(42 ^ k, 13) * 5 + 0xE6546B64) & word ^ 4
-    h = (h ^ (h >> 16)) * 0x85EBCA6B & word
-    h = (h ^ (h >> 13)) * 0xC2B2AE35 & word
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
-
-
-@lru_cache(maxsize=8)
-def _slots(count: int) -> np.ndarray:
-    out, left, k = np.zeros(count, np.int32), set(range(count)), 0
-    while left:
-        if (at := _murmur(k) % count) in left:
-            out[at] = k
-            left.remove(at)
-        k += 1
-    return out
-
-
 def deal(df: DataFrame, count: int, span: str = "span") -> DataFrame:
     """Rows by their ``span`` (0 to ``count`` - 1), each to a partition of its own: a hash of the number itself would put several in one."""
-    slots = _slots(count)
+    return df.repartitionById(count, F.col(span))
 
-    @F.pandas_udf("int")
-    def slot(k: pd.Series) -> pd.Series:
-        return pd.Series(slots[k.to_numpy()])
 
-    return df.repartition(count, slot(F.col(span)))
+def uri(path: str) -> str:
+    """A path as pyarrow's file systems take it: ``s3a`` and ``s3n`` are ``s3``, ``dbfs`` is its mount; ``hdfs`` needs libhdfs on executors."""
+    for old, new in (("file:///", "file:///"), ("file:/", "file:///"), ("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if path.startswith(old):
+            return new + path[len(old) :].lstrip("/")
+    return path

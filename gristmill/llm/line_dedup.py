@@ -2,20 +2,21 @@
 
 A line is what line feeds part, its words are ``[^\\x20\\x09-\\x0D]+``, unchanged, and it stands for the set of them. Lines are in order
 of document id, line number and contents. A line is removed if the Jaccard similarity of its set to that of any earlier line, removed or
-not, is ``similarity`` or more. Lines without words stay. Null texts have no lines; a row without an id keeps all its lines and removes
-none; rows that repeat an id take turns by line number, and equal rows are treated alike.
+not, is ``similarity`` or more (a tie with it counts). Lines without words stay. Null texts have no lines; a row without an id keeps all its
+lines and removes none; rows that repeat an id take turns by line number, and equal rows are treated alike; an empty table gives no rows.
+Texts and lines are read whole, however long. Other columns are not read by ``line_links`` and kept by ``remove_lines``, whatever their names.
 
 The join orders words by rarity (counts of all words, in a sketch of fixed size; ties by hash, so the order is total) and
 
 1. deals each distinct set by the words of its prefix, which any similar set's prefix must meet; equal sets are one, their later lines go;
-2. pairs sets that share a prefix word if lengths, positions of the word and 64-bit parities of the sets leave similarity possible;
-3. verifies the Jaccard similarity of the pairs on the sets themselves.
-
-For a removal one similar earlier set is enough, so a set takes its first possible partners under each word, until ``SURE`` of them are as
-good as similar or there are ``TRIES``; where none of them holds and there are more, all its partners are tried in another pass. Groups of
-near copies thus give a few pairs for each line, not all pairs.
-
-``similar_lines`` and ``remove_lines`` work that way. ``line_links`` returns the whole join: no limit on partners, all pairs verified.
+2. under a word that at most ``FEW`` sets have, pairs the sets if lengths, positions of the word and 64-bit parities leave similarity possible,
+   and verifies the Jaccard similarity of the pairs on the sets themselves;
+3. under a word that more sets have, takes the sets there and compares them in blocks of bounded size: a block returns the links of each set
+   by number, its earliest similar set and a spanning forest, but no pairs. A pair counts at the first such word that the two share.
+
+So every link is found and counted, while rows are in proportion to the lines, also for a group of near copies that has a third of them;
+only the comparisons within blocks are as many as pairs under a word. Words of very many lines go to the blocks at once, without passing
+through one task.
 """
 
 from __future__ import annotations
@@ -30,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import U64, Text, Workspace, chunks, fresh, id_and_text, mix, named, partitions, table, word_hash
+from gristmill.llm.components import components
 
 SKETCH_BITS, BLOOM_BITS = 22, 26
-#: In the first round a set takes partners under a word until so many are sure to be similar by their parities, or so many in all.
-SURE, TRIES = 3, 64
-#: Unrelated sets differ in half of their parities, so these tell something only where fewer words may differ.
-TELLING = 26
-#: Sets whose remaining partners are sought in one pass.
-RETRY = 50_000
-
+#: Sets that a word may have for its pairs to be written; lines of words in all from which a word goes to the blocks at once.
+FEW, MANY = 64, 1 << 20
+#: Words of the sets of a block; a block is compared with itself and with each other one of its word.
+BLOCK_WORDS = 1 << 17
+#: Lines of a chunk from which their numbers don't fit into a sort key beside 40 bits of the word.
+KEYED = 1 << 24
 
 #: Sets of more words than this have their 64 parities twice, each for half of their words.
 SPLIT = 72
@@ -56,15 +57,18 @@ class Lines:
         opens = np.r_[True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])] if len(doc) else np.zeros(0, bool)
         line = np.cumsum(opens) - 1
         weight = rank[(words >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64) if rank is not None else U64(0)
-        key = (line.astype(U64) << U64(40)) | (weight << U64(32)) | (words >> U64(32))  # a chunk has fewer than 2**24 lines
-        order = np.argsort(key, kind="stable")
-        key, words, line = key[order], words[order], line[order]
-        while (swap := np.flatnonzero((key[1:] == key[:-1]) & (words[1:] < words[:-1]))).size:  # ties of the sorted bits
-            swap = swap[np.r_[True, np.diff(swap) > 1]]
-            words[swap], words[swap + 1] = words[swap + 1], words[swap].copy()
+        if len(begin := np.flatnonzero(opens)) < KEYED:
+            key = (line.astype(U64) << U64(40)) | (weight << U64(32)) | (words >> U64(32))
+            order = np.argsort(key, kind="stable")
+            key, words, line = key[order], words[order], line[order]
+            while (swap := np.flatnonzero((key[1:] == key[:-1]) & (words[1:] < words[:-1]))).size:  # ties of the sorted bits
+                swap = swap[np.r_[True, np.diff(swap) > 1]]
+                words[swap], words[swap + 1] = words[swap + 1], words[swap].copy()
+        else:  # one document of very many lines
+            order = np.lexsort((words, np.broadcast_to(weight, words.shape), line))
+            words, line = words[order], line[order]
         keep = np.r_[True, (line[1:] != line[:-1]) | (words[1:] != words[:-1])] if len(line) else np.zeros(0, bool)
         self.words, line = words[keep], line[keep]
-        begin = np.flatnonzero(opens)
         self.doc, self.number = doc[begin], number[begin]
         self.n = np.bincount(line, minlength=len(begin)).astype(np.int64)
         self.offset = np.cumsum(self.n) - self.n
@@ -84,25 +88,36 @@ def least_overlap(total: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-t.numerator * total // (t.numerator + t.denominator))
 
 
-def _fold(dtype: str, sum_: bool):
+#: Arrays that are added up in one group.
+FAN = 16
+
+
+def _fold(dtype: str, last):
+    """Adds up counts or joins bits of a few arrays; ``last`` makes what the driver gets of the only one."""
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        total = None
+        total, expand = None, zstandard.ZstdDecompressor()
         for body in group.column("body").to_pylist():
-            values = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype)
-            total = values.astype(np.int64 if sum_ else dtype) if total is None else total + values if sum_ else total | values
-        return pa.table({"body": pa.array([zstandard.ZstdCompressor(1).compress(total.tobytes())], pa.binary())})
+            values = np.frombuffer(expand.decompress(body), dtype)
+            total = values.copy() if total is None else total | values if dtype == "uint8" else np.minimum(total.astype(np.int64) + values, np.iinfo(np.int32).max).astype(np.int32)
+        return pa.table({"body": pa.array([zstandard.ZstdCompressor(1).compress((last(total) if key[1].as_py() else total).tobytes())], pa.binary())})
 
     return run
 
 
-def _gather(rows: DataFrame, dtype: str, sum_: bool) -> np.ndarray | None:
-    """Adds up arrays of a fixed size, a row from each task: in 16 groups on executors, then on the driver."""
-    parts = rows.withColumn("part", F.spark_partition_id() % 16).groupBy("part").applyInArrow(_fold(dtype, sum_), "body binary").collect()
-    total = None
-    for r in parts:
-        values = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["body"]), np.int64 if sum_ else dtype)
-        total = values.copy() if total is None else total + values if sum_ else total | values
-    return total
+def _gather(rows: DataFrame, dtype: str, ws: Workspace, name: str, last=lambda x: x) -> np.ndarray | None:
+    """Adds up arrays of a fixed size, a row from each task, in a tree on the executors; the driver gets one array."""
+    rows, level = ws.write(rows.select("body"), f"{name}0"), 0
+    n = rows.count()
+    while n:
+        parts = -(-n // FAN)
+        folded = rows.withColumns({"part": F.pmod(F.xxhash64("body"), F.lit(parts)), "only": F.lit(parts == 1)}).groupBy("part", "only").applyInArrow(_fold(dtype, last), "body binary")
+        level += 1
+        rows = ws.write(folded, f"{name}{level}")
+        ws.drop(f"{name}{level - 1}")
+        n = rows.count() if parts > 1 else 0
+    found = rows.collect() if level else []
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(found[0]["body"]), np.uint8) if found else None
 
 
 LINE = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("body", pa.binary())])
@@ -120,75 +135,36 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield table(LINE, [None], [None], [None], [None], [zstandard.ZstdCompressor(1).compress(counts.tobytes())])
 
 
-def rarity(sketches: DataFrame) -> np.ndarray:
-    """For each bucket of words how common they are, in 256 steps of their logarithm; 4 MB for any corpus."""
-    counts = _gather(sketches, "int32", True)
-    if counts is None:
-        return np.zeros(1 << SKETCH_BITS, np.uint8)
+def _commonness(counts: np.ndarray) -> np.ndarray:
+    """How common the words of each bucket are, in 256 steps of their logarithm."""
     return np.minimum(255, np.round(6 * np.log2(counts + 1.0))).astype(np.uint8)
 
 
+def rarity(sketches: DataFrame, ws: Workspace) -> np.ndarray:
+    """For each bucket of words how common they are; 4 MB for any corpus."""
+    found = _gather(sketches, "int32", ws, "counts", _commonness)
+    return np.zeros(1 << SKETCH_BITS, np.uint8) if found is None else found
+
+
 #: Postings that a task packs at a time.
 PACKED = 200_000
 #: A posting: word, set, its parities and size, the word's place in it, and the set's first line.
-POSTING = [("word", "<u4"), ("h", "<u8"), ("parity", "<u8"), ("parity2", "<u8"), ("n", "<u4"), ("at", "<u4"), ("doc", "<i8"), ("line", "<i4")]
-
+POSTING = [("word", "<u8"), ("h", "<u8"), ("parity", "<u8"), ("parity2", "<u8"), ("n", "<u4"), ("at", "<u4"), ("doc", "<i8"), ("line", "<i4")]
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in ``known``, which is sorted."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
-
-class Sought:
-    """Sets whose partners are sought again: their hashes, prefix words, and the rarer half of their words.
-
-    A similar set lacks at most ``n - ceil(t n)`` words of a set of n, so it has the others of the rarer half; so must its document.
-    """
-
-    def __init__(self, hashes: list[int], sets: list[np.ndarray], rank: np.ndarray, t: Fraction):
-        self.hashes = np.sort(np.array(hashes, np.int64).view(U64))
-        prefixes, halves, self.need = [np.zeros(0, U64)], [np.zeros(0, U64)], []
-        for words in sets:
-            words = words[np.lexsort((words, rank[(words >> U64(64 - SKETCH_BITS)).astype(np.int64)]))]
-            lacks = len(words) - -(-t.numerator * len(words) // t.denominator)
-            half = max(lacks + 1, -(-len(words) // 2))
-            prefixes.append(words[: lacks + 1])
-            halves.append(words[:half])
-            self.need.append(half - lacks)
-        self.prefix = np.unique(np.concatenate(prefixes))
-        words, owner = np.concatenate(halves), np.repeat(np.arange(len(sets)), list(map(len, halves[1:])))
-        order = np.argsort(words, kind="stable")
-        self.words, self.first = np.unique(words[order], return_index=True)
-        self.owner, self.need = owner[order], np.array(self.need)
-        self.first = np.r_[self.first, len(self.owner)]
-
-    def documents(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """The rows that may have a partner in a line."""
-        keep = np.zeros(batch.num_rows, bool)
-        for text in chunks(batch.column(1)):
-            start, end, first = text.words()
-            words = word_hash(text.data, start, end)
-            hit = np.flatnonzero(_among(words, self.words))
-            at = np.searchsorted(self.words, words[hit])
-            many = self.first[at + 1] - self.first[at]
-            doc = np.repeat(np.searchsorted(first, hit, side="right") - 1, many)
-            owner = self.owner[np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            found, count = np.unique(doc * len(self.need) + owner, return_counts=True)
-            keep[text.first + found[count >= self.need[found % max(len(self.need), 1)]] // max(len(self.need), 1)] = True
-        return batch.filter(pa.array(keep))
-
-
-def _postings(rank, slots: int, t: Fraction, only=None):
-    """Prefix words of each distinct set of a chunk, packed by slot; all, or those that ``only`` has."""
+def _postings(rank, slots: int, t: Fraction):
+    """Prefix words of each distinct set of a chunk, packed by slot. Those of very common words go to as many slots more, by set."""
     schema = pa.schema([("slot", pa.int32()), ("body", pa.binary())])
+    common = int(round(6 * np.log2(MANY + 1.0)))
 
     def packed(found: list[tuple]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         slot = ((columns[0] >> U64(40)) % U64(slots)).astype(np.int32)
-        columns[0] = columns[0] & U64(0xFFFFFFFF)
+        many = rank.value[(columns[0] >> U64(64 - SKETCH_BITS)).astype(np.int64)] >= common
+        slot[many] = slots + (columns[1][many] % U64(slots)).astype(np.int32)
         order = np.argsort(slot, kind="stable")
         columns = [c[order].astype(d) for c, (_, d) in zip(columns, POSTING, strict=True)]
-        cuts = np.searchsorted(slot[order], np.arange(slots + 1))
+        cuts = np.searchsorted(slot[order], np.arange(2 * slots + 1))
         some = np.flatnonzero(cuts[1:] > cuts[:-1])
         press = zstandard.ZstdCompressor(1)
         bodies = [press.compress(b"".join(c[cuts[s] : cuts[s + 1]].tobytes() for c in columns)) for s in some]
@@ -197,8 +173,6 @@ def _postings(rank, slots: int, t: Fraction, only=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         for batch in batches:
-            if only is not None:
-                batch = only.value.documents(batch)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for text in chunks(batch.column(1)):
                 x = Lines(text, rank.value)
@@ -208,11 +182,7 @@ def _postings(rank, slots: int, t: Fraction, only=None):
                 long = x.n[own] - -(-t.numerator * x.n[own] // t.denominator) + 1
                 line = np.repeat(own, long)
                 at = np.arange(len(line)) - np.repeat(np.cumsum(long) - long, long)
-                words = x.words[x.offset[line] + at]
-                if only is not None:
-                    some = _among(words, only.value.prefix)
-                    line, at, words = line[some], at[some], words[some]
-                found.append((words, x.h[line], x.parity[line], x.parity2[line], x.n[line], at, doc[line], x.number[line]))
+                found.append((x.words[x.offset[line] + at], x.h[line], x.parity[line], x.parity2[line], x.n[line], at, doc[line], x.number[line]))
                 if sum(len(f[0]) for f in found) > PACKED:
                     yield packed(found)
                     found = []
@@ -222,15 +192,16 @@ def _postings(rank, slots: int, t: Fraction, only=None):
     return run
 
 
-PAIR = pa.schema([("y", pa.int64()), ("ny", pa.int32()), ("x", pa.int64()), ("nx", pa.int32()), ("more", pa.bool_()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("y_doc", pa.int64())])
-PAIR_DDL = "y long, ny int, x long, nx int, more boolean, x_doc long, x_line int, y_doc long"
+#: A pair of sets, the earlier as x; or, without x, a set under a word (``key``) that goes to the blocks.
+PAIR = pa.schema([("y", pa.int64()), ("ny", pa.int32()), ("y_doc", pa.int64()), ("y_line", pa.int32()), ("x", pa.int64()), ("nx", pa.int32()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("key", pa.int64())])
+PAIR_DDL = "y long, ny int, y_doc long, y_line int, x long, nx int, x_doc long, x_line int, key long"
 
 
-def _candidates(t: Fraction, only, every: bool = False):
-    """Pairs of sets under each word of a slot, the earlier as x: the first ones for each later set, or all (``every``; for the sets in ``only``)."""
+def _candidates(t: Fraction, slots: int):
+    """Pairs of sets under each word of a slot, and the sets of words that have too many."""
     width = sum(np.dtype(d).itemsize for _, d in POSTING)
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
+    def run(slot: tuple, group: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[] for _ in POSTING]
         for body in group.column("body").to_pylist():
             raw = zstandard.ZstdDecompressor().decompress(body)
@@ -239,10 +210,12 @@ def _candidates(t: Fraction, only, every: bool = False):
                 part.append(np.frombuffer(raw, d, n, at))
                 at += n * np.dtype(d).itemsize
         word, h, parity, parity2, n, at, doc, line = (np.concatenate(p) for p in parts)
-        order = np.argsort(word, kind="stable")
-        alone = word[order]
-        alone = np.r_[True, alone[1:] != alone[:-1]] & np.r_[alone[1:] != alone[:-1], True]
-        word, h, parity, parity2, n, at, doc, line = (c[order[~alone]] for c in (word, h, parity, parity2, n, at, doc, line))  # words of one set pair nothing
+        few = slot[0].as_py() < slots
+        if few:
+            order = np.argsort(word, kind="stable")
+            alone = word[order]
+            alone = np.r_[True, alone[1:] != alone[:-1]] & np.r_[alone[1:] != alone[:-1], True]
+            word, h, parity, parity2, n, at, doc, line = (c[order[~alone]] for c in (word, h, parity, parity2, n, at, doc, line))  # words of one set pair nothing
         if not len(word):
             return PAIR.empty_table()
         order = np.lexsort((h, line, doc, word))
@@ -254,11 +227,8 @@ def _candidates(t: Fraction, only, every: bool = False):
         opens = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         size = np.diff(np.r_[opens, len(word)])
         start = np.repeat(opens, size)
-        seek = np.arange(len(word)) > start
-        if only is not None:
-            seek &= _among(h, only.value.hashes)
-        todo = np.flatnonzero(seek)
-        taken, sure, more = np.zeros(len(word), np.int32), np.zeros(len(word), np.int32), np.zeros(len(word), bool)
+        cold = np.repeat(size <= FEW, size) & few
+        todo = np.flatnonzero(cold & (np.arange(len(word)) > start))
         xs, ys, step = [], [], 0
         while len(todo):
             x = start[todo] + step  # the step-th set under the word
@@ -270,21 +240,16 @@ def _candidates(t: Fraction, only, every: bool = False):
             alike = (n[x] > SPLIT) == (n[todo] > SPLIT)  # else the two halves of one together are as the other's parities
             apart = np.where(alike, np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
             fits = (np.minimum(n[x] - at[x], n[todo] - at[todo]) >= need) & (apart <= free)
-            got = todo[fits]
-            if only is None and not every:
-                full = (sure[got] >= SURE) | (taken[got] >= TRIES)
-                more[got[full]] = True
-                taken[got] += 1
-                sure[got] += (2 * apart[fits] <= free[fits]) & (free[fits] <= np.where(n[got] > SPLIT, 2 * TELLING, TELLING))
-                xs.append(x[fits][~full])
-                ys.append(got[~full])
-                todo = todo[~more[todo]]
-            else:
-                xs.append(x[fits])
-                ys.append(got)
+            xs.append(x[fits])
+            ys.append(todo[fits])
             step += 1
         x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys))
-        return pa.table([h[y].view(np.int64), n[y].astype(np.int32), h[x].view(np.int64), n[x].astype(np.int32), more[y], doc[x], line[x], doc[y]], schema=PAIR)
+        hot = np.flatnonzero(~cold)
+        own, none = np.r_[y, hot], np.r_[np.zeros(len(y), bool), np.ones(len(hot), bool)]
+        other = np.r_[x, hot]
+        columns = [h[own].view(np.int64), n[own].astype(np.int32), doc[own], line[own].astype(np.int32)]
+        columns += [pa.array(c, f.type, mask=none) for c, f in zip((h[other].view(np.int64), n[other].astype(np.int32), doc[other], line[other].astype(np.int32)), list(PAIR)[4:8], strict=True)]
+        return pa.table([*(pa.array(c, f.type) for c, f in zip(columns[:4], PAIR, strict=False)), *columns[4:], pa.array(word[own].view(np.int64), mask=~none)], schema=PAIR)
 
     return run
 
@@ -341,104 +306,175 @@ def _sets(bloom):
     return run
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, t: Fraction, ws: Workspace, name: str, every: bool = False) -> DataFrame:
-    """The pairs whose sets are similar, with their similarity: all (``every``), or one of each set whose likeliest partner holds."""
+LINKED = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("links", pa.int64()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("similarity", pa.float64()), ("root", pa.int64())])
+LINKED_DDL = "h long, n int, links long, x_doc long, x_line int, similarity double, root long"
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _compared(t: Fraction):
+    """Compares the sets of two blocks of a word, or of one with itself.
+
+    For each set with a link here: how many it has that count here, its earliest similar set and the similarity, and the set that stands
+    for it in a spanning forest.
+    """
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        word, low, high = (k.as_py() for k in key)
+        h, n, doc, line, part = (group.column(c).to_numpy() for c in ("y", "ny", "y_doc", "y_line", "part"))
+        order = np.lexsort((h, line, doc))
+        group = group.take(pa.array(order))
+        h, n, doc, line, part = (c[order] for c in (h, n.astype(np.int64), doc, line, part))
+        words, long = _lists(group.column("words"))
+        place = mix(words.view(U64) ^ U64(0x9E3779B97F4A7C15))
+        local = np.unique(words, return_inverse=True)[1]
+        start = np.cumsum(long) - long
+        parity = np.bitwise_xor.reduceat(U64(1) << (place & U64(63)), start)
+        keys, many = _lists(group.column("keys"))  # words that go to the blocks; those before this one may have counted a pair already
+        first = np.cumsum(many) - many
+        before = np.unique(np.where(keys < word, keys, word), return_inverse=True)[1]
+        before = np.where(keys < word, before, -1)
+        has, seen = np.zeros(local.max(initial=0) + 1, np.int64), np.zeros(before.max(initial=0) + 1, bool)
+        links, near, likeness, label = np.zeros(len(h), np.int64), np.full(len(h), -1), np.zeros(len(h)), np.arange(len(h))
+        for y in range(1, len(h)):
+            total = n[:y] + n[y]
+            need = least_overlap(total, t)
+            able = (np.minimum(n[:y], n[y]) >= need) & (np.bitwise_count(parity[:y] ^ parity[y]) <= total - 2 * need)
+            if low != high:
+                able &= part[:y] != part[y]
+            x = np.flatnonzero(able)
+            if not len(x):
+                continue
+            own = local[start[y] : start[y] + long[y]]
+            has[own] = 1
+            at = np.repeat(start[x] - (np.cumsum(long[x]) - long[x]), long[x]) + np.arange(long[x].sum())
+            common = np.add.reduceat(has[local[at]], np.cumsum(long[x]) - long[x])
+            has[own] = 0
+            similar = common >= need[x]
+            x, common = x[similar], common[similar]
+            if not len(x):
+                continue
+            near[y], likeness[y] = x[0], common[0] / (n[x[0]] + n[y] - common[0])
+            mine = before[first[y] : first[y] + many[y]]
+            mine = mine[mine >= 0]
+            fresh_ = x
+            if len(mine):
+                seen[mine] = True
+                at = np.repeat(first[x] - (np.cumsum(many[x]) - many[x]), many[x]) + np.arange(many[x].sum())
+                fresh_ = x[np.add.reduceat((seen[before[at]] & (before[at] >= 0)).astype(np.int64), np.cumsum(many[x]) - many[x]) == 0]
+                seen[mine] = False
+            links[y] += len(fresh_)
+            links[fresh_] += 1
+            met = np.unique(label[x])
+            if len(met) > 1 or met[0] != label[y]:
+                label[np.isin(label, np.r_[met, label[y]])] = min(met[0], label[y])
+        some = np.flatnonzero((links > 0) | (near >= 0) | (label != np.arange(len(h))))
+        none = near[some] < 0
+        at = np.maximum(near[some], 0)
+        earliest = [pa.array(c, k, mask=none) for c, k in ((doc[at], pa.int64()), (line[at].astype(np.int32), pa.int32()), (likeness[some], pa.float64()))]
+        return pa.table([pa.array(h[some]), pa.array(n[some].astype(np.int32)), pa.array(links[some]), *earliest, pa.array(h[label[some]])], schema=LINKED)
+
+    return run
+
+
+def _linked(rows: DataFrame, found: DataFrame, t: Fraction, ws: Workspace) -> DataFrame:
+    """Of each distinct set with a link, in several rows: number of links, earliest similar set before it, and sets that are linked to it (``root``)."""
     spark = rows.sparkSession
-    wanted = ws.write(pairs.select(F.col("y").alias("h"), F.col("y_doc").alias("doc")).unionByName(pairs.select(F.col("x").alias("h"), F.col("x_doc").alias("doc"))).distinct(), f"wanted{name}")
-    bits = _gather(wanted.mapInArrow(_bloom, "body binary"), "uint8", False)
+    pairs, hot = found.where("key is null").drop("key"), found.where("key is not null").select("key", "y", "ny", "y_doc", "y_line")
+    sizes = hot.groupBy("key").agg(F.count("*").alias("c"), F.sum("ny").alias("w")).where("c > 1")
+    sizes = ws.write(sizes.select("key", F.ceil(F.col("w") / BLOCK_WORDS).cast("int").alias("blocks")), "sizes")
+    hot = ws.write(hot.join(sizes, "key"), "hot")
+    keys = ws.write(hot.groupBy(F.col("y").alias("h"), F.col("ny").alias("n")).agg(F.collect_set("key").alias("keys")), "keys")  # of a set's prefix
+    side = lambda df, of: df.select(F.col(of).alias("h"), F.col(f"{of}_doc").alias("doc"))
+    wanted = ws.write(side(pairs, "y").unionByName(side(pairs, "x")).unionByName(side(hot, "y")).distinct(), "wanted")
+    bits = _gather(wanted.mapInArrow(_bloom, "body binary"), "uint8", ws, "bloom")
     bloom = spark.sparkContext.broadcast(bits if bits is not None else np.zeros(1 << (BLOOM_BITS - 3), np.uint8))  # 8 MB; it only spares rows
     sets = rows.mapInArrow(_sets(bloom), SETS_DDL).dropDuplicates(["h", "n"]).join(wanted.select("h").distinct(), "h", "left_semi")
-    sets = ws.write(sets, f"sets{name}")
+    sets = ws.write(sets.join(keys, ["h", "n"], "left"), "sets")
+    ws.drop("wanted")
     parities = [f"p{k}" for k in range(PARITIES)]
-    side = lambda of, columns: sets.select(F.col("h").alias(of), F.col("n").alias(f"n{of}"), *(F.col(c).alias(f"{of}_{c}") for c in columns))
-    keys = lambda of: [of, f"n{of}"]
+    view = lambda of, columns: sets.select(F.col("h").alias(of), F.col("n").alias(f"n{of}"), *(F.col(c).alias(f"{of}_{c}") for c in columns))
+    both = lambda df, columns: df.join(view("y", columns).hint("merge"), ["y", "ny"]).join(view("x", columns).hint("merge"), ["x", "nx"])
     apart = sum((F.bit_count(F.col(f"y_{c}").bitwiseXOR(F.col(f"x_{c}"))) for c in parities[1:]), F.bit_count(F.col(f"y_{parities[0]}").bitwiseXOR(F.col(f"x_{parities[0]}"))))
     total = F.col("ny") + F.col("nx")
     need = F.ceil(total * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9)
-    close = pairs.select("y", "ny", "x", "nx", "x_doc", "x_line").join(side("y", parities).hint("merge"), keys("y")).join(side("x", parities).hint("merge"), keys("x"))
-    close = close.withColumn("apart", apart).where(F.col("apart") <= total - 2 * need).select("y", "ny", "x", "nx", "x_doc", "x_line", "apart")
-    close = ws.write(close.distinct(), f"close{name}")
-    ws.release()
-
-    def check(some: DataFrame, step: str) -> DataFrame:
-        both = some.join(side("y", ["words"]).hint("merge"), keys("y")).join(side("x", ["words"]).hint("merge"), keys("x")).withColumn("common", F.size(F.array_intersect("y_words", "x_words")))
-        both = both.where(F.col("common") * t.denominator >= (total - F.col("common")) * t.numerator)
-        return ws.write(both.select("y", "ny", *(["x"] if every else []), "x_doc", "x_line", (F.col("common") / (total - F.col("common"))).alias("similarity")), f"{step}{name}")
-
-    if every:
-        return check(close, "all")
-    rest = [c for c in close.columns if c not in ("y", "ny")]
-    best = close.groupBy("y", "ny").agg(F.min_by(F.struct(*rest), F.struct("apart", "x_doc", "x_line", "x")).alias("r")).select("y", "ny", "r.*")
-    held = check(ws.write(best, f"best{name}"), "held")  # the likeliest partner of each set
-    ws.release()
-    others = close.join(held.select("y", "ny"), ["y", "ny"], "left_anti").join(ws.spark.read.schema(best.schema).parquet(ws.path(f"best{name}")).select("y", "ny", "x", "nx"), ["y", "ny", "x", "nx"], "left_anti")
-    return held.unionByName(check(ws.write(others, f"others{name}"), "more"))
-
-
-def _prepared(docs: DataFrame, similarity: float, id_col: str, text_col: str, ws: Workspace) -> tuple:
-    """Threshold, rows, their lines, ranks of words, and what makes the candidate pairs."""
+    close = both(pairs, [*parities, "keys"]).where((apart <= total - 2 * need) & ~F.coalesce(F.arrays_overlap("y_keys", "x_keys"), F.lit(False)))
+    close = ws.write(close.select(*pairs.columns), "close")
+    held = both(close, ["words"]).withColumn("common", F.size(F.array_intersect("y_words", "x_words")))
+    held = held.where(F.col("common") * t.denominator >= (total - F.col("common")) * t.numerator).withColumn("similarity", F.col("common") / (total - F.col("common")))
+    held = ws.write(held.select(*pairs.columns, "similarity"), "held")
+    ws.drop("close")
+    one = F.lit(1).cast("long").alias("links")
+    later = held.select(F.col("y").alias("h"), F.col("ny").alias("n"), one, "x_doc", "x_line", "similarity", F.col("x").alias("root"))
+    earlier = held.select(F.col("x").alias("h"), F.col("nx").alias("n"), one, *(F.lit(None).cast(d).alias(c) for c, d in (("x_doc", "long"), ("x_line", "int"), ("similarity", "double"))), F.col("x").alias("root"))
+    own = F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int")
+    dealt = hot.join(sets.select(F.col("h").alias("y"), F.col("n").alias("ny"), "words", "keys").hint("merge"), ["y", "ny"]).withColumn("part", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    blocks = dealt.select("key", "low", "high", "part", "y", "ny", "y_doc", "y_line", "words", "keys").groupBy("key", "low", "high").applyInArrow(_compared(t), LINKED_DDL)
+    out = later.unionByName(earlier).unionByName(ws.write(blocks, "blocks"))
+    ws.drop("hot", "keys")
+    return out
+
+
+def _prepared(docs: DataFrame, similarity: float, id_col: str, text_col: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Lines, and what is known of each set with links, in several rows."""
     spark = docs.sparkSession
     t = Fraction(str(similarity))
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     lines = ws.write(rows.mapInArrow(_lines, LINE_DDL), "lines")
-    rank = spark.sparkContext.broadcast(rarity(lines.where("body is not null").select("body")))  # 4 MB
-    lines = lines.where("body is null").drop("body")
+    rank = spark.sparkContext.broadcast(rarity(lines.where("body is not null"), ws))  # 4 MB
     slots = 4 * partitions(spark)
+    found = rows.mapInArrow(_postings(rank, slots, t), "slot int, body binary").groupBy("slot").applyInArrow(_candidates(t, slots), PAIR_DDL).distinct()
+    return lines.where("body is null").drop("body"), _linked(rows, ws.write(found, "found"), t, ws)
+
+
+def _known(lines: DataFrame, linked: DataFrame) -> DataFrame:
+    """Of each distinct set its first line, its links, and the earliest line before that which is similar."""
+    first = lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    near = F.min(F.when(F.col("x_doc").isNotNull(), F.struct("x_doc", "x_line", "similarity"))).alias("near")
+    return first.join(linked.groupBy("h", "n").agg(F.sum("links").alias("links"), near).hint("merge"), ["h", "n"], "left")
 
-    def pairs(only=None, every=False) -> DataFrame:
-        return rows.mapInArrow(_postings(rank, slots, t, only), "slot int, body binary").groupBy("slot").applyInArrow(_candidates(t, only, every), PAIR_DDL)
 
-    return t, rows, lines, rank, pairs
+def _of(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """Lines with whether they go, and the earliest line that they resemble."""
+    joined = lines.join(known.hint("merge"), ["h", "n"])  # both sides grow with the corpus
+    equal, near = F.struct("doc_id", "line") > F.col("first"), F.col("near").isNotNull()  # not its set's first line
+    nearer = near & ~(equal & (F.col("first") < F.struct("near.x_doc", "near.x_line")))
+    pick = lambda a, b: F.when(equal | near, F.when(nearer, a).otherwise(b))
+    kept = {"kept_doc_id": pick(F.col("near.x_doc"), F.col("first.doc_id")), "kept_line": pick(F.col("near.x_line"), F.col("first.line")), "similarity": pick(F.round("near.similarity", 6), F.lit(1.0))}
+    return joined.withColumns({**kept, "removed": equal | near})
 
 
 def similar_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
-    """A row for each line that goes: (doc_id, line, kept_doc_id, kept_line, similarity, h), with an earlier line that it resembles.
+    """A row for each line that goes: (doc_id, line, kept_doc_id, kept_line, similarity, h), with the earliest line that it resembles.
 
-    The line it resembles is the first of its equals, or else the likeliest earlier one that verification held. ``h`` is the hash of its set.
+    ``h`` is the hash of its set.
     """
     ws = ws or Workspace(docs.sparkSession, "line-dedup")
-    spark, (t, rows, lines, rank, pairs) = docs.sparkSession, _prepared(docs, similarity, id_col, text_col, ws)
-    found = ws.write(pairs().groupBy("y", "ny", "x", "nx", "x_doc", "x_line", "y_doc").agg(F.max("more").alias("more")), "pairs")
-    ws.release()
-    verified = _verified(rows, found, t, ws, "0")
-    left = found.where("more").select(F.col("y").alias("h"), F.col("ny").alias("n")).distinct().join(verified.select(F.col("y").alias("h"), F.col("ny").alias("n")).distinct(), ["h", "n"], "left_anti")
-    left = ws.write(left.join(spark.read.schema(SETS_DDL).parquet(ws.path("sets0")).select("h", "n", "words"), ["h", "n"]), "left")
-    blocks = -(-left.count() // RETRY)
-    for k in range(blocks):  # sets with more partners than they tried, none of which held
-        part = left.where(F.pmod("h", F.lit(blocks)) == k).collect()  # about RETRY sets
-        only = spark.sparkContext.broadcast(Sought([r["h"] for r in part], [np.array(r["words"], np.int64).view(U64) for r in part], rank.value, t))
-        again = ws.write(pairs(only).distinct(), f"again{k}")
-        verified = verified.unionByName(_verified(rows, again, t, ws, f"-again{k}"))
-    near = verified.groupBy(F.col("y").alias("h"), F.col("ny").alias("n")).agg(F.min(F.struct("x_doc", "x_line", "similarity")).alias("near"))
-    first = lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    known = ws.write(first.join(near, ["h", "n"], "left"), "known")
-    ws.release()
-    joined = lines.join(known.hint("merge"), ["h", "n"])  # both sides grow with the corpus
-    equal = F.struct("doc_id", "line") > F.col("first")
-    pick = lambda a, b: F.when(equal, a).otherwise(b)
-    gone = joined.where(equal | F.col("near").isNotNull())
-    return gone.select("doc_id", "line", pick(F.col("first.doc_id"), F.col("near.x_doc")).alias("kept_doc_id"), pick(F.col("first.line"), F.col("near.x_line")).alias("kept_line"), pick(F.lit(1.0), F.round("near.similarity", 6)).alias("similarity"), "h").distinct()
+    lines, linked = _prepared(docs, similarity, id_col, text_col, ws)
+    known = ws.write(_known(lines, linked), "known")
+    return _of(lines, known).where("removed").select("doc_id", "line", "kept_doc_id", "kept_line", "similarity", "h").distinct()
 
 
 def line_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The whole join: (doc_id, line, kept_doc_id, kept_line, similarity, h, kept_h).
+    """The whole join, a row for each line with words: (doc_id, line, class_doc_id, class_line, n_links, removed, kept_doc_id, kept_line, similarity).
 
-    A distinct set stands at its first line and has a row for each earlier distinct set that is similar; a later line of a set has one row,
-    of similarity 1, that names the set's first line. ``h`` and ``kept_h`` are the sets' hashes. Links are as many as there are similar
-    pairs of distinct sets, so a group of near copies has the square of its size.
+    The class is what links connect, by its first line; ``n_links`` is how many other sets are similar to the line's (equal lines are one
+    set, so they share it and don't count); a removed line has the earliest line that it resembles. Equal rows have a row each.
     """
     ws = Workspace(docs.sparkSession, "line-links")
-    t, rows, lines, _, pairs = _prepared(docs, similarity, id_col, text_col, ws)
-    found = ws.write(pairs(every=True).drop("more").distinct(), "pairs")
-    ws.release()
-    linked = _verified(rows, found, t, ws, "0", every=True)
-    first = ws.write(lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line")).alias("first")), "known")
-    ws.release()
-    links = linked.join(first.hint("merge"), (F.col("y") == F.col("h")) & (F.col("ny") == F.col("n")))
-    links = links.select("first.doc_id", "first.line", F.col("x_doc").alias("kept_doc_id"), F.col("x_line").alias("kept_line"), F.round("similarity", 6).alias("similarity"), "h", F.col("x").alias("kept_h"))
-    equal = lines.join(first.hint("merge"), ["h", "n"]).where(F.struct("doc_id", "line") > F.col("first"))
-    equal = equal.select("doc_id", "line", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"), F.lit(1.0).alias("similarity"), "h", F.col("h").alias("kept_h"))
-    return links.unionByName(equal.distinct())
+    lines, linked = _prepared(docs, similarity, id_col, text_col, ws)
+    known = ws.write(_known(lines, linked), "known")
+    roots = ws.write(components(linked.select(F.col("h").alias("u"), F.col("root").alias("v")), ws), "roots")
+    members = roots.join(known.select(F.col("h").alias("node"), "first").hint("merge"), "node")
+    classes = members.groupBy("root").agg(F.min("first").alias("class"))
+    classes = ws.write(roots.join(classes.hint("merge"), "root").select(F.col("node").alias("h"), "class"), "classes")
+    known = ws.write(known.join(classes.hint("merge"), "h", "left").withColumn("class", F.coalesce("class", "first")), "complete")
+    return _of(lines, known).select("doc_id", "line", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line").alias("class_line"), F.coalesce("links", F.lit(0)).alias("n_links"), "removed", "kept_doc_id", "kept_line", "similarity")
 
 
 def _rewrite(where: int, spans: int, drop_empty: bool, schema_width: int):
@@ -475,4 +511,4 @@ def remove_lines(docs: DataFrame, similarity: float = 0.8, drop_empty: bool = Tr
     gone = ws.write(gone.select(F.col("doc_id").alias(key), F.col("gone").alias(spans)), "gone")
     joined = docs.join(gone, named(id_col).cast("long") == F.col(key), "left").drop(key)
     where = [c.lower() for c in docs.columns].index(text_col.lower())
-    return joined.mapInArrow(_rewrite(where, len(docs.columns), drop_empty, len(docs.columns)), docs.schema)
+    return ws.write(joined.mapInArrow(_rewrite(where, len(docs.columns), drop_empty, len(docs.columns)), docs.schema), "rewritten")

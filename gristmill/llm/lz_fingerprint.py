@@ -131,16 +131,17 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The next document is the one after it by descending id (ids that repeat: by descending text; null ids last); after the last comes
     the first. The edited text has its last third of code points replaced by as many first ones of the next document.
 
-    Ids are cut into as many spans as there are shuffle partitions; each span also gets the row that follows its last one. Only the cuts
+    Ids are cut into as many spans as there are shuffle partitions, of about as many bytes of text each; each span also gets the row that follows its last one. Only the cuts
     and the spans' largest ids come to the driver. Texts cross one shuffle and are parsed once. Null texts are empty, a document alone is
-    its own next one, an empty table gives no rows; equal rows each have their row.
+    its own next one, an empty table gives no rows; equal rows each have their row. A text is parsed whole, however long, in memory that
+    is some multiple of its length. Other columns of ``docs`` are not read, whatever their names.
     """
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     count = partitions(spark)
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # a null id sorts last
     rows = rows.withColumn("k", key)
-    rows = rows.withColumn("span", in_span("k", balanced_cuts(rows, "k", F.lit(1), count)))
+    rows = rows.withColumn("span", in_span("k", balanced_cuts(rows, "k", F.octet_length("text") + 256, count)))
     tops = {r["span"]: r["top"] for r in rows.groupBy("span").agg(F.max("k").alias("top")).collect()}  # one row for each span
     if not tops:
         return spark.createDataFrame([], DDL)

@@ -8,7 +8,9 @@
 3. A document's posterior joins its evidence with its path's posterior, from which its own share is taken out. Below ``threshold`` it goes.
 
 Sums are of whole millionths, so they don't depend on their order. Null texts are empty texts; null hosts and paths are groups of their own;
-null ids are scored but match no label; repeated rows all count; without labels of both classes the evidence is 0 and all rows are kept.
+null ids are scored but match no label; repeated rows all count; without labels of both classes the evidence is 0 and all rows are kept; an
+empty table gives no rows. Texts are read whole, however long. Ties of the posterior with ``threshold`` are kept; of words that tell the
+classes apart equally well those of the smaller bucket are taken. Columns of ``docs`` may have any names: the operator's own are chosen anew.
 """
 
 from __future__ import annotations
@@ -145,13 +147,13 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits the model on the ``max_labelled`` labelled documents whose ids hash least; what comes to the driver is bounded by that.
 
-    A label counts where its quality is known or it is toxic, which alone makes a document bad.
+    A label counts where its quality is known or it is toxic, which alone makes a document bad. Where an id repeats, its least text is taken.
     """
     good = F.min(F.when((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)), 1).otherwise(0)).alias("good")
     known = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(good)
     some = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "good", "text")  # at most max_labelled pairs
+    rows = rows.join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "good").agg(F.min("text").alias("text"))  # one row of each id
     found = rows.mapInArrow(_sample, "doc_id long, good int, dense binary, buckets binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["dense"])))
     if not found:

@@ -2,8 +2,9 @@
 
 Two fingerprints within 4 bits share a variant within 2 bits of both, so every fingerprint emits its ball of radius 2 and equal
 variants give the links. A ball of 64 bits has 2,081 variants. Rows are dealt by the variants' low bits: a fingerprint goes once to
-each block that holds any of its variants (37 of 256 blocks) and its variants there are written out in the block, in parts of bounded
-size. So the shuffle is on variants, while 37 values cross it instead of 2,081.
+each block that holds any of its variants (37 of 256 blocks, 211 of 2**20) and its variants there are written out in the block, in parts
+of bounded size. So the shuffle is on variants, while 37 to 352 values cross it instead of 2,081. The number of blocks follows the data:
+low bits are added until no block gets more than ``MOST`` fingerprints.
 
 Fingerprints are those of the words ``[^\\x20\\x09-\\x0D]+`` in A-Z lower-cased text: a bit is 1 if over half of the XXH64 values
 (seed 42) of the 4-word shingles, repeats included, have it. A text of fewer words is one shingle, one without words has fingerprint 0.
@@ -14,11 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import U64, Workspace, fresh, id_and_text, named, table
@@ -27,6 +30,8 @@ from gristmill.llm.components import components
 BITS = 64
 #: Variants that a block writes out at a time.
 PART = 1 << 21
+#: Fingerprints of a block at most, and the fewest and most low bits that blocks may have.
+MOST, BLOCK_BITS = 1 << 18, (8, 26)
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -61,6 +66,16 @@ def _fingerprints(width: int):
     return run
 
 
+def hex_fingerprint(text_col: str, width: int) -> Column:
+    """The fingerprint of a text column, as 16 hex digits."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: f"{fingerprint(t or '', width):016x}")
+
+    return run(named(text_col).cast("string"))
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -72,14 +87,13 @@ def _masks(low: int, weight: int) -> np.ndarray:
 
 def _deal(block_bits: int, radius: int):
     """Each fingerprint to the blocks within ``radius`` bits of its low bits, packed by block."""
-    keys = np.arange(1 << block_bits, dtype=U64)
-    near = [keys[popcount(keys) <= radius]][0]
+    near = np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(block_bits), k)], U64)
     schema = pa.schema([("block", pa.int32()), ("fps", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-            block = ((fps & U64(len(keys) - 1))[:, None] ^ near[None, :]).ravel()
+            block = ((fps & U64((1 << block_bits) - 1))[:, None] ^ near[None, :]).ravel()
             values = np.repeat(fps, len(near))
             order = np.argsort(block, kind="stable")
             block, values = block[order], values[order]
@@ -155,14 +169,31 @@ def _links(block_bits: int, radius: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, block_bits: int = 8) -> DataFrame:
+def block_bits(fps: DataFrame, radius: int = 4) -> int:
+    """The fewest low bits, of ``BLOCK_BITS``, with which each block gets at most ``MOST`` of the distinct values ``fp``.
+
+    A block gets the fingerprints whose low bits are within half the radius of its own, so what it gets is at most its copies times the
+    fullest value of the low bits; that count is pre-aggregated, and the driver sees one number for each trial.
+    """
+    bits, most = BLOCK_BITS
+    while bits < most:
+        near = sum(comb(bits, k) for k in range(radius // 2 + 1))
+        row = fps.groupBy(F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)).alias("low")).agg(F.count("*").alias("n")).agg(F.max("n").alias("fullest"), F.sum("n").alias("n")).first()
+        if not row["n"] or min(near * row["fullest"], row["n"]) <= MOST:
+            break
+        bits += 3
+    return min(bits, most)
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame:
     """Links (u, v) that connect exactly the distinct values ``fp`` (longs) which chains of ``radius`` bits or fewer connect.
 
-    ``radius`` is even, up to 4. ``block_bits`` is raised with the data: a block gets 37 of 256 parts of all fingerprints, 8 bytes each.
+    ``radius`` is even, up to 4; ``bits`` are the low bits that make a block, ``block_bits`` of the data unless given.
     """
     if radius not in (0, 2, 4):
         raise ValueError("radius must be 0, 2 or 4")
-    return fps.select("fp").mapInArrow(_deal(block_bits, radius // 2), "block int, fps binary").groupBy("block").applyInArrow(_links(block_bits, radius), "u long, v long")
+    bits = bits or block_bits(fps, radius)
+    return fps.select("fp").mapInArrow(_deal(bits, radius // 2), "block int, fps binary").groupBy("block").applyInArrow(_links(bits, radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -179,9 +210,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` without the documents that a near copy with a smaller id stands for. All columns stay; rows with a null id stay."""
+    """``docs`` without the rows that a near copy with a smaller id stands for. All columns stay; rows with a null id stay.
+
+    A row is judged by its id and fingerprint: it goes if its component has a smaller id. Rows that repeat an id and have one fingerprint
+    are one document, so of them only one stays, that whose text is the least.
+    """
     ws = Workspace(docs.sparkSession, "simhash-keep")
+    key, mark, row, print_ = (fresh(docs, f"simhash_{c}") for c in ("id", "text", "row", "print"))
     found = near_duplicates(docs, id_col, text_col, width, radius)
-    key = fresh(docs, "dropped_id")
-    gone = ws.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
-    return docs.join(gone, named(id_col).cast("long") == F.col(key), "left_anti")
+    marked = docs.withColumn(mark, F.md5(F.coalesce(named(text_col).cast("string"), F.lit("")))).withColumn(key, named(id_col).cast("long"))
+    repeated = marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    repeated = ws.write(repeated, "repeated")  # ids that several rows have, usually none
+    gone = ws.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("fingerprint").alias(print_)).distinct(), "gone")
+    once = docs.join(repeated, named(id_col).cast("long") == F.col(key), "left_anti").join(gone, named(id_col).cast("long") == F.col(key), "left_anti")
+    if repeated.isEmpty():
+        return once
+    again = marked.join(repeated, key, "left_semi").withColumn(print_, hex_fingerprint(text_col, width))
+    again = ws.write(again.join(gone, [key, print_], "left_anti"), "again")
+    order = Window.partitionBy(key, print_).orderBy(mark)  # rows of one id and fingerprint
+    again = again.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
+    return once.unionByName(again.select(*(named(c) for c in docs.columns)))

@@ -6,13 +6,19 @@ nonbranching stretch of a document, which is kept as one row: its contents' hash
 Equal stretches compact into one path with the smallest document that has it.
 
 * A bucket of one path has no branch: all edges of it occur exactly where the path does.
-* In a bucket of several paths they may share some edges. Each path is expanded at all its occurrences in its first document, in every row
-  of that id, to the hashes of its edges, and joins on those tell which of them start in a smaller document.
-* A document that isn't the first of a path repeats all of it. Spans of repeated edges meet at their coordinates, and the words go.
-
-Paths are told apart by two 64-bit hashes and their length, edges by two 64-bit hashes. Words ``[^\\x20\\x09-\\x0D]+`` are unchanged. Null
-texts have no words. A row without an id has no smaller or larger document: it keeps all words and removes none. Rows that repeat an id
-are one document to each other (neither removes words of the other) and have a row each.
+* In a bucket of several paths they may share some edges. Each path is opened at all its occurrences in its first document, in every row of
+  that id, to its edges.
+
+Hashes only find candidates. Paths that several documents have, and the edges of opened ones, are read again at their source coordinates, and
+the words there are compared by 128 bits of their SHA-256: what repeats is what has the digest of words in a smaller document. Spans of
+repeated edges meet at their coordinates, and the words go. Neighbouring paths aren't joined to longer ones before that: it would change no
+result, and a path's coordinates would then differ from document to document.
+
+Words ``[^\\x20\\x09-\\x0D]+`` are unchanged. Null texts have no words, and an empty table gives no rows. A row without an id has no
+smaller or larger document: it keeps all words and removes none. Rows that repeat an id are one document to each other (neither removes
+words of the other) and have a row each; they are told apart by the MD5 of their texts. Of documents that tie, that is, have the same
+window, the smallest id keeps it. A long text is one row in a task; its stretches are many. Other columns are not read by
+``substring_report`` and kept by ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,8 +67,8 @@ def stretches(text: Text, width: int) -> tuple[np.ndarray, ...]:
     return doc[begin], least[begin], contents, begin - first[doc[begin]], many, words, first
 
 
-STRETCH = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("version", pa.int32()), ("at", pa.int32())])
-STRETCH_DDL = "m long, h long, n int, doc_id long, version int, at int"
+STRETCH = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("version", pa.binary()), ("at", pa.int32())])
+STRETCH_DDL = "m long, h long, n int, doc_id long, version binary, at int"
 
 
 def _stretches(width: int):
@@ -77,8 +83,8 @@ def _stretches(width: int):
     return run
 
 
-WHOLE_DDL = "doc_id long, version int, n_words long, sha256 string"
-WHOLE = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("n_words", pa.int64()), ("sha256", pa.string())])
+WHOLE_DDL = "doc_id long, version binary, n_words long, sha256 string"
+WHOLE = pa.schema([("doc_id", pa.int64()), ("version", pa.binary()), ("n_words", pa.int64()), ("sha256", pa.string())])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,32 +94,50 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(WHOLE, batch.column(0), batch.column(1), list(map(len, words)), [hashlib.sha256(b" ".join(w)).hexdigest() for w in words])
 
 
-EDGES = pa.schema([("m", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int32()), ("at", pa.int32())])
-EDGES_DDL = "m long, w long, doc_id long, version int, at int"
+EDGES = pa.schema([("n", pa.int32()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("version", pa.binary()), ("at", pa.int32())])
+EDGES_DDL = "n int, digest binary, doc_id long, version binary, at int"
+DIGEST = 16
+
+
+def _joined(text: Text) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a chunk joined by single spaces, where each begins and ends there, and the documents' first words."""
+    start, end, first = text.words()
+    length = end - start + 1
+    ends = np.cumsum(length)
+    own = np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+    flat = np.append(text.data, np.uint8(0x20))[own]
+    flat[ends - 1] = 0x20
+    return flat.tobytes(), ends - length, ends - 1, first
 
 
-def _expand(width: int):
-    """Rows (doc_id, version, text, spans of (at, n, m)) to a row for each edge of the spans."""
+def _digests(width: int):
+    """Rows (doc_id, version, text, spans of (at, n, whole, open)) to the digest of each whole span, and of each edge of the open ones (n is 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = hashlib.sha256
         for batch in batches:
             ids, versions, spans = batch.column(0), batch.column(1), batch.column(3)
             for text in chunks(batch.column(2)):
-                start, end, first = text.words()
-                words = word_hash(text.data, start, end)
+                flat, start, end, first = _joined(text)
+                view = memoryview(flat)
                 own = spans.slice(text.first, len(text))
                 row = np.repeat(np.arange(len(text)), own.value_lengths().to_numpy())
-                at, n, m = (own.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
-                each = np.repeat(np.arange(len(n)), n)
-                begin = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                place = first[row[each]] + begin
-                rows = pa.array(row[each] + text.first)
-                yield table(EDGES, m[each], mix(spans_hash(words, place, place + width)).view(np.int64), ids.take(rows), versions.take(rows), begin.astype(np.int32))
+                at, n, whole, open_ = (own.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+                edges = n * open_
+                each = np.repeat(np.arange(len(n)), edges)
+                begin = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(edges) - edges, edges)
+                some = np.flatnonzero(whole)
+                place, long = np.r_[first[row[some]] + at[some], first[row[each]] + begin], np.r_[n[some] + width - 1, np.full(len(each), width)]
+                body = b"".join([sha(view[a:b]).digest()[:DIGEST] for a, b in zip(start[place].tolist(), end[place + long - 1].tolist(), strict=True)])
+                offsets = pa.array(np.arange(len(place) + 1, dtype=np.int32) * DIGEST).buffers()[1]
+                digest = pa.Array.from_buffers(pa.binary(), len(place), [None, offsets, pa.py_buffer(body)])
+                rows = pa.array(np.r_[row[some], row[each]] + text.first)
+                yield table(EDGES, np.r_[n[some], np.zeros(len(each), np.int64)].astype(np.int32), digest, ids.take(rows), versions.take(rows), np.r_[at[some], begin].astype(np.int32))
 
     return run
 
 
-CUT = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("n_removed", pa.int64()), ("kept", pa.string())])
+CUT = pa.schema([("doc_id", pa.int64()), ("version", pa.binary()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
 def _cut(width: int, digest: bool):
@@ -138,46 +162,40 @@ def _cut(width: int, digest: bool):
 
 
 def _repeats(rows: DataFrame, width: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Texts with repeated edges (doc_id, version, text), and their spans (doc_id, version, at, n).
+    """Texts with candidates (doc_id, version, text), and the verified repeated spans (doc_id, version, at, n).
 
     All sides of the joins grow with the corpus, so they are merged at every size; hot keys are split by their skew.
     """
     all_ = ws.write(rows.where("doc_id is not null").select("doc_id", "version", "text").mapInArrow(_stretches(width), STRETCH_DDL), "stretches")
     buckets = all_.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m")
     shared = ws.write(all_.join(ws.write(buckets, "buckets").hint("merge"), "m"), "shared")  # stretches of minimizers that two documents have
-    ws.drop("stretches")
-    ws.drop("buckets")
-    ws.release()
-    paths = ws.write(shared.groupBy("m", "h", "n").agg(F.min("doc_id").alias("source")), "paths")
+    ws.drop("stretches", "buckets")
+    paths = ws.write(shared.groupBy("m", "h", "n").agg(F.min("doc_id").alias("source"), (F.min("doc_id") < F.max("doc_id")).alias("whole")), "paths")
     branching = ws.write(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m", F.lit(True).alias("branches")), "branching")
-    sources = paths.join(branching, "m", "left")
-    placed = shared.join(sources.hint("merge"), ["m", "h", "n"]).where("doc_id > source or branches")  # doc_id is source or more
-    placed = ws.write(placed.select("doc_id", "version", "at", "n", "m", (F.col("doc_id") == F.col("source")).alias("own")), "placed")
-    open_, later = placed.where("own").drop("own"), placed.where("not own").select("doc_id", "version", "at", "n")
-    wanted = open_.select("doc_id", "version").unionByName(later.select("doc_id", "version")).distinct()
-    texts = ws.write(rows.join(ws.write(wanted, "wanted").hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text").dropDuplicates(["doc_id", "version"]), "texts")
-    for name in ("shared", "paths", "branching", "wanted"):
-        ws.drop(name)
-    ws.release()
-    spans = open_.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n", "m")).alias("spans"))  # no more than a document has words; equal rows are one
-    edges = ws.write(texts.join(spans, ["doc_id", "version"]).select("doc_id", "version", "text", "spans").mapInArrow(_expand(width), EDGES_DDL), "edges")
-    least = ws.write(edges.groupBy("m", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m", "w", "low"), "least")
-    single = edges.join(least, ["m", "w"]).where("low < doc_id").select("doc_id", "version", "at", F.lit(1).alias("n"))
-    found = ws.write(later.unionByName(single), "spans")
-    for name in ("edges", "least", "placed"):
-        ws.drop(name)
-    ws.release()
-    return texts, found
+    known = paths.join(branching, "m", "left").withColumn("branches", F.coalesce("branches", F.lit(False))).where("whole or branches")
+    placed = shared.join(known.hint("merge"), ["m", "h", "n"]).withColumn("open", F.col("branches") & (F.col("doc_id") == F.col("source")))
+    placed = ws.write(placed.where("whole or open").select("doc_id", "version", "at", "n", "whole", "open"), "placed")
+    ws.drop("shared", "paths", "branching")
+    wanted = ws.write(placed.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n", "whole", "open")).alias("spans")), "wanted")  # no more than a document has words; equal rows are one
+    texts = rows.join(wanted.hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text", "spans").dropDuplicates(["doc_id", "version"])
+    texts = ws.write(texts, "texts")
+    ws.drop("placed", "wanted")
+    edges = ws.write(texts.mapInArrow(_digests(width), EDGES_DDL), "edges")
+    least = ws.write(edges.groupBy("n", "digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("n", "digest", "low"), "least")
+    found = edges.join(least.hint("merge"), ["n", "digest"]).where("low < doc_id").select("doc_id", "version", "at", F.greatest("n", F.lit(1)).alias("n"))
+    found = ws.write(found, "spans")
+    ws.drop("edges", "least")
+    return texts.drop("spans"), found
 
 
 def _removals(rows: DataFrame, width: int, digest: bool, ws: Workspace) -> DataFrame:
     texts, spans = _repeats(rows, width, ws)
     listed = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    return ws.write(texts.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "spans").mapInArrow(_cut(width, digest), "doc_id long, version int, n_removed long, kept string"), "removals")
+    return ws.write(texts.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "spans").mapInArrow(_cut(width, digest), "doc_id long, version binary, n_removed long, kept string"), "removals")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return id_and_text(docs, id_col, text_col).withColumn("version", F.hash("text"))
+    return id_and_text(docs, id_col, text_col).withColumn("version", F.unhex(F.md5("text")))
 
 
 def substring_report(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,5 +217,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     key, version, kept = (fresh(docs, f"substring_{c}") for c in ("id", "version", "kept"))
     cut = cut.select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("kept").alias(kept))
     text = F.coalesce(named(text_col).cast("string"), F.lit(""))
-    joined = docs.join(cut, (named(id_col).cast("long") == F.col(key)) & (F.hash(text) == F.col(version)), "left")
+    joined = docs.join(cut, (named(id_col).cast("long") == F.col(key)) & (F.unhex(F.md5(text)) == F.col(version)), "left")
     return joined.select(*(F.coalesce(F.col(kept), named(c)).alias(c) if c.lower() == text_col.lower() else named(c) for c in docs.columns))

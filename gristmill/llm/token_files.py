@@ -1,19 +1,21 @@
 """Token ids in Huffman-coded files: canonical length-limited codes of global counts, read back through tables.
 
-A folder holds ``codebook.json`` (the code length of each id), ``manifest.json`` and one file for each contiguous range of document ids,
-in ascending order. A file has a header, the ids and lengths of its documents, and blocks that are decoded independently; a block carries
-the bit offset of every ``CHECKPOINT``-th token, so its parts are decoded side by side, each step one table look-up for all of them.
+A folder holds ``codebook.json`` (the code length of each id), ``manifest.json`` and files for contiguous ranges of document ids, in ascending
+order; a range's files are rolled by size. A file holds blocks that are decoded independently; a block carries the bit offset of every
+``CHECKPOINT``-th token, so its parts are decoded side by side, each step one table look-up for all of them. Files are written as a stream,
+so a task holds a block and the ids and lengths of one file's documents, whatever the range.
 
-Format, little-endian: ``GMHUF1\\n\\0``, u32 length of a JSON header, the header, i64 document ids, u8 "has an id" flags, u64 token counts,
-then blocks: u32 tokens, u32 words, u32 CRC-32 of the rest of the block, u64 offsets of the checkpoints, u64 words whose bits are used from the highest down.
+Format, little-endian: ``GMHUF2\\n\\0``; blocks: u32 tokens, u32 words, u32 CRC-32 of the rest of the block, u64 offsets of the checkpoints, u64
+words whose bits are used from the highest down; the index: i64 document ids, u8 "has an id" flags, u64 token counts; a JSON footer; u32
+length of the footer, and the magic again. A document may go on in the next block, not in the next file.
 
 The end id is appended to each document. A null text is empty and gives only that; a null id sorts first; rows that repeat an id stay, by
-text; an empty table gives a folder without files.
+text (equal rows each have their row); an empty table gives a folder without files. A text is encoded whole, however long. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import io
 import json
 import struct
 import uuid
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import U64, Workspace, balanced_cuts, deal, id_and_text, in_span, partitions, table, uri
 from gristmill.llm.encoder import encoder
 
-MAGIC = b"GMHUF1\n\0"
+MAGIC = b"GMHUF2\n\0"
 CHECKPOINT, BLOCK, LONGEST = 512, 1 << 16, 16
 NO_ID = -(1 << 63)
+#: Bytes after which a file is closed, at the end of a frame of documents.
+ROLL_BYTES = 128 << 20
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -129,13 +133,16 @@ def write_block(out, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) ->
     out.write(struct.pack("<III", len(ids), len(words), zlib.crc32(body)) + body)
 
 
-def read_blocks(stream) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    while head := stream.read(12):
+def read_blocks(stream, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The blocks of the next ``size`` bytes, or of all."""
+    while (size is None or size > 0) and (head := stream.read(12)):
         n, words, check = struct.unpack("<III", head)
         checkpoints = -(-n // CHECKPOINT)
         body = stream.read(8 * (checkpoints + words))
         if zlib.crc32(body) != check:
             raise ValueError("a block's checksum is wrong")
+        if size is not None:
+            size -= 12 + len(body)
         numbers = np.frombuffer(body, "<u8")
         yield n, numbers[checkpoints:], numbers[:checkpoints]
 
@@ -200,7 +207,40 @@ def _sum_counts(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"counts": pa.array([zstandard.ZstdCompressor(1).compress(total.tobytes())], pa.binary())})
 
 
-def _write(spool: str, folder: str, lengths: np.ndarray, dtype: np.dtype):
+class _File:
+    """One coded file under a temporary name; blocks go out as they fill."""
+
+    def __init__(self, store, root: str, name: str, first: int, codes: np.ndarray, lengths: np.ndarray, dtype: np.dtype):
+        self.name, self.temporary, self.first = name, f"{name}.{uuid.uuid4().hex}.tmp", first
+        self.codes, self.lengths = codes, lengths
+        self.out = store.open_output_stream(f"{root}/temporary/{self.temporary}", compression=None)
+        self.out.write(MAGIC)
+        self.index: list[list[np.ndarray]] = []
+        self.left, self.tokens, self.size = np.zeros(0, dtype), 0, 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def add(self, rows: list[np.ndarray], ids: np.ndarray) -> None:
+        self.index.append(rows)
+        self.tokens += len(ids)
+        ids = np.concatenate([self.left, ids])
+        whole = len(ids) // BLOCK * BLOCK
+        for k in range(0, whole, BLOCK):
+            write_block(self, ids[k : k + BLOCK], self.codes, self.lengths)
+        self.left = ids[whole:]
+
+    def close(self) -> tuple[str, str]:
+        if len(self.left):
+            write_block(self, self.left, self.codes, self.lengths)
+        footer = json.dumps({"first_token": self.first, "tokens": self.tokens, "docs": sum(len(x[0]) for x in self.index), "blocks": self.size}).encode()
+        self.out.write(b"".join(np.concatenate([x[k] for x in self.index]).tobytes() for k in range(3)) + footer + struct.pack("<I", len(footer)) + MAGIC)
+        self.out.close()
+        return self.name, self.temporary
+
+
+def _write(spool: str, folder: str, lengths: np.ndarray, dtype: np.dtype, roll_bytes: int):
     """Spool files to coded files, under temporary names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,39 +250,33 @@ def _write(spool: str, folder: str, lengths: np.ndarray, dtype: np.dtype):
         for batch in batches:
             for span, name, first in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 store.create_dir(f"{root}/temporary", recursive=True)
-                body, index, left, tokens = io.BytesIO(), [], np.zeros(0, dtype), 0
+                done, file = [], None
                 with store.open_input_stream(f"{source}/{name}", compression=None) as stream:
                     for *rows, ids in _frames(stream, dtype):
-                        index.append(rows)
-                        tokens += len(ids)
-                        left = np.concatenate([left, ids])
-                        for k in range(0, len(left) - BLOCK + 1, BLOCK):
-                            write_block(body, left[k : k + BLOCK], codes, lengths)
-                        left = left[len(left) // BLOCK * BLOCK :]
-                if len(left):
-                    write_block(body, left, codes, lengths)
-                docs = sum(len(x[0]) for x in index)
-                header = json.dumps({"first_token": first, "tokens": tokens, "docs": docs}).encode()
-                final = f"{span:06d}.huf"
-                temporary = f"{final}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(f"{root}/temporary/{temporary}", compression=None) as out:
-                    out.write(MAGIC + struct.pack("<I", len(header)) + header + b"".join(np.concatenate([x[k] for x in index]).tobytes() for k in range(3)))
-                    out.write(body.getbuffer())
-                yield pa.record_batch({"name": [final], "temporary": [temporary]})
+                        if file and file.size >= roll_bytes:
+                            done.append(file.close())
+                            file = None
+                        file = file or _File(store, root, f"{span:06d}-{len(done):06d}.huf", first, codes, lengths, dtype)
+                        file.add(rows, ids)
+                        first += len(ids)
+                if file:
+                    done.append(file.close())
+                yield pa.record_batch({"name": [x for x, _ in done], "temporary": [x for _, x in done]})
 
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes ``docs`` and writes the folder. Texts cross one shuffle, into ranges of ids, and are encoded once; ids wait in spool files.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", roll_bytes: int = ROLL_BYTES) -> None:
+    """Encodes ``docs`` and writes the folder. Texts cross one shuffle, into ranges of ids of about as many bytes, and are encoded once; ids
+    wait in spool files.
 
-    The driver sees a row for each range, and the summed counts. Files are renamed by the driver once Spark has committed their list.
+    The driver sees a row for each file, and the summed counts. Files are renamed by the driver once Spark has committed their list.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "token-files")
     rows = id_and_text(docs, id_col, text_col).withColumn("k", F.coalesce("doc_id", F.lit(NO_ID)))
     count = partitions(spark)
-    dealt = deal(rows.withColumn("span", in_span("k", balanced_cuts(rows, "k", F.lit(1), count))), count).sortWithinPartitions("span", "k", "text")
+    dealt = deal(rows.withColumn("span", in_span("k", balanced_cuts(rows, "k", F.octet_length("text") + 16, count))), count).sortWithinPartitions("span", "k", "text")
     spool = uri(ws.path("spool"))
     spooled = ws.write(dealt.select("span", "doc_id", "text").mapInArrow(_spool(spool, tokenizer, end_id), SPOOL_DDL), "spooled")
     sums = spooled.groupBy((F.col("span") % 32).alias("part")).applyInArrow(_sum_counts, "counts binary").collect()
@@ -256,13 +290,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     if listed:
         starts = np.cumsum([0, *(r["tokens"] for r in listed)])
         plan = spark.createDataFrame([(r["span"], r["name"], int(s)) for r, s in zip(listed, starts, strict=False)], "span int, name string, first long")
-        written = ws.write(plan.repartition(len(listed)).mapInArrow(_write(spool, folder, lengths, own.dtype), "name string, temporary string"), "written")
+        written = ws.write(plan.repartition(len(listed)).mapInArrow(_write(spool, folder, lengths, own.dtype, roll_bytes), "name string, temporary string"), "written")
         for r in written.collect():
             store.move(f"{root}/temporary/{r['temporary']}", f"{root}/{r['name']}")
             names.append(r["name"])
         store.delete_dir(f"{root}/temporary")
     _put(store, f"{root}/codebook.json", {"longest": LONGEST, "lengths": lengths.tolist()})
-    _put(store, f"{root}/manifest.json", {"format": "huffman-tokens-1", "files": sorted(names), "end_id": end_id, "width": own.dtype.itemsize})
+    _put(store, f"{root}/manifest.json", {"format": "huffman-tokens-2", "files": sorted(names), "end_id": end_id, "width": own.dtype.itemsize})
     ws.drop("spool")
 
 
@@ -272,17 +306,24 @@ def _put(store, path: str, what: dict) -> None:
     store.move(f"{path}.tmp", path)
 
 
-def decode_file(stream, decode: np.ndarray, dtype: np.dtype) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, Iterator[np.ndarray]]:
-    """First token's number, document ids, which rows have one, token counts, and the ids by groups of blocks."""
-    if stream.read(8) != MAGIC:
-        raise ValueError("not a token file")
-    header = json.loads(stream.read(struct.unpack("<I", stream.read(4))[0]))
-    docs = header["docs"]
+def decode_file(stream, size: int, decode: np.ndarray, dtype: np.dtype) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """First token's number, document ids, which rows have one, token counts, and the ids by groups of blocks. ``stream`` can seek."""
+    mark = len(MAGIC)
+    stream.seek(size - mark - 4)
+    tail = stream.read(mark + 4)
+    if tail[4:] != MAGIC:
+        raise ValueError("not a token file, or one that was cut off")
+    long = struct.unpack("<I", tail[:4])[0]
+    stream.seek(size - mark - 4 - long)
+    footer = json.loads(stream.read(long))
+    docs = footer["docs"]
+    stream.seek(mark + footer["blocks"])
     keys, has, n = (np.frombuffer(stream.read(docs * w), t) for w, t in ((8, "<i8"), (1, np.uint8), (8, "<u8")))
+    stream.seek(mark)
 
     def groups() -> Iterator[np.ndarray]:
         held = []
-        for block in read_blocks(stream):
+        for block in read_blocks(stream, footer["blocks"]):
             held.append(block)
             if len(held) == 64:
                 yield np.concatenate(unpack(held, decode, dtype))
@@ -290,7 +331,7 @@ def decode_file(stream, decode: np.ndarray, dtype: np.dtype) -> tuple[int, np.nd
         if held:
             yield np.concatenate(unpack(held, decode, dtype))
 
-    return header["first_token"], keys, has, n, groups()
+    return footer["first_token"], keys, has, n, groups()
 
 
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -302,8 +343,8 @@ def _read(folder: str, lengths: list[int], width: int):
         store, root = pafs.FileSystem.from_uri(folder)
         decode, dtype = decode_table(np.array(lengths, np.uint8)), np.dtype(f"<u{width}")
         for name in (n for b in batches for n in b.column(0).to_pylist()):
-            with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                start, keys, has, n, groups = decode_file(stream, decode, dtype)
+            with store.open_input_file(f"{root}/{name}") as stream:
+                start, keys, has, n, groups = decode_file(stream, stream.size(), decode, dtype)
                 checks = np.zeros(len(n), np.int64)
                 doc, left = 0, int(n[0]) if len(n) else 0
                 for ids in groups:
@@ -332,8 +373,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return listed.mapInArrow(_read(folder, codebook["lengths"], manifest["width"]), ROWS_DDL)
 
 
-def token_file_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_file_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes token files in the shared folder and reads them back."""
     folder = uri(Workspace(docs.sparkSession, "token-output").path("files"))
-    write_token_files(docs, folder, tokenizer, end_id, id_col, text_col)
+    write_token_files(docs, folder, tokenizer, end_id, id_col, text_col, roll_bytes)
     return read_token_files(docs.sparkSession, folder)

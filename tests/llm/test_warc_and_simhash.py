@@ -82,12 +82,33 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     got = simhash.near_duplicates(docs(rows, extra=True))
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
     kept = simhash.keep_one(docs(rows, extra=True), width=4)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _, c in want if i is None or c == i)
+    stay = [str(i) for i, _, c in want if i is None] + [str(i) for i, _ in {(i, f) for i, f, c in want if i is not None and c == i}]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(stay)
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
-@pytest.mark.parametrize("part", [1 << 21, 3000])
-def test_balls_miss_no_link(spark, monkeypatch, part):
+def test_rows_that_repeat_an_id_are_judged_one_by_one(docs):
+    near, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, near), (2, near), (2, other), (3, "thirteen fourteen"), (3, "thirteen fourteen"), (None, near)]
+    kept = simhash.keep_one(docs(rows, extra=True))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, near), (2, other), (3, "thirteen fourteen"), (None, near)], key=str)
+    assert kept.columns == docs(rows, extra=True).columns
+
+
+def test_blocks_follow_the_data(spark, monkeypatch):
+    rng = random.Random(2)
+    spread = spark.createDataFrame([(rng.getrandbits(64) - (1 << 63),) for _ in range(3000)], "fp long")
+    tight = spark.createDataFrame([(k << 8,) for k in range(3000)], "fp long")  # one value of the low bits
+    assert simhash.block_bits(spread) == 8
+    monkeypatch.setattr(simhash, "MOST", 400)
+    assert simhash.block_bits(spread) == 11 and simhash.block_bits(tight) > 11
+    monkeypatch.setattr(simhash, "MOST", 10)
+    assert simhash.block_bits(tight) == 26
+    assert simhash.block_bits(spread.limit(0)) == 8
+
+
+@pytest.mark.parametrize("part,bits", [(1 << 21, None), (3000, 8), (3000, 14)])
+def test_balls_miss_no_link(spark, monkeypatch, part, bits):
     rng = random.Random(1)
     values = {rng.getrandbits(64) for _ in range(60)}
     for v in list(values):
@@ -99,7 +120,7 @@ def test_balls_miss_no_link(spark, monkeypatch, part):
     fps = np.array(sorted(values), np.uint64)
     monkeypatch.setattr(simhash, "PART", part)
     df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
-    links = simhash.fingerprint_links(df).collect()
+    links = simhash.fingerprint_links(df, bits=bits).collect()
     index = {int(v): k for k, v in enumerate(fps.view(np.int64))}
     got = simhash.forest(len(fps), np.array([index[r["u"]] for r in links]), np.array([index[r["v"]] for r in links]))
     d = np.bitwise_count(fps[:, None] ^ fps[None, :])
