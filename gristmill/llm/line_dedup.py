@@ -9,10 +9,11 @@ Texts and lines are read whole, however long. Other columns are not read by ``li
 The join orders words by rarity (counts of all words, in a sketch of fixed size; ties by hash, so the order is total) and
 
 1. deals each distinct set by the words of its prefix, which any similar set's prefix must meet; equal sets are one, their later lines go;
-2. under a word that at most ``FEW`` sets have, pairs the sets if lengths, positions of the word and 64-bit parities leave similarity possible,
-   and verifies the Jaccard similarity of the pairs on the sets themselves;
-3. under a word that more sets have, takes the sets there and compares them in blocks of bounded size: a block returns the links of each set
-   by number, its earliest similar set and a spanning forest, but no pairs. A pair counts at the first such word that the two share.
+2. under each word pairs the sets if lengths, positions of the word and 64-bit parities leave similarity possible, and verifies the Jaccard
+   similarity of the pairs on the sets themselves;
+3. under a word that gives more than ``FEW`` pairs a set (a group of near copies) or has more than ``LARGE`` sets, takes the sets instead and
+   compares them in blocks of bounded size: a block returns the links of each set by number, its earliest similar set and a spanning
+   forest, but no pairs. A pair counts at the first such word that the two share.
 
 So every link is found and counted, while rows are in proportion to the lines, also for a group of near copies that has a third of them;
 only the comparisons within blocks are as many as pairs under a word. Words of very many lines go to the blocks at once, without passing
@@ -34,8 +35,8 @@ from gristmill.llm.common import U64, Text, Workspace, chunks, fresh, id_and_tex
 from gristmill.llm.components import components
 
 SKETCH_BITS, BLOOM_BITS = 22, 26
-#: Sets that a word may have for its pairs to be written; lines of words in all from which a word goes to the blocks at once.
-FEW, MANY = 64, 1 << 20
+#: Pairs for each set and sets that a word may have for its pairs to be written; lines that have a word from which it goes to the blocks at once.
+FEW, LARGE, MANY = 16, 1 << 13, 1 << 20
 #: Words of the sets of a block; a block is compared with itself and with each other one of its word.
 BLOCK_WORDS = 1 << 17
 #: Lines of a chunk from which their numbers don't fit into a sort key beside 40 bits of the word.
@@ -227,8 +228,9 @@ def _candidates(t: Fraction, slots: int):
         opens = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         size = np.diff(np.r_[opens, len(word)])
         start = np.repeat(opens, size)
-        cold = np.repeat(size <= FEW, size) & few
-        todo = np.flatnonzero(cold & (np.arange(len(word)) > start))
+        own = np.repeat(np.arange(len(opens)), size)
+        hot, made = (size > LARGE) | (not few), np.zeros(len(opens), np.int64)
+        todo = np.flatnonzero(~hot[own] & (np.arange(len(word)) > start))
         xs, ys, step = [], [], 0
         while len(todo):
             x = start[todo] + step  # the step-th set under the word
@@ -242,9 +244,15 @@ def _candidates(t: Fraction, slots: int):
             fits = (np.minimum(n[x] - at[x], n[todo] - at[todo]) >= need) & (apart <= free)
             xs.append(x[fits])
             ys.append(todo[fits])
+            np.add.at(made, own[todo[fits]], 1)
+            if (made > FEW * size).any():
+                hot |= made > FEW * size
+                todo = todo[~hot[own[todo]]]
+                made[hot] = 0
             step += 1
         x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys))
-        hot = np.flatnonzero(~cold)
+        x, y = x[~hot[own[y]]], y[~hot[own[y]]]
+        hot = np.flatnonzero(hot[own])
         own, none = np.r_[y, hot], np.r_[np.zeros(len(y), bool), np.ones(len(hot), bool)]
         other = np.r_[x, hot]
         columns = [h[own].view(np.int64), n[own].astype(np.int32), doc[own], line[own].astype(np.int32)]

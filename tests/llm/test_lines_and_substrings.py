@@ -20,7 +20,7 @@ def near_lines(seed, n=50):
     return rows
 
 
-LIMITS = [{}, {"FEW": 1}, {"FEW": 2, "BLOCK_WORDS": 40}, {"MANY": 3, "BLOCK_WORDS": 30}, {"FAN": 2}]
+LIMITS = [{}, {"FEW": 1}, {"FEW": 2, "LARGE": 5, "BLOCK_WORDS": 40}, {"MANY": 3, "BLOCK_WORDS": 30}, {"FAN": 2}]
 
 
 def classes(rows, t=0.8):
