@@ -37,6 +37,8 @@ from gristmill.llm.components import components
 SKETCH_BITS, BLOOM_BITS = 22, 26
 #: Pairs for each set and sets that a word may have for its pairs to be written; lines that have a word from which it goes to the blocks at once.
 FEW, LARGE, MANY = 16, 1 << 13, 1 << 20
+#: Pairs that are filtered at a time.
+AT_ONCE = 1 << 16
 #: Words of the sets of a block; a block is compared with itself and with each other one of its word.
 BLOCK_WORDS = 1 << 17
 #: Lines of a chunk from which their numbers don't fit into a sort key beside 40 bits of the word.
@@ -60,7 +62,7 @@ class Lines:
         weight = rank[(words >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64) if rank is not None else U64(0)
         if len(begin := np.flatnonzero(opens)) < KEYED:
             key = (line.astype(U64) << U64(40)) | (weight << U64(32)) | (words >> U64(32))
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, words, line = key[order], words[order], line[order]
             while (swap := np.flatnonzero((key[1:] == key[:-1]) & (words[1:] < words[:-1]))).size:  # ties of the sorted bits
                 swap = swap[np.r_[True, np.diff(swap) > 1]]
@@ -213,7 +215,7 @@ def _candidates(t: Fraction, slots: int):
         word, h, parity, parity2, n, at, doc, line = (np.concatenate(p) for p in parts)
         few = slot[0].as_py() < slots
         if few:
-            order = np.argsort(word, kind="stable")
+            order = np.argsort(word)
             alone = word[order]
             alone = np.r_[True, alone[1:] != alone[:-1]] & np.r_[alone[1:] != alone[:-1], True]
             word, h, parity, parity2, n, at, doc, line = (c[order[~alone]] for c in (word, h, parity, parity2, n, at, doc, line))  # words of one set pair nothing
@@ -233,23 +235,28 @@ def _candidates(t: Fraction, slots: int):
         todo = np.flatnonzero(~hot[own] & (np.arange(len(word)) > start))
         xs, ys, step = [], [], 0
         while len(todo):
-            x = start[todo] + step  # the step-th set under the word
-            live = x < todo
-            x, todo = x[live], todo[live]
-            total = n[x] + n[todo]
+            steps = max(1, AT_ONCE // len(todo))
+            x = (start[todo][:, None] + np.arange(step, step + steps)).ravel()  # the step-th sets under the word
+            y = np.repeat(todo, steps)
+            live = x < y
+            x, y = x[live], y[live]
+            total = n[x] + n[y]
             need = least_overlap(total, t)
-            one, two, free = parity[x] ^ parity[todo], parity2[x] ^ parity2[todo], total - 2 * need
-            alike = (n[x] > SPLIT) == (n[todo] > SPLIT)  # else the two halves of one together are as the other's parities
+            some = np.minimum(n[x] - at[x], n[y] - at[y]) >= need
+            x, y, free = x[some], y[some], (total - 2 * need)[some]
+            one, two = parity[x] ^ parity[y], parity2[x] ^ parity2[y]
+            alike = (n[x] > SPLIT) == (n[y] > SPLIT)  # else the two halves of one together are as the other's parities
             apart = np.where(alike, np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
-            fits = (np.minimum(n[x] - at[x], n[todo] - at[todo]) >= need) & (apart <= free)
+            fits = apart <= free
             xs.append(x[fits])
-            ys.append(todo[fits])
-            np.add.at(made, own[todo[fits]], 1)
+            ys.append(y[fits])
+            made += np.bincount(own[y[fits]], minlength=len(made))
+            step += steps
+            todo = todo[start[todo] + step < todo]
             if (made > FEW * size).any():
                 hot |= made > FEW * size
                 todo = todo[~hot[own[todo]]]
                 made[hot] = 0
-            step += 1
         x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys))
         x, y = x[~hot[own[y]]], y[~hot[own[y]]]
         hot = np.flatnonzero(hot[own])
@@ -314,8 +321,8 @@ def _sets(bloom):
     return run
 
 
-LINKED = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("links", pa.int64()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("similarity", pa.float64()), ("root", pa.int64())])
-LINKED_DDL = "h long, n int, links long, x_doc long, x_line int, similarity double, root long"
+LINKED = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("doc", pa.int64()), ("line", pa.int32()), ("links", pa.int64()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("similarity", pa.float64()), ("root", pa.int64())])
+LINKED_DDL = "h long, n int, doc long, line int, links long, x_doc long, x_line int, similarity double, root long"
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,7 +390,7 @@ def _compared(t: Fraction):
         none = near[some] < 0
         at = np.maximum(near[some], 0)
         earliest = [pa.array(c, k, mask=none) for c, k in ((doc[at], pa.int64()), (line[at].astype(np.int32), pa.int32()), (likeness[some], pa.float64()))]
-        return pa.table([pa.array(h[some]), pa.array(n[some].astype(np.int32)), pa.array(links[some]), *earliest, pa.array(h[label[some]])], schema=LINKED)
+        return pa.table([pa.array(h[some]), pa.array(n[some].astype(np.int32)), pa.array(doc[some]), pa.array(line[some].astype(np.int32)), pa.array(links[some]), *earliest, pa.array(h[label[some]])], schema=LINKED)
 
     return run
 
@@ -416,8 +423,8 @@ def _linked(rows: DataFrame, found: DataFrame, t: Fraction, ws: Workspace) -> Da
     held = ws.write(held.select(*pairs.columns, "similarity"), "held")
     ws.drop("close")
     one = F.lit(1).cast("long").alias("links")
-    later = held.select(F.col("y").alias("h"), F.col("ny").alias("n"), one, "x_doc", "x_line", "similarity", F.col("x").alias("root"))
-    earlier = held.select(F.col("x").alias("h"), F.col("nx").alias("n"), one, *(F.lit(None).cast(d).alias(c) for c, d in (("x_doc", "long"), ("x_line", "int"), ("similarity", "double"))), F.col("x").alias("root"))
+    later = held.select(F.col("y").alias("h"), F.col("ny").alias("n"), F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), one, "x_doc", "x_line", "similarity", F.col("x").alias("root"))
+    earlier = held.select(F.col("x").alias("h"), F.col("nx").alias("n"), F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), one, *(F.lit(None).cast(d).alias(c) for c, d in (("x_doc", "long"), ("x_line", "int"), ("similarity", "double"))), F.col("x").alias("root"))
     own = F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int")
     dealt = hot.join(sets.select(F.col("h").alias("y"), F.col("n").alias("ny"), "words", "keys").hint("merge"), ["y", "ny"]).withColumn("part", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -440,11 +447,16 @@ def _prepared(docs: DataFrame, similarity: float, id_col: str, text_col: str, ws
     return lines.where("body is null").drop("body"), _linked(rows, ws.write(found, "found"), t, ws)
 
 
-def _known(lines: DataFrame, linked: DataFrame) -> DataFrame:
-    """Of each distinct set its first line, its links, and the earliest line before that which is similar."""
-    first = lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+def _sums(linked: DataFrame) -> DataFrame:
+    """Of each set with links its first line, how many it has, and the earliest line before that which is similar."""
     near = F.min(F.when(F.col("x_doc").isNotNull(), F.struct("x_doc", "x_line", "similarity"))).alias("near")
-    return first.join(linked.groupBy("h", "n").agg(F.sum("links").alias("links"), near).hint("merge"), ["h", "n"], "left")
+    return linked.groupBy("h", "n").agg(F.min(F.struct("doc", "line")).alias("own"), F.sum("links").alias("links"), near)
+
+
+def _known(lines: DataFrame, sums: DataFrame) -> DataFrame:
+    """Of each distinct set its first line, and what ``sums`` has."""
+    first = lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    return first.join(sums.hint("merge"), ["h", "n"], "left")
 
 
 def _of(lines: DataFrame, known: DataFrame) -> DataFrame:
@@ -464,7 +476,7 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     """
     ws = ws or Workspace(docs.sparkSession, "line-dedup")
     lines, linked = _prepared(docs, similarity, id_col, text_col, ws)
-    known = ws.write(_known(lines, linked), "known")
+    known = _known(lines, ws.write(_sums(linked), "sums"))
     return _of(lines, known).where("removed").select("doc_id", "line", "kept_doc_id", "kept_line", "similarity", "h").distinct()
 
 
@@ -476,13 +488,12 @@ def line_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id",
     """
     ws = Workspace(docs.sparkSession, "line-links")
     lines, linked = _prepared(docs, similarity, id_col, text_col, ws)
-    known = ws.write(_known(lines, linked), "known")
+    sums = ws.write(_sums(linked), "sums")
     roots = ws.write(components(linked.select(F.col("h").alias("u"), F.col("root").alias("v")), ws), "roots")
-    members = roots.join(known.select(F.col("h").alias("node"), "first").hint("merge"), "node")
-    classes = members.groupBy("root").agg(F.min("first").alias("class"))
-    classes = ws.write(roots.join(classes.hint("merge"), "root").select(F.col("node").alias("h"), "class"), "classes")
-    known = ws.write(known.join(classes.hint("merge"), "h", "left").withColumn("class", F.coalesce("class", "first")), "complete")
-    return _of(lines, known).select("doc_id", "line", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line").alias("class_line"), F.coalesce("links", F.lit(0)).alias("n_links"), "removed", "kept_doc_id", "kept_line", "similarity")
+    classes = roots.join(sums.select(F.col("h").alias("node"), "own"), "node").groupBy("root").agg(F.min("own").alias("class"))
+    classes = roots.join(ws.write(classes, "classes"), "root").select(F.col("node").alias("h"), "class")
+    known = _known(lines, ws.write(sums.join(classes, "h"), "complete"))
+    return _of(lines, known).select("doc_id", "line", F.coalesce("class.doc", "first.doc_id").alias("class_doc_id"), F.coalesce("class.line", "first.line").alias("class_line"), F.coalesce("links", F.lit(0)).alias("n_links"), "removed", "kept_doc_id", "kept_line", "similarity")
 
 
 def _rewrite(where: int, spans: int, drop_empty: bool, schema_width: int):
