@@ -7,13 +7,24 @@ Spans are ``kind:start:end`` in code points, end exclusive. Base kinds, each lef
 
 The lexer adds, without taking any base span away:
 
-* ``literal``: a literal given directly to a sensitive name (``db_pwd = "..."``, ``"client_secret": "..."``, ``export X=...``);
-* ``constant``: a literal that reaches a sensitive name by constants (``k = "..."; auth_token = k``, also ``"a" + k`` and ``${k}``).
+* ``literal``: a literal given directly to a sensitive name;
+* ``constant``: a literal that reaches a sensitive name by constants (``k = "..."; auth_token = k``, also ``"a" + k``, ``f(k)`` and ``${k}``).
 
-A name stands for all its definitions in the text, wherever they are, so no binding hides another. ``name: type = literal`` gives the
-literal to ``name``; to the type's place as well (it may be a name after a label), unless it is a built-in type.
+It reads tokens from left to right, with states for comments, strings (also of several lines), brackets and statements, from each line
+that has an operator, and parses targets and expressions:
 
-A null or empty text has no spans. Rows repeat as they come in; the result has one row for each row of the input, in no order.
+* targets are names (of any length, dotted), subscripts (``cfg["db_pwd"]`` is ``cfg.db_pwd``), quoted keys, and typed names (``name: type = ...``);
+* expressions go on in brackets, after a backslash or a joining operator, and on the next line where a key has nothing else on its own. Their
+  literals and names count: of calls the arguments but not the function, of lists the elements, of subscripts the name that they make; the
+  pairs of a dictionary stand for themselves;
+* configuration: YAML scalars, also blocks (``|`` and ``>``) by line, INI and environment lines, JSON, XML elements and the pairs of their
+  attributes (also ``key="..." value="..."``).
+
+An assignment within a string is text and none of the lexer's; one within a comment is read as a scope of its own, since what is commented out
+is as secret. A name stands for all its definitions in its scope, wherever they are, so no binding hides another.
+
+A null or empty text has no spans, an empty table no rows. Rows repeat as they come in; the result has one row for each row of the input, in no
+order. Spans that tie in their start are in order of their kinds. Texts are read whole, however long. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,17 +64,30 @@ NAME_PAIRS = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 0
 #: Literals that stand for a secret rather than being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:change[-_]?me|example|placeholder|your[-_].*|my[-_].*|todo|none|null|true|false|undefined|dummy|sample|x{4,}|\*+|<.*>|\$\{.*\}|%\(?.*\)?s?)$")
 
-NAME_BEFORE = re.compile(r"""(["'`]?)([A-Za-z_][A-Za-z0-9_.\-]{0,127})\1[ \t]*\Z""")
-OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*")
-STRING = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`''')
-REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_.(\[/+=\-])")
+NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|::|->|-)[A-Za-z_$][\w$]*)*"
+#: One token; the first alternative that fits. Strings of one line end in it, so that an apostrophe of prose opens none.
+TOKEN = re.compile(
+    r"""(?P<gap>[^\S\n]+|\\\r?\n)"""
+    r"""|(?P<comment>(?:(?<![^\s;{}(,])\#|(?<![:\w"'])//|(?<=\n);)[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z))"""
+    r"""|(?P<str>(?<![\w])[fFrRbBuU]{0,2}(?:\"""[\s\S]*?\"""|\'\'\'[\s\S]*?\'\'\')|(?:(?<![\w])[fFrRbBuU]{1,2}(?=["']))?(?:"(?:[^"\\\n]|\\.)*"|(?<!\w)'(?:[^'\\\n]|\\.)*'|(?<=[rRbBfFuU])'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`))"""
+    r"""|(?P<url>[A-Za-z][A-Za-z0-9+.\-]*://[^\s"'`<>]*)"""
+    rf"""|(?P<ref>\$\{{{NAME}\}})|(?P<name>{NAME})"""
+    r"""|(?P<assign>:=|=>|\?\?=|\|\|=|\+=|\?=|(?<![=!<>~])=(?![=~>])|:(?![:/=]))"""
+    r"""|(?P<join>\+(?![+=])|\.\.|\|\||\?\?|%(?=\s*[("'\w]))|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<comma>,)|(?P<end>;|\n)|(?P<other>[\s\S])"""
+)
+#: What a name in a string of a template stands for.
+INNER = re.compile(rf"\$\{{({NAME})\}}|\$([A-Za-z_]\w*)|(?<!\{{)\{{({NAME})\}}")
+OPERATOR = re.compile(r"(?<![=!<>~])=(?![=~])|:(?![:/])")
 BARE = re.compile(r"""[^\s"'`,;#&<>(){}\[\]|]+""")
 #: What may stand between ``name:`` and ``=``: words with parameters in brackets, and unions of them.
-TYPE = r"[&*]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\n=]{0,80}\]|<[^\n=]{0,80}>)?\??"
-TYPED = re.compile(rf"({TYPE}(?:[ \t]*\|[ \t]*{TYPE}){{0,8}})[ \t]*=(?![=~>])[ \t]*")
-BUILT_IN = frozenset("str string String bytes int float bool boolean number char any Any object Object None null undefined Text AnyStr Final".split())
-JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*")
+TYPE = r"[&*]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\n=]*?\]|<[^\n=]*?>)?\??"
+TYPED = re.compile(rf"[ \t]*({TYPE}(?:[ \t]*\|[ \t]*{TYPE})*)[ \t]*=(?![=~>])[ \t]*")
+BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[ \t]*(?:#[^\n]*)?\n")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
+KEYED = re.compile(r"""<[^<>]*?\b(?:key|name|id)\s*=\s*["']([^"'<>]+)["'][^<>]*?\bvalue\s*=\s*["']([^"'<>]+)["']""", re.I)
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Built-in types: as a value of ``name: type`` they are no constants.
+BUILT_IN = frozenset("str string String bytes int float bool boolean number char any Any object Object None null undefined Text AnyStr Final".split())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -81,7 +105,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def name_weight(name: str) -> float:
     words = [w.lower() for w in CAMEL.findall(name)]
     joined = "".join(words)
-    best = max([0.0, *(NAME_WORDS.get(w, 0.0) for w in words), *(NAME_PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False))])
+    best = max([0.0, *(NAME_WORDS.get(w, NAME_WORDS.get(w.removesuffix("s"), 0.0)) for w in words), *(NAME_PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False))])
     return max(best, NAME_WORDS.get(joined, 0.0))
 
 
@@ -95,41 +119,173 @@ def literal_strength(value: str) -> float:
     return min(1.0, entropy / 3.5) * (0.55 + 0.15 * classes)
 
 
-def _expression(text: str, at: int) -> list[tuple[str, str, int, int]]:
-    """The terms of the expression that begins here: ("literal" or "name", value, start, end)."""
-    terms: list[tuple[str, str, int, int]] = []
-    while True:
-        if m := STRING.match(text, at):
-            k = m.lastindex
-            terms.append(("literal", m[k], m.start(k), m.end(k)))
-            for r in REFERENCE.finditer(m[k]) if "$" in m[k] else ():
-                if r[1] or r[2]:
-                    terms.append(("name", r[1] or r[2], m.start(k) + r.start(), m.start(k) + r.end()))
-        elif m := REFERENCE.match(text, at):
-            terms.append(("name", m[1] or m[2] or m[3], m.start(), m.end()))
-        elif not terms and (m := BARE.match(text, at)):
-            terms.append(("literal", m[0], m.start(), m.end()))
-        else:
-            return terms
-        if not (j := JOIN.match(text, m.end())):
-            return terms
-        at = j.end()
-
-
-def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, int]]:
+#: ("literal", "bare" or "name", value, start, end).
+Term = tuple[str, str, int, int]
+
+
+def _literal(text: str, start: int, end: int) -> list[Term]:
+    """The terms of a string token: its contents, and the names that a template holds."""
+    while text[start] not in "\"'`":
+        start += 1
+    quote = 3 if text[start : start + 3] in ('"""', "\'\'\'") and end - start >= 6 else 1
+    a, b = start + quote, end - quote
+    out: list[Term] = [("literal", text[a:b], a, b)]
+    if "{" in text[a:b] or "$" in text[a:b]:
+        out += [("name", m[1] or m[2] or m[3], a + m.start(), a + m.end()) for m in INNER.finditer(text[a:b])]
+    return out
+
+
+def _subscript(text: str, at: int, stop: int) -> tuple[str, int] | None:
+    """The key of ``["..."]`` that begins at ``at``, and where it ends."""
+    m = TOKEN.match(text, at + 1, stop)
+    if m and m.lastgroup == "str" and text[m.end() : m.end() + 1] == "]":
+        return _literal(text, m.start(), m.end())[0][1], m.end() + 1
+    return None
+
+
+def _value(text: str, at: int, stop: int, assigned: bool) -> tuple[list[Term], int]:
+    """The terms of the expression that begins at ``at``, and where it ends. ``assigned``: by an equals sign, not by a colon."""
+    terms: list[Term] = []
+    calls: list[bool] = []  # open brackets
+    wants, lines, first = True, 0, True
+    while at < stop and (m := TOKEN.match(text, at, stop)):
+        kind, at = m.lastgroup, m.end()
+        if kind in ("gap", "comment"):
+            continue
+        if first and kind not in ("str", "open", "end", "ref") and (bare := BARE.match(text, m.start(), stop)) and text[bare.end() : bare.end() + 1] not in ("(", "[") and not (kind == "name" and bare.end() == m.end()):
+            terms.append(("literal", bare[0], bare.start(), bare.end()))  # an unquoted value
+            at, first, wants = bare.end(), False, False
+            continue
+        if kind == "end":
+            if m[0] == ";" and not calls:
+                return terms, m.start()
+            if not calls and not wants:
+                return terms, m.start()
+            lines += m[0] == "\n"
+            if not calls and lines > 1:
+                return terms, m.start()
+            if not calls and first:  # the value may be alone on the next line
+                after = text[at : end if (end := text.find("\n", at, stop)) >= 0 else stop].strip()
+                if not (after[:1] in "\"'`([" and after or not assigned and BARE.fullmatch(after) and not after.endswith(":")):
+                    return terms, m.start()
+            continue
+        if kind == "str":
+            terms += _literal(text, m.start(), m.end())
+            wants = False
+        elif kind == "ref":
+            terms.append(("name", m[0][2:-1], m.start(), at))
+            wants = False
+        elif kind == "name":
+            name = m[0].lstrip("$")
+            if not wants and not calls:
+                return terms, m.start()
+            wants = m[0] in ("or", "and", "await", "new", "return", "lambda", "not", "if", "else")
+            if text[at : at + 1] == "(" or wants:
+                first = False
+                continue  # a call: only its arguments count
+            while text[at : at + 1] == "[" and (key := _subscript(text, at, stop)):
+                name, at = f"{name}.{key[0]}", key[1]
+            terms.append(("name" if at > m.end() or not first or text[at : at + 1] in ("+", ".") else "bare", name, m.start(), at))
+        elif kind == "open":
+            if m[0] == "{":  # the pairs in it stand for themselves
+                return terms, m.start()
+            calls.append(m[0] == "(")
+            wants = True
+        elif kind == "close":
+            if not calls:
+                return terms, m.start()
+            calls.pop()
+            wants = False
+        elif kind == "join":
+            wants = True
+        elif kind == "comma":
+            if not calls:
+                return terms, m.start()
+            wants = True
+        elif kind == "assign":
+            if not calls:
+                return terms, m.start()
+            if terms and terms[-1][0] != "literal":
+                terms.pop()  # a named argument
+            wants = True
+        elif not calls:
+            return terms, m.start()
+        first = False
+    return terms, at
+
+
+def _pairs(text: str, begin: int, stop: int, comments: list[tuple[int, int]]) -> list[tuple[str, list[Term], bool]]:
+    """(name, terms, whether the name is a built-in type) of the assignments in [begin, stop); comments with an operator are noted."""
+    out, types, read = [], set(), begin
+    for found in OPERATOR.finditer(text, begin, stop):
+        if found.start() < read:
+            continue
+        at = max(read, text.rfind("\n", begin, found.start()) + 1)
+        end = text.find("\n", found.start(), stop)
+        end = stop if end < 0 else end + 1
+        last: tuple[str, int] | None = None  # the name or key that an operator may follow, and where it begins
+        opened: list[tuple[str, int] | None] = []
+        while at < end and (m := TOKEN.match(text, at, stop)):
+            kind, at = m.lastgroup, m.end()
+            if kind in ("gap", "url"):
+                continue
+            if kind == "comment":
+                if OPERATOR.search(m[0]):
+                    comments.append((m.start(), m.end()))
+            elif kind == "name":
+                last = (m[0].lstrip("$"), m.start())
+            elif kind == "str":
+                a, b = _literal(text, m.start(), m.end())[0][2:]
+                last = (text[a:b], m.start())
+            elif kind == "open":
+                opened.append(last)
+                last = None
+            elif kind == "close":
+                base = opened.pop() if opened else None
+                last = (f"{base[0]}.{last[0]}" if last else base[0], base[1]) if m[0] == "]" and base else last if m[0] == "]" else None
+            elif kind == "assign":
+                if last:
+                    assigned = m[0] != ":"
+                    given, typed = None, None
+                    if not assigned and (block := BLOCK.match(text, at, stop)):
+                        given, at = _block(text, last[1], block.end(), stop)
+                    elif not assigned and (typed := TYPED.match(text, at, stop)):
+                        given, _ = _value(text, typed.end(), stop, True)
+                        if given:
+                            types.add(typed.start(1))
+                    if given is None or typed and not given:
+                        given, _ = _value(text, at, stop, assigned)
+                    elif typed:
+                        given = given + [t for t in _value(text, at, stop, False)[0] if t[0] == "literal"]
+                    if given:
+                        out.append((last[0], given, last[1] in types and last[0].rpartition(".")[2] in BUILT_IN))
+                last = None
+            else:
+                last = None
+        read = max(read, at)
+    return out
+
+
+def _block(text: str, key: int, at: int, stop: int) -> tuple[list[Term], int]:
+    """The lines of a YAML block, which are deeper than its key, as literals."""
+    depth = key - (text.rfind("\n", 0, key) + 1)
+    terms: list[Term] = []
+    while at < stop:
+        end = text.find("\n", at, stop)
+        end = stop if end < 0 else end
+        line = text[at:end]
+        if line.strip():
+            start = at + len(line) - len(line.lstrip())
+            if start - at <= depth:
+                break
+            terms.append(("literal", line.strip(), start, start + len(line.strip())))
+        at = min(end + 1, stop)
+    return terms, at
+
+
+def _resolve(pairs: list[tuple[str, list[Term], bool]], threshold: float) -> set[tuple[int, int, int]]:
     """(start, kind, end) of the literals that sensitive names get, directly or by constants."""
-    if "=" not in text and ":" not in text:
-        return []
-    pairs, types = [], set()
-    for m in OPERATOR.finditer(text):
-        if name := NAME_BEFORE.search(text, max(0, m.start() - 140), m.start()):
-            terms = _expression(text, m.end())
-            if text[m.start()] == ":" and m[0].strip() == ":" and (typed := TYPED.match(text, m.end())) and (given := _expression(text, typed.end())):
-                terms = given + [t for t in terms if t[0] == "literal"]
-                types.add(typed.end(1))
-            if terms:
-                pairs.append((name[2], terms, name.end(2) in types and name[2].rpartition(".")[2] in BUILT_IN))
-    constants: dict[str, list[tuple[str, str, int, int]]] = {}
+    constants: dict[str, list[Term]] = {}
     for name, terms, is_type in pairs:
         if not is_type:
             constants.setdefault(name, []).extend(terms)
@@ -148,8 +304,26 @@ def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, int]]
             elif value in constants and value not in seen and value != name:
                 seen.add(value)
                 todo += [(t, 4, value) for t in constants[value]]
-            elif kind == 3 and value not in constants and any(c.isdigit() for c in value) and weight * literal_strength(value) >= threshold:
+            elif what == "bare" and kind == 3 and value not in constants and any(c.isdigit() for c in value) and weight * literal_strength(value) >= threshold:
                 out.add((start, 3, end))  # a bare word of a configuration file
+    return out
+
+
+def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the literals that sensitive names get, in order."""
+    if "=" not in text and ":" not in text and "</" not in text:
+        return []
+    comments: list[tuple[int, int]] = []
+    pairs = _pairs(text, 0, len(text), comments)
+    if "</" in text or "/>" in text:
+        for m in (m for p in (ELEMENT, KEYED) for m in p.finditer(text)):
+            if value := m[2].strip():
+                start = m.start(2) + m[2].index(value)
+                pairs.append((m[1], [("literal", value, start, start + len(value))], False))
+    out = _resolve(pairs, threshold)
+    for a, b in comments:
+        mark = len(text[a:b]) - len(text[a:b].lstrip("#/;*<!- \t"))
+        out |= _resolve(_pairs(text, a + mark, b, []), threshold)
     return sorted(out)
 
 
