@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.constants import BANNED_WORDS, CHARS_PER_TOKEN
+from gristmill.functions import kernel
 from gristmill.functions import text as T
 from gristmill.functions.scoring import estimated_tokens, split_size
-from gristmill.operators.prefix import take_until
+from gristmill.operators.prefix import by_position, take_until
+from gristmill.storage import Workspace
 
 
 def first_rows(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
@@ -23,22 +25,18 @@ def rows_after(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
 
 
 def numbered(df: DataFrame, order: Iterable[Column], name: str = "pos") -> DataFrame:
-    """Rows with their 0-based position in a global order: a range sort, counts of its partitions, and an offset for each of them.
+    """Rows with their 0-based position in a global order, written once: ranges are sorted, and counts of the files give each one's offset.
 
-    The driver sees one count for each partition. Ties in ``order`` have no defined order; end it with a key.
+    The driver sees one count for each range. Ties in ``order`` have no defined order; end it with a key.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__row", F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.persist()
-    sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
-    starts, total = {}, 0
-    for part in sorted(sizes):
-        starts[part] = total
-        total += sizes[part]
-    if not starts:
-        return ranged.withColumn(name, F.col("__row")).drop("__part", "__row")
-    offset = F.element_at(F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)]), F.col("__part"))
-    return ranged.withColumn(name, offset + F.col("__row")).drop("__part", "__row")
+    order = list(order)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    written = Workspace(df.sparkSession, "numbered").write(ranged.withColumn("__row", row), "rows")
+    sizes = sorted((r["__part"], r["count"]) for r in written.groupBy("__part").count().collect())
+    starts = [(part, sum(n for _, n in sizes[:k])) for k, (part, _) in enumerate(sizes)]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __start long"))  # a row for each range
+    return written.join(offsets, "__part").withColumn(name, F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
 
 
 def stream_docs(source: DataFrame, target: int, label: str) -> DataFrame:
@@ -51,7 +49,8 @@ def stream_after_skip(source: DataFrame, skip: int, token_target: float, label:
     """Rows from position ``skip`` until their estimated tokens reach the target; one row at least. ``char_len`` is of the stripped text."""
     rows = rows_after(source, skip).withColumn("text", T.strip("text")).withColumn("char_len", F.length("text"))
     rows = rows.withColumn("estimated_tokens", estimated_tokens(F.col("char_len"), chars_per_token))
-    some = take_until(rows, [], F.floor(F.col("pos") / 4096), [F.col("pos")], F.col("estimated_tokens"), token_target, at_least_one=True)
+    narrow = take_until(rows.select("pos", "estimated_tokens"), [], by_position(), [F.col("pos")], F.col("estimated_tokens"), token_target, at_least_one=True)
+    some = rows.join(narrow.select("pos"), "pos")
     return some.select(F.col("id").cast("string").alias("doc_id"), "text", "char_len", F.lit(label).alias("source"), "pos")
 
 
@@ -79,7 +78,8 @@ def reject_banned(df: DataFrame, banned: Iterable[str] = BANNED_WORDS, text_col:
 
 
 def with_features(df: DataFrame, text_col: str = "text", lang_col: str = "language") -> DataFrame:
-    return df.withColumns(T.cheap_features(F.col(text_col), F.col(lang_col)))
+    """The six features in one pass over Arrow batches; as expressions, each of them would go through the text several times."""
+    return kernel.with_features(df, text_col, lang_col)
 
 
 def build_corpus(clean: DataFrame, removed: DataFrame, language: Column, banned: Iterable[str] = BANNED_WORDS) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from gristmill.constants import BASELINES, CHARS_PER_TOKEN, DIMENSIONS, EQUAL_WEIGHTS, WEIGHTS
 from gristmill.functions.scoring import estimated_tokens, weighted_score
 from gristmill.operators.corpus import last_order
-from gristmill.operators.prefix import take_until
+from gristmill.operators.prefix import by_position, take_until
 
 FEATURES = ("language_score", "repetition_score", "target_script_ratio", "stopword_ratio", "symbol_ratio", "numeric_ratio", "is_latin")
-#: Steps of a score within one unit.
-STEPS = 256
+#: Steps of a score within one unit: coarse ones, and those within them. Scores have nine places.
+STEPS, FINE = 256, 10**9
 
 
 def weights_table(spark, ids: Iterable[str] | None = None) -> DataFrame:
@@ -41,13 +41,26 @@ def _scored(docs: DataFrame, score: Column, chars_per_token: float) -> DataFrame
     return rows.where(F.col("weighted_score").isNotNull() & ~F.isnan("weighted_score"))
 
 
+def with_text(selected: DataFrame, candidates: DataFrame, text_col: str = "text") -> DataFrame:
+    """Selected rows, which carry no texts through the selection, with those of their candidates."""
+    keys = ["language", "doc_id", "pos"]
+    return selected.join(candidates.select(*keys, text_col), keys)
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.drop("text")
+
+
 def _best_first(rows: DataFrame, groups: list[str], budget: float) -> DataFrame:
-    return take_until(rows, groups, -F.floor(F.col("weighted_score") * STEPS), [F.desc("weighted_score"), F.asc("pos")], F.col("estimated_tokens"), budget)
+    """Levels: 1/256 of a unit, the score itself, and for equal scores the position."""
+    score = F.col("weighted_score")
+    levels = [-F.floor(score * STEPS), -F.round(score * FINE), *by_position()]
+    return take_until(rows, groups, levels, [F.desc("weighted_score"), F.asc("pos")], F.col("estimated_tokens"), budget)
 
 
 def select_for_weight(docs: DataFrame, weights: Mapping[str, float], budget: float, chars_per_token: float = CHARS_PER_TOKEN, groups: tuple[str, ...] = ("language",)) -> DataFrame:
-    """Best scores first, ties in source order, until the budget is met in each group."""
-    return _best_first(_scored(docs, weighted_score(weights), chars_per_token), list(groups), budget)
+    """Best scores first, ties in source order, until the budget is met in each group. Texts are left out; ``with_text`` joins them."""
+    return _best_first(_scored(_narrow(docs), weighted_score(weights), chars_per_token), list(groups), budget)
 
 
 def select_all_weights(docs: DataFrame, weights: DataFrame, budget: float, chars_per_token: float = CHARS_PER_TOKEN) -> DataFrame:
@@ -61,9 +74,9 @@ def select_all_weights(docs: DataFrame, weights: DataFrame, budget: float, chars
 def select_random(docs: DataFrame, budget: float, seed: int = 42, chars_per_token: float = CHARS_PER_TOKEN, groups: tuple[str, ...] = ("language",)) -> DataFrame:
     """In the order of a seeded hash of the id, the same on any number of partitions."""
     key = F.md5(F.concat(F.lit(str(seed)), F.col("doc_id").cast("string")))
-    rows = docs.withColumn("__key", key).withColumn("weighted_score", F.lit(None).cast("double")).withColumn("estimated_tokens", estimated_tokens(F.col("char_len"), chars_per_token))
-    step = F.conv(F.substring("__key", 1, 3), 16, 10)
-    return take_until(rows, groups, step, [F.asc("__key"), F.asc("pos")], F.col("estimated_tokens"), budget).drop("__key")
+    rows = _narrow(docs).withColumn("__key", key).withColumn("weighted_score", F.lit(None).cast("double")).withColumn("estimated_tokens", estimated_tokens(F.col("char_len"), chars_per_token))
+    levels = [F.conv(F.substring("__key", 1, 3), 16, 10), F.conv(F.substring("__key", 4, 3), 16, 10)]
+    return take_until(rows, groups, levels, [F.asc("__key"), F.asc("pos")], F.col("estimated_tokens"), budget).drop("__key")
 
 
 def is_clean(min_language: float = 0.9, max_repetition: float = 0.1, min_script: float = 0.9) -> Column:
@@ -73,9 +86,9 @@ def is_clean(min_language: float = 0.9, max_repetition: float = 0.1, min_script:
 
 
 def select_clean_heuristic(docs: DataFrame, budget: float, chars_per_token: float = CHARS_PER_TOKEN, groups: tuple[str, ...] = ("language",), **bounds: float) -> DataFrame:
-    """Clean rows in source order until the budget is met."""
-    rows = docs.where(is_clean(**bounds)).withColumn("weighted_score", F.lit(None).cast("double")).withColumn("estimated_tokens", estimated_tokens(F.col("char_len"), chars_per_token))
-    return take_until(rows, groups, F.floor(F.col("pos") / 4096), [F.asc("pos")], F.col("estimated_tokens"), budget)
+    """Clean rows in source order until the budget is met. Texts are left out."""
+    rows = _narrow(docs.where(is_clean(**bounds))).withColumn("weighted_score", F.lit(None).cast("double")).withColumn("estimated_tokens", estimated_tokens(F.col("char_len"), chars_per_token))
+    return take_until(rows, groups, by_position(), [F.asc("pos")], F.col("estimated_tokens"), budget)
 
 
 def select_baseline(name: str, docs: DataFrame, budget: float, best_weights: Mapping[str, float] | None = None, **options) -> DataFrame:
