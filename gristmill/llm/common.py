@@ -11,12 +11,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.hashing import BASE as BASE
+from gristmill.hashing import BASE_INVERSE as BASE_INVERSE
+from gristmill.hashing import U64 as U64
+from gristmill.hashing import mix as mix
+from gristmill.hashing import powers as powers
+from gristmill.hashing import spans_hash as spans_hash
 from gristmill.storage import Workspace as Workspace
 
-U64 = np.uint64
-#: Odd multiplier of the polynomial hashes modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that a kernel handles at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 1_000_000
 
@@ -45,37 +47,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finalizer of 64-bit values (splitmix64)."""
-    x = x.astype(U64, copy=True)
-    x ^= x >> U64(30)
-    x *= U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
-    x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
-    return x
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64; the longest table of a base is kept."""
-    if n > len(_POWERS.get(base, ())):
-        out = np.full(1 << max(16, (n - 1).bit_length()), base, U64)
-        out[0] = 1
-        _POWERS[base] = np.multiply.accumulate(out)
-    return _POWERS[base][:n]
-
-
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each [start, end) the polynomial hash of ``values`` there, the same wherever the span lies."""
-    n = len(values)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values.astype(U64, copy=False) * powers(BASE_INVERSE, n), out=total[1:])
-    return (total[end] - total[start]) * powers(BASE, n + 1)[start]
-
-
 #: What of eight bytes belongs to a word of 0 to 8 bytes.
 _PARTS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
