@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.constants import BANNED_WORDS, CHARS_PER_TOKEN
+from gristmill.constants import BANNED_WORDS, CHARS_PER_TOKEN, LANGUAGES
 from gristmill.functions import kernel
 from gristmill.functions import text as T
 from gristmill.functions.scoring import estimated_tokens, split_size
@@ -127,3 +127,24 @@ def last_order(df: DataFrame, keys: Iterable[str], order: Iterable[Column]) -> D
 def first_k(df: DataFrame, key: str, order: Iterable[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each key; Spark cuts each task's rows to ``k`` before the shuffle."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+
+
+def chosen_languages(wanted: Iterable[str] | None) -> list[str]:
+    """The languages asked for, in their usual order; an unknown one is an error, none asked for means all."""
+    if wanted is None:
+        return list(LANGUAGES)
+    wanted = set(wanted)
+    if unknown := sorted(wanted - set(LANGUAGES)):
+        raise ValueError(f"unknown languages {unknown}, expected some of {list(LANGUAGES)}")
+    return [c for c in LANGUAGES if c in wanted]
+
+
+def union_languages(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of several languages in their usual order, with ``language`` and, as its place, ``language_pos``."""
+    out = None
+    for k, lang in enumerate(chosen_languages(parts)):
+        own = parts[lang].withColumns({"language": F.lit(lang), "language_pos": F.lit(k)})
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no language given")
+    return out

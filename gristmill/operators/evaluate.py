@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.constants import BASELINES
@@ -61,8 +63,12 @@ def improvements(results: DataFrame, base: str = "base") -> DataFrame:
 
 
 def bucket_deltas(results: DataFrame, base: str = "base") -> DataFrame:
+    """Each model's value less the base model's, for all buckets of the base; a model that has the task but lacks a bucket is an error."""
     own = results.where(F.col("model") == base).select("task", "metric", "bucket", F.col("value").alias("base_value"))
-    return results.where(F.col("model") != base).join(own, ["task", "metric", "bucket"]).withColumn("delta", F.col("value") - F.col("base_value")).select("model", "task", "metric", "bucket", "delta")
+    wanted = results.where(F.col("model") != base).select("model", "task", "metric").distinct().join(own, ["task", "metric"])
+    joined = wanted.join(results, ["model", "task", "metric", "bucket"], "left")
+    lacks = F.raise_error(F.concat(F.col("model"), F.lit(" has no "), F.col("metric"), F.lit(" of "), F.col("task"), F.lit(" for "), F.col("bucket"))).cast("double")
+    return joined.select("model", "task", "metric", "bucket", F.when(F.col("value").isNull(), lacks).otherwise(F.col("value") - F.col("base_value")).alias("delta"))
 
 
 def macro_deltas(results: DataFrame, base: str = "base") -> DataFrame:
@@ -99,10 +105,17 @@ def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select(*keys, "value").unionByName(new.select(*keys, "value"))
 
 
-def nested(results: DataFrame) -> DataFrame:
-    """A JSON document for each model: tasks, their metrics, and the values by bucket."""
-    cells = results.groupBy("model", "task", "metric").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "value")))).alias("buckets"))
-    tasks = cells.groupBy("model", "task").agg(F.map_from_entries(F.collect_list(F.struct("metric", "buckets"))).alias("metrics"))
+#: What ``nested`` writes: tasks, their metrics, and of each the values by bucket with what is derived from them.
+DOCUMENT = "map<string,map<string,struct<buckets:map<string,double>,macro:double,worst:double,relative_improvement:double>>>"
+
+
+def nested(results: DataFrame, base: str = "base") -> DataFrame:
+    """A JSON document for each model, as ``DOCUMENT``. Totals are derived anew, so they are those of the values beside them; the base has no improvement."""
+    keys = ["model", "task", "metric"]
+    cells = results.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "value")))).alias("buckets"))
+    cells = cells.join(rollup(results).select(*keys, "macro", "worst"), keys).join(improvements(results, base).select(*keys, "relative_improvement"), keys, "left")
+    cell = F.struct("metric", F.struct("buckets", "macro", "worst", "relative_improvement"))
+    tasks = cells.groupBy("model", "task").agg(F.map_from_entries(F.collect_list(cell)).alias("metrics"))
     return tasks.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("task", "metrics")))).alias("document"))
 
 
@@ -115,3 +128,22 @@ def with_retry(score, rows, batch: int):
             if batch <= 1:
                 return None
             batch //= 2
+
+
+def summary_markdown(rows: DataFrame) -> str:
+    """The report of ``summary``: a table for each task and metric; its rows are as few as models and metrics."""
+    out = ["# Evaluation summary", ""]
+    tables: dict[tuple[str, str], list] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["task"], r["metric"], r["model_pos"])):
+        tables.setdefault((r["task"], r["metric"]), []).append(r)
+    for (task, metric), own in tables.items():
+        out += [f"## {task}: {metric}", "", "| model | macro | worst | vs base |", "|---|---:|---:|---:|"]
+        out += [f"| {r['model']} | {r['macro']:.4f} | {r['worst']:.4f} | {r['vs_base']} |" for r in own] + [""]
+    return "\n".join(out)
+
+
+def with_files(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, str]:
+    """The models of ``paths`` whose folder exists, in order; others are skipped."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    there = lambda p: (target := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(hadoop).exists(target)
+    return {name: path for name, path in paths.items() if there(path)}

@@ -82,3 +82,8 @@ def batch_mean(losses: DataFrame, groups: Iterable[str] = ()) -> DataFrame:
 def sample_mean(losses: DataFrame, groups: Iterable[str] = ()) -> DataFrame:
     """Batches weigh by their rows."""
     return losses.groupBy(*groups).agg(F.try_divide(F.sum(F.col("loss") * F.col("n")), F.sum("n")).alias("mean_loss"))
+
+
+def mean_over_dimensions(by_dimension: DataFrame, value: str) -> DataFrame:
+    """The mean of the dimensions' values: what heads that train together minimize."""
+    return by_dimension.agg(F.avg(value).alias(value))

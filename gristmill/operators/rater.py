@@ -76,6 +76,12 @@ def load_heads(spark: SparkSession, path: str) -> dict[str, Head]:
     return {r["dimension"]: (np.array(r["w1"]), np.array(r["b1"]), np.array(r["w2"]), r["b2"]) for r in rows}
 
 
+def save_report(spark: SparkSession, path: str, **values: float) -> None:
+    """What training gave (epochs, best correlation, ...), as one JSON row beside the heads."""
+    names = sorted(values)
+    spark.createDataFrame([tuple(float(values[n]) for n in names)], ", ".join(f"`{n}` double" for n in names)).coalesce(1).write.mode("overwrite").json(path)
+
+
 def _huber_slope(d: np.ndarray, delta: float) -> np.ndarray:
     return np.clip(d, -delta, delta)
 

@@ -52,8 +52,24 @@ def score_labels(rows: pd.DataFrame) -> np.ndarray:
     return np.concatenate([pd.get_dummies(rows[d].astype(str)).to_numpy(int) for d in DIMENSIONS], axis=1) if len(rows) else np.zeros((0, 1), int)
 
 
+#: The split whose rows are left out.
+DROP = "drop"
+
+
+def exact_sizes(sizes: Mapping[str, float], n: int) -> list[int]:
+    """Rows of each split. Whole numbers are taken as they are and must add up to ``n``; shares are rounded half to even, the last takes the rest."""
+    if all(isinstance(x, int) for x in sizes.values()):
+        if sum(sizes.values()) != n:
+            raise ValueError(f"sizes {dict(sizes)} do not add up to {n} rows")
+        return list(sizes.values())
+    counts = [round(n * x) for x in list(sizes.values())[:-1]]
+    while sum(counts) > n:
+        counts[counts.index(max(counts))] -= 1
+    return [*counts, n - sum(counts)]
+
+
 def stratified_split(df: DataFrame, sizes: Mapping[str, float], group: str = "language", key: str = "doc_id", seed: int = 42, label_fn: Callable[[pd.DataFrame], np.ndarray] = score_labels) -> DataFrame:
-    """``df`` with its split in each group. ``sizes`` are shares that add up to at most 1 (the last split takes the rest) .
+    """``df`` with its split in each group. ``sizes``: rows of each split (whole numbers that add up to the group's), or shares; ``drop`` is left out.
 
     The method goes row by row, so a group is one task; groups are annotated sets of some thousand rows. The order within a group is a
     seeded hash of the key, the same on any cluster.
@@ -62,12 +78,8 @@ def stratified_split(df: DataFrame, sizes: Mapping[str, float], group: str = "la
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key, kind="stable").reset_index(drop=True)
-        n = len(rows)
-        counts = [round(n * sizes[s]) for s in names[:-1]]
-        while sum(counts) > n:
-            counts[counts.index(max(counts))] -= 1
-        counts.append(n - sum(counts))
-        picked = stratify(label_fn(rows), counts, _order(rows[key], seed))
-        return rows.assign(split=[names[k] for k in picked])
+        picked = stratify(label_fn(rows), exact_sizes(sizes, len(rows)), _order(rows[key], seed))
+        out = rows.assign(split=[names[k] for k in picked])
+        return out[out["split"] != DROP]
 
     return df.groupBy(group).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("split", T.StringType())]))

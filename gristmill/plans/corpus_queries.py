@@ -55,23 +55,23 @@ UNSEG = "SELECT doc_id, CAST(least(1.0, (" + " + ".join(f"(length(text) - length
 
 
 def cheap_features(spark, sf):
-    return C.with_features(candidates(spark, sf)).select("doc_id", "repetition_score", "target_script_ratio", "symbol_ratio", "numeric_ratio", "is_latin")
+    return C.with_features(candidates(spark, sf)).select("doc_id", "repetition_score", "target_script_ratio", "stopword_ratio", "symbol_ratio", "numeric_ratio", "is_latin")
 
 
-FEATURES = f"""SELECT d.doc_id, r.repetition_score, CAST({SCRIPT} AS DOUBLE) AS target_script_ratio, CAST({SYMBOLS} AS DOUBLE) AS symbol_ratio,
+FEATURES = f"""SELECT d.doc_id, r.repetition_score, s.stopword_ratio, CAST({SCRIPT} AS DOUBLE) AS target_script_ratio, CAST({SYMBOLS} AS DOUBLE) AS symbol_ratio,
        CAST({NUMBERS} AS DOUBLE) AS numeric_ratio, CAST({LATIN_SQL} AS INT) AS is_latin
-FROM documents d JOIN ({REPETITION}) r ON d.doc_id = r.doc_id"""
+FROM documents d JOIN ({REPETITION}) r ON d.doc_id = r.doc_id JOIN ({SEGMENTED}) s ON d.doc_id = s.doc_id"""
 BANNED = f"list_has_any(string_split_regex(lower(text), '[^a-zA-Z0-9]+'), {_list(BANNED_WORDS)})"
 
 
 def _twice(spark, sf):
-    """Candidates and, after them, those of ids under 200 again with other texts: sources that overlap."""
+    """Candidates and, after them, all of them again with other texts: sources that overlap in every key."""
     rows = candidates(spark, sf)
-    again = rows.where("doc_id < 200").withColumns({"text": F.upper("text"), "source": F.lit("again")})
+    again = rows.withColumns({"text": F.upper("text"), "source": F.lit("again")})
     return C.union_sources(rows, again)
 
 
-TWICE = f"WITH {CAND}, twice AS (SELECT *, 0 AS src_ord FROM cand UNION ALL SELECT doc_id, pos, upper(text), char_len, language, 'again', language_score, 1 FROM cand WHERE doc_id < 200)"
+TWICE = f"WITH {CAND}, twice AS (SELECT *, 0 AS src_ord FROM cand UNION ALL SELECT doc_id, pos, upper(text), char_len, language, 'again', language_score, 1 FROM cand)"
 
 
 def dedup_keep_first(spark, sf):
@@ -107,7 +107,7 @@ def _skip(source, skip, budget):
 
 
 def joined(spark, sf):
-    return S.join_scores(scored(spark, sf).drop("pos", "char_len", "language_score").where("doc_id % 10 <> 3"), candidates(spark, sf).drop("source"))
+    return S.join_scores(scored(spark, sf).drop("pos", "char_len", "language_score"), candidates(spark, sf).drop("source"))
 
 
 def join_scores_text(spark, sf):
@@ -115,7 +115,8 @@ def join_scores_text(spark, sf):
 
 
 def missing_text_report(spark, sf):
-    return S.missing_text(scored(spark, sf), candidates(spark, sf).where("doc_id % 10 <> 3"))
+    """Scored rows whose language has no candidate of that id: the candidates are those whose texts hold no banned word."""
+    return S.missing_text(scored(spark, sf), C.reject_banned(candidates(spark, sf)))
 
 
 def cross_weights(spark, sf):
@@ -206,8 +207,8 @@ QUERIES = {
     "stream_limit": (stream_limit, f"WITH {CAND} SELECT doc_id, CAST(char_len AS INT) AS char_len, 'clean' AS source FROM cand WHERE pos < 300"),
     "stream_skip_budget": (stream_skip_budget, f"WITH {CAND} SELECT doc_id, CAST(char_len AS INT) AS char_len FROM {_skip('', 100, BUDGET)}"),
     "validation_no_overlap": (validation_no_overlap, f"""WITH {CAND} SELECT doc_id, CAST(char_len AS INT) AS char_len, source FROM (SELECT * FROM {_skip(" AND source = 'clean'", 100, BUDGET)} UNION ALL SELECT * FROM {_skip(" AND source = 'removed'", 100, BUDGET / 4)}) WHERE doc_id >= 105"""),
-    "join_scores_text": (join_scores_text, f"WITH {CAND} SELECT doc_id, language, char_len, md5(text) AS text_md5, {', '.join(DIMENSIONS)} FROM scored WHERE doc_id % 10 <> 3"),
-    "missing_text_report": (missing_text_report, f"WITH {CAND} SELECT language, count(*) AS n_missing FROM cand WHERE doc_id % 10 = 3 GROUP BY language"),
+    "join_scores_text": (join_scores_text, f"WITH {CAND} SELECT doc_id, language, char_len, md5(text) AS text_md5, {', '.join(DIMENSIONS)} FROM scored"),
+    "missing_text_report": (missing_text_report, f"WITH {CAND} SELECT language, count(*) AS n_missing FROM cand WHERE {BANNED} GROUP BY language"),
     "weight_checks": (weight_checks, f"WITH {WEIGHTS_SQL} SELECT weight_id, meaning, abs({' + '.join(f'w_{d}' for d in DIMENSIONS)} - 1) < 1e-9 AS is_simplex FROM weights"),
     "cross_weights": (cross_weights, f"WITH {CAND}, {WEIGHTS_SQL} SELECT weight_id, count(*) AS n, max({SCORE}) AS best, min({SCORE}) AS least FROM scored CROSS JOIN weights GROUP BY weight_id"),
     "select_for_weight": (select_for_weight, f"{_weighted('WHERE weight_id = ' + repr('W11'))} SELECT doc_id, language, source, weighted_score, estimated_tokens FROM t WHERE b < {BUDGET}"),

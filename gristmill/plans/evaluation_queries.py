@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gristmill.constants import ANSWER_LINE, BASELINES, BENCHMARK_CONFIGS, DIMENSIONS, LETTERS, TOPICS
@@ -11,6 +12,7 @@ from gristmill.operators import blocks as B
 from gristmill.operators import corpus as C
 from gristmill.operators import evaldata as D
 from gristmill.operators import evaluate as E
+from gristmill.operators import likelihood as L
 from gristmill.operators import metrics as M
 from gristmill.operators import proxy as P
 from gristmill.operators import rater as R
@@ -285,8 +287,9 @@ HEADS = "SELECT vec_id, " + ", ".join(f"round(greatest(list_sum(list_transform(e
 
 
 def stratified(spark, sf):
+    """The split of each annotated row; SQL can't express the method, so a test computes it again by plain loops."""
     rows = annotated(spark, sf).drop("split").select("doc_id", "language", *DIMENSIONS)
-    return stratified_split(rows, {"train": 0.8, "dev": 0.1, "test": 0.1}).groupBy("language", "split").agg(F.count("*").alias("n"))
+    return stratified_split(rows, {"train": 0.8, "dev": 0.1, "test": 0.1}).select("doc_id", "language", "split")
 
 
 def nfc_normalize(spark, sf):
@@ -312,7 +315,50 @@ def signed_percents(spark, sf):
 
 
 def nested_results(spark, sf):
-    return E.nested(results(spark, sf)).select("model", F.length("document").alias("n"))
+    """What the documents of all models hold, read back from their JSON."""
+    read = E.nested(results(spark, sf)).select("model", F.from_json("document", E.DOCUMENT).alias("d"))
+    tasks = read.select("model", F.explode("d").alias("task", "metrics")).select("model", "task", F.explode("metrics").alias("metric", "c"))
+    out = tasks.select("model", "task", "metric", F.explode("c.buckets").alias("bucket", "value"), "c.macro", "c.worst", "c.relative_improvement")
+    return rounded(out, "value", "macro", "worst", "relative_improvement")
+
+
+class PairModel:
+    """A stand-in for a language model: a word is the id of its length modulo 16, and the next id depends on the one before alone."""
+
+    pad_id = 0
+
+    def encode(self, texts):
+        return [[len(w) % 16 for w in t.split(" ") if w] for t in texts]
+
+    def log_probs(self, ids, mask):
+        weight = 1 + (np.arange(16)[:, None] * 7 + np.arange(16)[None, :] * 3) % 5
+        return np.log(weight / weight.sum(1, keepdims=True))[ids]
+
+
+def quiz(spark, sf):
+    """Benchmark items as questions whose continuations are scored after their own text."""
+    return mcq(spark, sf).withColumn("context", F.col("question")).withColumnRenamed("subject", "bucket")
+
+
+def choice_log_likelihood(spark, sf):
+    rows = L.score_continuations(E.choice_rows(quiz(spark, sf).select("doc_id", "context", "choices", "choice_texts")), PairModel(), batch=3, continuation_col="continuation")
+    return rounded(rows.select("doc_id", "choice", "sum_log_prob", "num_tokens"), "sum_log_prob")
+
+
+def task_rollup(spark, sf):
+    """Totals of a task that the plug-in model answers."""
+    predicted, _ = L.predict_task(quiz(spark, sf), PairModel(), "pairs", "quiz", batch=5)
+    return rounded(E.rollup(E.bucket_metrics(predicted)), "macro", "worst")
+
+
+_W = "(1 + (({0}) * 7 + ({1}) * 3) % 5)"
+LIKELY = f"""WITH q AS (SELECT item_id AS doc_id, CAST(item_id % 4 AS INT) AS gold, 'subject' || (item_id % 3) AS bucket, length(list_filter(string_split(text, ' '), lambda x: x <> '')[-1]) % 16 AS i FROM benchmark),
+c AS (SELECT *, unnest(range(4)) AS choice FROM q),
+l AS (SELECT *, ln({_W.format('i', '1')} / list_sum(list_transform(range(16), lambda v: {_W.format('i', 'v')}))::DOUBLE) AS lp FROM c)"""
+
+
+def macro_huber(spark, sf):
+    return rounded(M.mean_over_dimensions(huber_loss(spark, sf), "huber"), "huber")
 
 
 _R = "round({0}, 9) AS {0}"
@@ -354,5 +400,8 @@ QUERIES = {
     "nfc_normalize": (nfc_normalize, "SELECT doc_id, md5(nfc_normalize(text)) AS text_md5 FROM documents"),
     "available_configs": (available_configs, values("c", ["language", "config", "available"], [(a, b, k < 5) for k, (a, b) in enumerate(BENCHMARK_CONFIGS.items())]).join(["WITH ", " SELECT * FROM c"])),
     "record_projection": (record_projection, "SELECT lang || '_' || doc_id AS doc_id, lang AS language, 3 AS educational_value, 3 AS reasoning, 3 AS professionalism, 3 AS cleanliness, 3 AS cultural_nuance, source, 'b' AS len_bucket, 'c' AS lang_bucket, CAST(n_chars AS INT) AS char_len FROM documents"),
-    "nested_results": (nested_results, None),
+    "nested_results": (nested_results, f"{TOTALS} SELECT a.model, a.task, a.metric, a.bucket, round(a.value, 9) AS value, round(t.macro, 9) AS macro, round(worst, 9) AS worst, round(relative_improvement, 9) AS relative_improvement FROM a JOIN t ON a.model = t.model AND a.task = t.task AND a.metric = t.metric LEFT JOIN i ON a.model = i.model AND a.task = i.task AND a.metric = i.metric"),
+    "choice_log_likelihood": (choice_log_likelihood, f"{LIKELY} SELECT doc_id, CAST(choice AS INT) AS choice, round(lp, 9) AS sum_log_prob, CAST(1 AS BIGINT) AS num_tokens FROM l"),
+    "task_rollup": (task_rollup, f"{LIKELY}, p AS (SELECT doc_id, bucket, gold, CAST(0 AS INT) AS predicted, exp(any_value(lp)) AS prob FROM l GROUP BY doc_id, bucket, gold), b AS (SELECT bucket, avg((predicted = gold)::INT) AS accuracy, avg(prob) AS token_normalized_prob_correct FROM p GROUP BY bucket), r AS (SELECT bucket, metric, value FROM b UNPIVOT (value FOR metric IN (accuracy, token_normalized_prob_correct))) SELECT 'pairs' AS model, 'quiz' AS task, metric, round(avg(value), 9) AS macro, round(min(value), 9) AS worst, count(*) AS n_buckets FROM r GROUP BY metric"),
+    "macro_huber": (macro_huber, f"{RATED}, h AS (SELECT dimension, abs(predicted - score) AS d FROM rated), m AS (SELECT dimension, round(avg(CASE WHEN d <= 1 THEN 0.5::DOUBLE * d * d ELSE d - 0.5::DOUBLE END), 9) AS huber FROM h GROUP BY dimension) SELECT round(avg(huber), 9) AS huber FROM m"),
 }

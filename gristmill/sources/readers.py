@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.constants import DIMENSIONS, LANGUAGES
+from gristmill.operators.evaluate import with_files
 
 CANDIDATE = "doc_id string, text string, char_len int, language_score double, source string, language string, repetition_score double, target_script_ratio double, stopword_ratio double, symbol_ratio double, numeric_ratio double, is_latin int"
 SCORED = "doc_id string, language string, source string, " + ", ".join(f"{d} double" for d in DIMENSIONS)
-ANNOTATIONS = "text string, char_len string, language_score string, source string, len_bucket string, lang_bucket string, batch_id string, id string, educational_value string, reasoning string, professionalism string, cleanliness string, cultural_nuances string, justification string"
 MCQ = "context string, choices array<string>, choice_texts array<string>, gold int, subject string"
 WEIGHTS = "id string, meaning string, weights struct<" + ", ".join(f"{d}:double" for d in DIMENSIONS) + ">"
 RESULTS = "model string, task string, metric string, bucket string, value double"
@@ -24,6 +26,25 @@ def json_lines(spark: SparkSession, path: str, schema: str, **where: str) -> Dat
     return df
 
 
+def split_rows(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame:
+    """The rows of one split of a table that is partitioned by split."""
+    return json_lines(spark, path, schema, split=name)
+
+
+def text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A plain CSV file with a header, all columns as text."""
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+
+
+def benchmark_rows(spark: SparkSession, root: str, configs: Mapping[str, str], schema: str) -> DataFrame:
+    """Rows of a benchmark that has a Parquet folder for each configuration, with the language as ``bucket``; a folder that lacks is left out."""
+    out = None
+    for bucket, path in with_files(spark, {lang: f"{root}/{config}" for lang, config in configs.items()}).items():
+        own = spark.read.schema(schema).parquet(path).withColumn("bucket", F.lit(bucket))
+        out = own if out is None else out.unionByName(own)
+    return spark.createDataFrame([], f"{schema}, bucket string") if out is None else out
+
+
 def annotations(spark: SparkSession, path: str, language: str) -> DataFrame:
     """A CSV file with a header (with or without a byte-order mark), quoted fields over several lines, and any length."""
     df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1).csv(path)

@@ -27,11 +27,17 @@ def read_keyed(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def results(new: DataFrame, path: str, existing: DataFrame) -> DataFrame:
-    """Merges results and replaces the table by way of a new folder, so that what is read is not what is overwritten."""
+    """Merges results and replaces the table: the merged rows are written beside it, and take its name once they are complete."""
     spark = new.sparkSession
-    merged = merge(existing, new)
-    merged.write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.schema(RESULTS.replace("model string, task string, metric string, bucket string", "model string, task string, bucket string, metric string")).parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+    merge(existing, new).write.mode("overwrite").parquet(f"{path}.next")
+    jvm = spark.sparkContext._jvm
+    now, before, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.next", f"{path}.before", path))
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(before, True)
+    if store.exists(target) and not store.rename(target, before) or not store.rename(now, target):
+        raise OSError(f"{path} could not be replaced; the merged rows are in {path}.next")
+    store.delete(before, True)
+    spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)
 
 
@@ -47,3 +53,27 @@ def json_lines(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
     """JSON lines with non-ASCII characters as they are."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*keys) if keys else writer).json(path)
+
+
+#: What a selected document is written with.
+RECORD = ("doc_id", "language", "source", "weighted_score", "estimated_tokens", "text")
+
+
+def _by(df: DataFrame, root: str, keys: list[str]) -> None:
+    """JSON lines in a folder for each value of the keys; only folders that ``df`` has rows for are replaced. Nulls are written."""
+    rows = df.hint("rebalance", *keys)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy(*keys).json(root)
+
+
+def selected_records(selected: DataFrame, root: str, by: str = "weight_id") -> None:
+    """Narrow records of selected documents, a folder for each weight vector or baseline (``by``) and language."""
+    rows = selected.withColumn("__language", F.col("language")).select(F.col(by), F.col("__language").alias("lang"), *RECORD)
+    _by(rows, root, [by, "lang"])
+
+
+def bucketed(docs: DataFrame, root: str, keys: list[str], bucket: str = "bucket", combined: bool = False) -> None:
+    """Multiple-choice documents or predictions: a folder for each bucket, or one for all with the bucket as a column. A folder is written anew.
+
+    ``keys`` come before the bucket: a task for documents, a model and a task for predictions.
+    """
+    _by(docs, root, [*keys, *([] if combined else [bucket])])

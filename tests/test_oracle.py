@@ -13,7 +13,7 @@ def test_query(spark, name):
 
 
 def test_every_query_has_sql_but_those_that_cannot():
-    assert set(registry.queries()) - set(ORACLES) == {"stratified_split", "nested_results"}
+    assert set(registry.queries()) - set(ORACLES) == {"stratified_split"}
 
 
 def test_entry(spark):

@@ -63,7 +63,7 @@ def test_results_store_and_stream(spark, tmp_path):
     incremental.merge_results(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "check")).awaitTermination()
     table = spark.read.parquet(store)
     assert {(r["bucket"], r["value"]) for r in table.collect()} == {("a", 0.5), ("b", 1.0)}
-    assert json.loads(nested(table).first()["document"]) == {"t": {"accuracy": {"a": 0.5, "b": 1.0}}}
+    assert json.loads(nested(table).first()["document"]) == {"t": {"accuracy": {"buckets": {"a": 0.5, "b": 1.0}, "macro": 0.75, "worst": 0.5}}}
     incremental.append_results(spark.readStream.schema(schema).parquet(source), str(tmp_path / "log"), str(tmp_path / "check2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
