@@ -460,7 +460,8 @@ def _known(lines: DataFrame, sums: DataFrame) -> DataFrame:
 
 
 def _of(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """Lines with whether they go, and the earliest line that they resemble."""
+    """Lines with whether they go, and the earliest line that they resemble. Both sides are written tables, so that a line which a third of
+    all are is split among tasks."""
     joined = lines.join(known.hint("merge"), ["h", "n"])  # both sides grow with the corpus
     equal, near = F.struct("doc_id", "line") > F.col("first"), F.col("near").isNotNull()  # not its set's first line
     nearer = near & ~(equal & (F.col("first") < F.struct("near.x_doc", "near.x_line")))
@@ -476,7 +477,7 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     """
     ws = ws or Workspace(docs.sparkSession, "line-dedup")
     lines, linked = _prepared(docs, similarity, id_col, text_col, ws)
-    known = _known(lines, ws.write(_sums(linked), "sums"))
+    known = ws.write(_known(lines, ws.write(_sums(linked), "sums")), "known")
     return _of(lines, known).where("removed").select("doc_id", "line", "kept_doc_id", "kept_line", "similarity", "h").distinct()
 
 
@@ -492,7 +493,7 @@ def line_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id",
     roots = ws.write(components(linked.select(F.col("h").alias("u"), F.col("root").alias("v")), ws), "roots")
     classes = roots.join(sums.select(F.col("h").alias("node"), "own"), "node").groupBy("root").agg(F.min("own").alias("class"))
     classes = roots.join(ws.write(classes, "classes"), "root").select(F.col("node").alias("h"), "class")
-    known = _known(lines, ws.write(sums.join(classes, "h"), "complete"))
+    known = ws.write(_known(lines, ws.write(sums.join(classes, "h"), "complete")), "known")
     return _of(lines, known).select("doc_id", "line", F.coalesce("class.doc", "first.doc_id").alias("class_doc_id"), F.coalesce("class.line", "first.line").alias("class_line"), F.coalesce("links", F.lit(0)).alias("n_links"), "removed", "kept_doc_id", "kept_line", "similarity")
 
 

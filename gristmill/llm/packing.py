@@ -9,7 +9,9 @@ first pieces as much counts as filled as shorter pieces are still to come. That
 bin. In the end each bin is downsized to the least permitted length that holds its contents.
 
 A document longer than the largest capacity is cut into full pieces and a rest. Among pieces of a length the order is by a hash of id and
-piece, then by these (a null id is one more id). Empty documents take no place: they have one row with a null bin. Rows that repeat an id are packed each.
+piece, then by these (a null id is one more id). Null and empty documents take no place: they have one row with a null bin. Rows that repeat
+an id are packed each, equal rows too. Of sizes that cost the same the smaller opens, of bins that fit alike the first. An empty table gives
+no rows. Texts are encoded whole, however long. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ low bits are added until no block gets more than ``MOST`` fingerprints.
 
 Fingerprints are those of the words ``[^\\x20\\x09-\\x0D]+`` in A-Z lower-cased text: a bit is 1 if over half of the XXH64 values
 (seed 42) of the 4-word shingles, repeats included, have it. A text of fewer words is one shingle, one without words has fingerprint 0.
-Null texts are empty; a row with a null id is fingerprinted and links others, but names no component. Repeated rows stay.
+Null texts are empty; a row with a null id is fingerprinted and links others, but names no component. Repeated rows stay, and each has its
+row. A bit that half of the values have is 0 (a tie). An empty table gives no rows. Texts are read whole, however long. Other columns are
+not read by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations

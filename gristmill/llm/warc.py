@@ -7,7 +7,9 @@ leaves nothing that the manifest names, and equal input gives equal bytes.
 
 Of the records with equal payloads of ``least_bytes`` or more, that with the smallest page id is the response and the others revisit it;
 all smaller payloads are responses. A null html is an empty payload, a null url becomes ``urn:page:<id>``. Rows that share id and payload
-are one response and revisits of it. Rows without an id come first, revisit an equal payload that has an id, and are never referred to.
+are one response and revisits of it (equal rows have a record each). Rows without an id come first, revisit an equal payload that has an id,
+and are never referred to. An empty table gives a manifest without files. A payload is one record, however long, and may exceed the roll
+size alone. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
