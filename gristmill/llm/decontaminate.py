@@ -254,18 +254,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 20, similarity:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, window: int = 20, similarity: float = 0.8, least_words: int = 5, block_words: int = 200_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all columns; a row is judged where it is read. All but the last block's rows are written."""
+    """The rows of ``docs`` that hold no item, with all columns; a row is judged where it is read. What is left of them after each block is written."""
     _proved(window, similarity, least_words)
-    ws, before = Workspace(docs.sparkSession, "decontaminate-drop"), None
-    out = docs
+    ws, out = Workspace(docs.sparkSession, "decontaminate-drop"), docs
     where = [c.lower() for c in docs.columns].index(text_col.lower())
     for k, block in enumerate(_blocks(items, item_id_col, item_text_col, block_words, least_words)):
-        if before is not None:
-            out = ws.write(out, f"block{k}")
-            before.unpersist()
-            if k > 1:
-                ws.drop(f"block{k - 1}")
-        sent = before = docs.sparkSession.sparkContext.broadcast(block)
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -274,5 +268,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame, window: int = 20, similarity:
                     keep[text.first + np.unique(_matches(sent.value, text, window, similarity)[:, 0])] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = ws.write(out.mapInArrow(run, docs.schema), f"block{k}")
+        sent.unpersist()
+        if k:
+            ws.drop(f"block{k - 1}")
     return out

@@ -6,6 +6,9 @@ each block that holds any of its variants (37 of 256 blocks, 211 of 2**20) and i
 of bounded size. So the shuffle is on variants, while 37 to 352 values cross it instead of 2,081. The number of blocks follows the data:
 low bits are added until no block gets more than ``MOST`` fingerprints.
 
+That links what differs in 4 bits, as ``near_duplicates`` returns it. Texts of a shingle similarity of 0.8 differ in about ten of 64 bits, where
+a ball can't be written out; ``similar_texts`` finds them by several shorter fingerprints and verifies the shingles.
+
 Fingerprints are those of the words ``[^\\x20\\x09-\\x0D]+`` in A-Z lower-cased text: a bit is 1 if over half of the XXH64 values
 (seed 42) of the 4-word shingles, repeats included, have it. A text of fewer words is one shingle, one without words has fingerprint 0.
 Null texts are empty; a row with a null id is fingerprinted and links others, but names no component. Repeated rows stay, and each has its
@@ -16,8 +19,10 @@ not read by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import U64, Workspace, fresh, id_and_text, named, table
+from gristmill.llm.common import U64, Workspace, fresh, id_and_text, mix, named, table
 from gristmill.llm.components import components
 
 BITS = 64
@@ -34,21 +39,25 @@ BITS = 64
 PART = 1 << 21
 #: Fingerprints of a block at most, and the fewest and most low bits that blocks may have.
 MOST, BLOCK_BITS = 1 << 18, (8, 26)
+#: Where there are several fingerprints of a text: those of a block at most, and unrelated texts that a text may meet.
+BAND_MOST, UNRELATED = 1 << 21, 4
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """The unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 values (seed 42) of the shingles of a text, in order."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and \x09-\x0D and \x20 only
-    if not words:
-        return 0
     if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], U64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(lengths + 1) - 1
     start = (end - lengths)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)], U64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)], U64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Of each bit whether over half of the values have it."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         part = hashes[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -56,6 +65,11 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str, width: int = 4) -> int:
+    """The unsigned 64-bit SimHash of one text; 0 of one without words."""
+    return _majority(shingle_hashes(text, width))
+
+
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
@@ -82,9 +96,10 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _masks(low: int, weight: int) -> np.ndarray:
-    """All values with ``weight`` of the bits ``low`` and up."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(low, BITS), weight)], U64)
+@lru_cache(maxsize=64)
+def _masks(low: int, weight: int, bits: int) -> np.ndarray:
+    """All values with ``weight`` of the bits from ``low`` to ``bits`` - 1."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(low, bits), weight)], U64)
 
 
 def _deal(block_bits: int, radius: int):
@@ -106,24 +121,23 @@ def _deal(block_bits: int, radius: int):
     return run
 
 
-def _variants(fps: np.ndarray, index: np.ndarray, left: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _variants(fps: np.ndarray, index: np.ndarray, left: np.ndarray, low: int, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(variant, index) within ``left`` bits of each fingerprint, bits ``low`` and up, a part of bounded size at a time; equal variants share a part."""
-    total = 0
-    n, free = np.bincount(left, minlength=3), BITS - low
+    n, free = np.bincount(left, minlength=3), bits - low
     total = int(n[0] + n[1] * (1 + free) + n[2] * (1 + free + free * (free - 1) // 2))
-    if total > PART and low < BITS - 4:
+    if total > PART and low < bits - 4:
         digit = (fps >> U64(low)) & U64(15)
         for value in range(16):
             away = popcount(digit ^ U64(value)).astype(np.int64)
             keep = away <= left
             flip = ((digit ^ U64(value)) << U64(low))[keep]
-            yield from _variants(fps[keep] ^ flip, index[keep], left[keep] - away[keep], low + 4)
+            yield from _variants(fps[keep] ^ flip, index[keep], left[keep] - away[keep], low + 4, bits)
         return
     out, own = [], []
     for weight in range(3):
         able = left >= weight
         if able.any():
-            masks = _masks(low, weight)
+            masks = _masks(low, weight, bits)
             out.append((fps[able][:, None] ^ masks[None, :]).ravel())
             own.append(np.repeat(index[able], len(masks)))
     yield (np.concatenate(out), np.concatenate(own)) if out else (np.zeros(0, U64), np.zeros(0, np.int64))
@@ -198,6 +212,154 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bits: int | None = None)
     return fps.select("fp").mapInArrow(_deal(bits, radius // 2), "block int, fps binary").groupBy("block").applyInArrow(_links(bits, radius), "u long, v long")
 
 
+@dataclass(frozen=True)
+class Bands:
+    """Several fingerprints of few bits each instead of one of 64, for pairs that differ in more than 4 of 64 bits.
+
+    Bits of two texts differ with probability ``p = arccos(2s / (1 + s)) / pi`` at a Jaccard similarity s of their shingles, so a fingerprint of
+    ``bits`` finds the pair if no more than 4 of its bits differ, and ``many`` independent ones find it with the probability asked for. Fewer
+    bits find more, but also more unrelated pairs: the bits follow the number of texts, so that a text meets about ``UNRELATED`` others. Fingerprints,
+    and what crosses the shuffle, thus grow somewhat faster than the texts (8 of 36 bits for 10**5 texts, 15 of 44 for 10**7).
+    """
+
+    bits: int
+    many: int
+    most: int
+    low: int
+
+    @property
+    def words(self) -> int:
+        return -(-self.bits * self.many // BITS)
+
+
+def bands(texts: int, similarity: float, recall: float = 0.95, radius: int = 4) -> Bands:
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    for bits in range(28, BITS + 1, 4):
+        found = sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1))
+        many = max(1, ceil(log(1 - recall) / log(1 - found)))
+        if texts * many * sum(comb(bits, k) for k in range(radius + 1)) <= UNRELATED << bits:
+            break
+    low, used = 4, bits * many
+    while low < 20 and texts * sum(comb(low, k) for k in range(radius // 2 + 1)) >> low > BAND_MOST:
+        low += 1
+    return Bands(bits, many, ceil(used * p + 5 * sqrt(used * p * (1 - p))), low)
+
+
+def _signatures(width: int, plan: Bands):
+    """Rows (doc_id, t, text) to (doc_id, t, the words of all fingerprints)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), *((f"s{k}", pa.int64()) for k in range(plan.words))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, plan.words), U64)
+            for row, text in enumerate(batch.column(2)):
+                hashes = shingle_hashes(text.as_py(), width)
+                out[row] = [_majority(hashes if not k else mix(hashes + U64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(plan.words)]
+            yield table(schema, batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T))
+
+    return run
+
+
+def _deal_bands(plan: Bands, radius: int):
+    """Each fingerprint, with its text's number, to the blocks within ``radius`` bits of its low bits; packed by fingerprint and block."""
+    near = np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(plan.low), k)], U64)
+    schema = pa.schema([("block", pa.int32()), ("body", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(0).to_numpy(zero_copy_only=False)
+            words = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False).view(U64) for k in range(plan.words)], 1)
+            flat = np.unpackbits(words.astype(">u8").view(np.uint8), axis=1)
+            for number in range(plan.many if len(t) else 0):
+                own = flat[:, number * plan.bits : (number + 1) * plan.bits].astype(U64) @ (U64(1) << np.arange(plan.bits, dtype=U64))
+                block = ((own & U64((1 << plan.low) - 1))[:, None] ^ near[None, :]).ravel()
+                order = np.argsort(block, kind="stable")
+                block, row = block[order], order // len(near)
+                cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                bodies = [np.concatenate([own[r], t[r].view(U64)]).tobytes() for r in np.split(row, cuts[1:])]
+                yield table(schema, (block[cuts].astype(np.int64) + (number << plan.low)).astype(np.int32), pa.array(bodies, pa.binary()))
+
+    return run
+
+
+def _band_pairs(plan: Bands, radius: int):
+    """Within a block pairs (u, v) of texts: each with the first of its variants' buckets, and with the first of its own fingerprint."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, U64).reshape(2, -1) for x in group.column("body").to_pylist()]
+        value, t = np.concatenate(parts, 1)
+        order = np.lexsort((t, value))
+        value, t = value[order], t[order]
+        opens = np.r_[True, value[1:] != value[:-1]]
+        first, fps = np.flatnonzero(opens)[np.cumsum(opens) - 1], value[opens]
+        name, equal = t[opens], np.flatnonzero(~opens)
+        off = (fps ^ U64(key[0].as_py())) & U64((1 << plan.low) - 1)
+        pairs = [np.zeros(0, np.int64)]
+        for variant, own in _variants(fps ^ off, np.arange(len(fps)), radius // 2 - popcount(off).astype(np.int64), plan.low, plan.bits):
+            order = np.lexsort((own, variant))
+            variant, own = variant[order], own[order]
+            begins = np.r_[True, variant[1:] != variant[:-1]]
+            head = own[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+            pairs.append(np.unique((own * len(fps) + head)[~begins & (own != head)]))
+        both = np.unique(np.concatenate(pairs))
+        u, v = np.r_[name[both // len(fps)], t[equal]], np.r_[name[both % len(fps)], t[first[equal]]]
+        return pa.table([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=LINKS)
+
+    return run
+
+
+SHINGLES = pa.schema([("t", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
+                yield table(SHINGLES, part.column(0), [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in part.column(1)])
+
+    return run
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row: components of texts whose sets of ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. ``fingerprint`` tells texts apart (16 hex digits of their 64-bit hash).
+
+    Candidates come from the balls of several fingerprints (``Bands``), are ruled out by all their bits, and verified on the shingles, so no
+    link is wrong; a pair at the threshold is a candidate with probability ``recall``, a closer one more surely, equal texts always.
+    """
+    ws, radius = ws or Workspace(docs.sparkSession, "simhash-texts"), 4
+    rows = id_and_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text")
+    plan = bands(rows.count(), similarity, recall, radius)
+    words = [f"s{k}" for k in range(plan.words)]
+    prints = ws.write(rows.mapInArrow(_signatures(width, plan), "doc_id long, t long, " + ", ".join(f"{w} long" for w in words)), "prints")
+    distinct = ws.write(prints.groupBy("t").agg(F.min("doc_id").alias("least"), *(F.min(w).alias(w) for w in words)), "distinct")
+    dealt = distinct.select("t", *words).mapInArrow(_deal_bands(plan, radius // 2), "block int, body binary")
+    pairs = ws.write(dealt.groupBy("block").applyInArrow(_band_pairs(plan, radius), "u long, v long").distinct(), "pairs")
+    side = lambda of: distinct.select(F.col("t").alias(of), *(F.col(w).alias(f"{of}_{w}") for w in words))
+    apart = F.lit(0)
+    for w in words:
+        apart = apart + F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}")))
+    spare = ceil(5 * sqrt(BITS * plan.words - plan.bits * plan.many)) if BITS * plan.words > plan.bits * plan.many else 0  # bits that are in no fingerprint
+    close = ws.write(pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= plan.most + spare).select("u", "v"), "close")
+    wanted = close.select(F.col("u").alias("t")).unionByName(close.select(F.col("v").alias("t"))).distinct()
+    sets = rows.select("t", "text").join(ws.write(wanted, "wanted"), "t", "left_semi").dropDuplicates(["t"]).mapInArrow(_shingle_sets(width), "t long, shingles array<bigint>")
+    sets = ws.write(sets, "sets")
+    both = close.join(sets.select(F.col("t").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("t").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    links = ws.write(both.where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v"), "links")
+    members = components(links, ws).join(distinct.select(F.col("t").alias("node"), "least"), "node")
+    members = ws.write(members, "members")
+    roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = ws.write(members.join(roots, "root").select(F.col("node").alias("t"), "component_id"), "classes")
+    known = distinct.join(classes, "t", "left").select("t", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.select("doc_id", "t").join(known, "t").select("doc_id", _hex(F.col("t")).alias("fingerprint"), "component_id")
+
+
+def _hex(value: Column) -> Column:
+    return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: 16 hex digits, and the smallest id that links of fingerprints reach."""
     ws = Workspace(docs.sparkSession, "simhash")
@@ -208,27 +370,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = ws.write(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     linked = members.join(roots, "root").select("fp", "component_id")
     classes = ws.write(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """``docs`` without the rows that a near copy with a smaller id stands for. All columns stay; rows with a null id stay.
 
-    A row is judged by its id and fingerprint: it goes if its component has a smaller id. Rows that repeat an id and have one fingerprint
-    are one document, so of them only one stays, that whose text is the least.
+    Near copies are what links of fingerprints connect, or, with ``similarity``, what verified similarity of texts connects. A row is
+    judged by its id and fingerprint (its text's hash): it goes if its component has a smaller id. Rows that repeat an id and have one
+    fingerprint are one document, so of them only one stays, that whose text has the least MD5.
     """
     ws = Workspace(docs.sparkSession, "simhash-keep")
     key, mark, row, print_ = (fresh(docs, f"simhash_{c}") for c in ("id", "text", "row", "print"))
-    found = near_duplicates(docs, id_col, text_col, width, radius)
-    marked = docs.withColumn(mark, F.md5(F.coalesce(named(text_col).cast("string"), F.lit("")))).withColumn(key, named(id_col).cast("long"))
-    repeated = marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    if similarity is None:
+        found, own = near_duplicates(docs, id_col, text_col, width, radius), hex_fingerprint(text_col, width)
+    else:
+        found, own = similar_texts(docs, width, similarity, id_col=id_col, text_col=text_col, ws=ws), _hex(F.xxhash64(text))
+    repeated = docs.select(named(id_col).cast("long").alias(key)).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     repeated = ws.write(repeated, "repeated")  # ids that several rows have, usually none
     gone = ws.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("fingerprint").alias(print_)).distinct(), "gone")
-    once = docs.join(repeated, named(id_col).cast("long") == F.col(key), "left_anti").join(gone, named(id_col).cast("long") == F.col(key), "left_anti")
+    same = named(id_col).cast("long") == F.col(key)
+    once = docs.join(gone.select(key).distinct(), same, "left_anti")
     if repeated.isEmpty():
         return once
-    again = marked.join(repeated, key, "left_semi").withColumn(print_, hex_fingerprint(text_col, width))
+    again = docs.withColumns({mark: F.md5(text), key: named(id_col).cast("long")}).join(repeated, key, "left_semi").withColumn(print_, own)
     again = ws.write(again.join(gone, [key, print_], "left_anti"), "again")
     order = Window.partitionBy(key, print_).orderBy(mark)  # rows of one id and fingerprint
     again = again.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
-    return once.unionByName(again.select(*(named(c) for c in docs.columns)))
+    return once.join(repeated, same, "left_anti").unionByName(again.select(*(named(c) for c in docs.columns)))

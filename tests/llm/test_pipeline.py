@@ -32,6 +32,8 @@ def fixture(spark, folder):
             text = " ".join(words)
         if i % 10 == 6 and rows:
             text += "\n" + (rows[rng.randrange(len(rows))][1] or "").split("\n")[0]
+        if i % 20 == 12:  # its lines are other ones, its shingles the same
+            text = rows[0][1].replace("\n", " ") + f" end{i}"
         if i % 20 == 8:
             text += " " + rng.choice(items)[1]
         rows.append((i, text, rng.choice(["en", "de"]), "rich" if not bad else rng.choice(["rich", "poor", f"rare{i}"]), len(text)))
@@ -105,6 +107,11 @@ def test_labelled_rows_are_bounded_by_id(spark, monkeypatch):
     assert seen == [2, 4]
 
 
+def shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+
 def plain_pipeline(spark, folder, rows, labels, items):
     docs, known = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     evidence = {r["doc_id"]: r["evidence"] for r in quality.score(docs, known).collect()}
@@ -120,15 +127,15 @@ def plain_pipeline(spark, folder, rows, labels, items):
             if not any(x.strip() for x in left):
                 del texts[i]
     after.append(dict(texts))
-    prints = {i: plain_fingerprint(t, 5) for i, t in texts.items()}
+    sets = {i: shingles(t) for i, t in texts.items()}
     root = {}
-    for i in sorted(prints):
+    for i in sorted(sets):
         if i not in root:
             todo = [i]
             while todo:
                 a = todo.pop()
                 root[a] = i
-                todo += [b for b in prints if b not in root and (prints[a] ^ prints[b]).bit_count() <= 4]
+                todo += [b for b in sets if b not in root and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     texts = {i: t for i, t in texts.items() if root[i] == i}
     after.append(dict(texts))
     texts = {i: t for i, t in texts.items() if not any(holds(t, b) for _, b in items)}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -95,6 +96,58 @@ def test_rows_that_repeat_an_id_are_judged_one_by_one(docs):
     assert kept.columns == docs(rows, extra=True).columns
 
 
+def shingle_set(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_texts_of_similar_shingles(spark, docs):
+    rng = random.Random(21)
+    words = [f"v{k}" for k in range(500)]
+    rows = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([40, 200, 500]))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 40)):
+                copy[rng.randrange(len(copy))] = rng.choice(words).upper()
+            rows.append((len(rows) * 3 + 1, " ".join(copy)))
+    rows += [(1000, None), (1001, ""), (1002, " \t"), (None, rows[0][1]), (1003, "One two"), (1004, "one  TWO"), (1005, "z " * 20_000), (2, rows[8][1]), (2, rows[8][1])]
+    sets = [shingle_set(t) for _, t in rows]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = simhash.forest(len(rows), *np.nonzero(near))
+    want = {k: min((rows[j][0] for j in range(len(rows)) if label[j] == label[k] and rows[j][0] is not None)) for k in range(len(rows))}
+    got = {}
+    for r in simhash.similar_texts(docs(rows, extra=True)).collect():
+        got.setdefault((r["doc_id"], r["fingerprint"]), r["component_id"])
+    by_row = {}
+    marks = {r["text"]: r["m"] for r in docs(rows).select("text", F.lower(F.lpad(F.hex(F.xxhash64(F.coalesce("text", F.lit("")))), 16, "0")).alias("m")).distinct().collect()}
+    for k, (i, t) in enumerate(rows):
+        by_row[k] = got[i, marks[t]]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if near[a, b] and sets[a] != sets[b]]
+    found = sum(by_row[a] == by_row[b] for a, b in pairs)
+    assert len(pairs) > 150 and found >= 0.9 * len(pairs)  # candidates are found by chance, more surely the closer they are
+    assert all(by_row[a] == by_row[b] for a in range(len(rows)) for b in range(a) if sets[a] == sets[b])
+    assert all(want[k] <= by_row[k] for k in by_row)  # verified: nothing is joined that isn't connected
+    same = {}
+    for k, c in by_row.items():
+        same.setdefault(c, set()).add(int(label[k]))
+    assert all(len(x) == 1 for x in same.values())
+    kept = simhash.keep_one(docs(rows, extra=True), width=5, similarity=0.8)
+    assert kept.columns == docs(rows, extra=True).columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([i for i, c in {(rows[k][0], c) for k, c in by_row.items()} if i is None or i == c])
+    assert simhash.similar_texts(docs([])).count() == 0 and simhash.keep_one(docs([]), similarity=0.8).count() == 0
+
+
+def test_bands_find_what_they_promise():
+    for n, s in ((10**4, 0.8), (10**6, 0.8), (10**7, 0.9)):
+        plan = simhash.bands(n, s)
+        p = np.arccos(2 * s / (1 + s)) / np.pi
+        rng = np.random.default_rng(0)
+        apart = rng.binomial(plan.bits, p, (20_000, plan.many))
+        assert (apart <= 4).any(1).mean() > 0.94 and (apart.sum(1) <= plan.most).mean() > 0.999
+
+
 def test_blocks_follow_the_data(spark, monkeypatch):
     rng = random.Random(2)
     spread = spark.createDataFrame([(rng.getrandbits(64) - (1 << 63),) for _ in range(3000)], "fp long")
