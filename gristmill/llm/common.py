@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,19 @@ from gristmill.storage import Workspace as Workspace
 CHUNK_BYTES = 1_000_000
 
 
+try:  # glibc only
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
+
+
+def settle() -> None:
+    """Gives memory that a kernel has freed back to the system: workers live on, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def named(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -20,16 +20,16 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
     ``links`` has longs ``u`` and ``v``, in either order; loops and repeats do no harm. Minima are pre-aggregated, and the joins
     read written tables on both sides, so that a node with a third of all links is split among tasks. Each round writes its links.
     """
-    links = ws.write(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links0")
+    links = ws.write(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links0", narrow=True)
     k, before = 0, _signature(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ws.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least{k}")
-        large = ws.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"large{k}")
-        least2 = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), f"least2{k}")
+        least = ws.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least{k}", narrow=True)
+        large = ws.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"large{k}", narrow=True)
+        least2 = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), f"least2{k}", narrow=True)
         near = large.join(least2, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least2.select("u", F.col("m").alias("v"))).distinct()
-        after = ws.write(small, f"links{k + 1}")
+        after = ws.write(small, f"links{k + 1}", narrow=True)
         for name in (f"links{k}", f"least{k}", f"large{k}", f"least2{k}"):
             ws.drop(name)
         links, k, last, before = after, k + 1, before, _signature(after)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import PLAIN, U64, Text, Workspace, chunks, id_and_text, mix, named, table, word_hash
+from gristmill.llm.common import PLAIN, U64, Text, Workspace, chunks, id_and_text, mix, named, settle, table, word_hash
 
 #: Fixed masks: 1 where a seed looks.
 MASKS = ("1111", "11011", "10111", "11101")
@@ -267,6 +267,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, window: int = 20, similarity:
                 for text in chunks(batch.column(where)):
                     keep[text.first + np.unique(_matches(sent.value, text, window, similarity)[:, 0])] = False
                 yield batch.filter(pa.array(keep))
+            settle()
 
         out = ws.write(out.mapInArrow(run, docs.schema), f"block{k}")
         sent.unpersist()

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import U64, Text, Workspace, chunks, fresh, id_and_text, mix, named, partitions, table, word_hash
+from gristmill.llm.common import U64, Text, Workspace, chunks, fresh, id_and_text, mix, named, partitions, settle, table, word_hash
 from gristmill.llm.components import components
 
 SKETCH_BITS, BLOOM_BITS = 22, 26
@@ -110,13 +110,13 @@ def _fold(dtype: str, last):
 
 def _gather(rows: DataFrame, dtype: str, ws: Workspace, name: str, last=lambda x: x) -> np.ndarray | None:
     """Adds up arrays of a fixed size, a row from each task, in a tree on the executors; the driver gets one array."""
-    rows, level = ws.write(rows.select("body"), f"{name}0"), 0
+    rows, level = ws.write(rows.select("body"), f"{name}0", narrow=True), 0
     n = rows.count()
     while n:
         parts = -(-n // FAN)
         folded = rows.withColumns({"part": F.pmod(F.xxhash64("body"), F.lit(parts)), "only": F.lit(parts == 1)}).groupBy("part", "only").applyInArrow(_fold(dtype, last), "body binary")
         level += 1
-        rows = ws.write(folded, f"{name}{level}")
+        rows = ws.write(folded, f"{name}{level}", narrow=True)
         ws.drop(f"{name}{level - 1}")
         n = rows.count() if parts > 1 else 0
     found = rows.collect() if level else []
@@ -135,6 +135,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = Lines(text, None)
             np.add.at(counts, (x.words >> U64(64 - SKETCH_BITS)).astype(np.int64), np.int32(1))
             yield table(LINE, x.h.view(np.int64), x.n.astype(np.int32), batch.column(0).take(pa.array(x.doc + text.first)), x.number.astype(np.int32), pa.nulls(len(x.n), pa.binary()))
+    settle()
     yield table(LINE, [None], [None], [None], [None], [zstandard.ZstdCompressor(1).compress(counts.tobytes())])
 
 
@@ -191,6 +192,8 @@ def _postings(rank, slots: int, t: Fraction):
                     found = []
         if found:
             yield packed(found)
+        found = []
+        settle()
 
     return run
 
@@ -400,11 +403,11 @@ def _linked(rows: DataFrame, found: DataFrame, t: Fraction, ws: Workspace) -> Da
     spark = rows.sparkSession
     pairs, hot = found.where("key is null").drop("key"), found.where("key is not null").select("key", "y", "ny", "y_doc", "y_line")
     sizes = hot.groupBy("key").agg(F.count("*").alias("c"), F.sum("ny").alias("w")).where("c > 1")
-    sizes = ws.write(sizes.select("key", F.ceil(F.col("w") / BLOCK_WORDS).cast("int").alias("blocks")), "sizes")
+    sizes = ws.write(sizes.select("key", F.ceil(F.col("w") / BLOCK_WORDS).cast("int").alias("blocks")), "sizes", narrow=True)
     hot = ws.write(hot.join(sizes, "key"), "hot")
-    keys = ws.write(hot.groupBy(F.col("y").alias("h"), F.col("ny").alias("n")).agg(F.collect_set("key").alias("keys")), "keys")  # of a set's prefix
+    keys = ws.write(hot.groupBy(F.col("y").alias("h"), F.col("ny").alias("n")).agg(F.collect_set("key").alias("keys")), "keys", narrow=True)  # of a set's prefix
     side = lambda df, of: df.select(F.col(of).alias("h"), F.col(f"{of}_doc").alias("doc"))
-    wanted = ws.write(side(pairs, "y").unionByName(side(pairs, "x")).unionByName(side(hot, "y")).distinct(), "wanted")
+    wanted = ws.write(side(pairs, "y").unionByName(side(pairs, "x")).unionByName(side(hot, "y")).distinct(), "wanted", narrow=True)
     bits = _gather(wanted.mapInArrow(_bloom, "body binary"), "uint8", ws, "bloom")
     bloom = spark.sparkContext.broadcast(bits if bits is not None else np.zeros(1 << (BLOOM_BITS - 3), np.uint8))  # 8 MB; it only spares rows
     sets = rows.mapInArrow(_sets(bloom), SETS_DDL).dropDuplicates(["h", "n"]).join(wanted.select("h").distinct(), "h", "left_semi")
@@ -417,10 +420,10 @@ def _linked(rows: DataFrame, found: DataFrame, t: Fraction, ws: Workspace) -> Da
     total = F.col("ny") + F.col("nx")
     need = F.ceil(total * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9)
     close = both(pairs, [*parities, "keys"]).where((apart <= total - 2 * need) & ~F.coalesce(F.arrays_overlap("y_keys", "x_keys"), F.lit(False)))
-    close = ws.write(close.select(*pairs.columns), "close")
+    close = ws.write(close.select(*pairs.columns), "close", narrow=True)
     held = both(close, ["words"]).withColumn("common", F.size(F.array_intersect("y_words", "x_words")))
     held = held.where(F.col("common") * t.denominator >= (total - F.col("common")) * t.numerator).withColumn("similarity", F.col("common") / (total - F.col("common")))
-    held = ws.write(held.select(*pairs.columns, "similarity"), "held")
+    held = ws.write(held.select(*pairs.columns, "similarity"), "held", narrow=True)
     ws.drop("close")
     one = F.lit(1).cast("long").alias("links")
     later = held.select(F.col("y").alias("h"), F.col("ny").alias("n"), F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), one, "x_doc", "x_line", "similarity", F.col("x").alias("root"))
@@ -477,7 +480,7 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     """
     ws = ws or Workspace(docs.sparkSession, "line-dedup")
     lines, linked = _prepared(docs, similarity, id_col, text_col, ws)
-    known = ws.write(_known(lines, ws.write(_sums(linked), "sums")), "known")
+    known = ws.write(_known(lines, ws.write(_sums(linked), "sums", narrow=True)), "known")
     return _of(lines, known).where("removed").select("doc_id", "line", "kept_doc_id", "kept_line", "similarity", "h").distinct()
 
 
@@ -489,11 +492,11 @@ def line_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id",
     """
     ws = Workspace(docs.sparkSession, "line-links")
     lines, linked = _prepared(docs, similarity, id_col, text_col, ws)
-    sums = ws.write(_sums(linked), "sums")
-    roots = ws.write(components(linked.select(F.col("h").alias("u"), F.col("root").alias("v")), ws), "roots")
+    sums = ws.write(_sums(linked), "sums", narrow=True)
+    roots = ws.write(components(linked.select(F.col("h").alias("u"), F.col("root").alias("v")), ws), "roots", narrow=True)
     classes = roots.join(sums.select(F.col("h").alias("node"), "own"), "node").groupBy("root").agg(F.min("own").alias("class"))
-    classes = roots.join(ws.write(classes, "classes"), "root").select(F.col("node").alias("h"), "class")
-    known = ws.write(_known(lines, ws.write(sums.join(classes, "h"), "complete")), "known")
+    classes = roots.join(ws.write(classes, "classes", narrow=True), "root").select(F.col("node").alias("h"), "class")
+    known = ws.write(_known(lines, ws.write(sums.join(classes, "h"), "complete", narrow=True)), "known")
     return _of(lines, known).select("doc_id", "line", F.coalesce("class.doc", "first.doc_id").alias("class_doc_id"), F.coalesce("class.line", "first.line").alias("class_line"), F.coalesce("links", F.lit(0)).alias("n_links"), "removed", "kept_doc_id", "kept_line", "similarity")
 
 
@@ -528,7 +531,7 @@ def remove_lines(docs: DataFrame, similarity: float = 0.8, drop_empty: bool = Tr
     ws = Workspace(docs.sparkSession, "line-dedup")
     gone = similar_lines(docs, similarity, id_col, text_col, ws).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("gone"))  # a document's lines
     key, spans = fresh(docs, "gone_id"), fresh(docs, "gone_lines")
-    gone = ws.write(gone.select(F.col("doc_id").alias(key), F.col("gone").alias(spans)), "gone")
+    gone = ws.write(gone.select(F.col("doc_id").alias(key), F.col("gone").alias(spans)), "gone", narrow=True)
     joined = docs.join(gone, named(id_col).cast("long") == F.col(key), "left").drop(key)
     where = [c.lower() for c in docs.columns].index(text_col.lower())
     return ws.write(joined.mapInArrow(_rewrite(where, len(docs.columns), drop_empty, len(docs.columns)), docs.schema), "rewritten")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Workspace, balanced_cuts, deal, id_and_text, in_span, partitions, table
+from gristmill.llm.common import Workspace, balanced_cuts, deal, id_and_text, in_span, partitions, settle, table
 from gristmill.llm.encoder import encoder
 
 #: Permitted sequence lengths, in tokens; what a sequence costs besides its length, and what attention adds for its square.
@@ -105,6 +105,7 @@ PIECES_DDL = "doc_id long, piece int, start long, n_tokens int"
 
 def _cut(tokenizer: str, largest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         own = encoder(tokenizer)
         for batch in batches:
             n = np.concatenate([c for _, _, c in own.column(batch.column(1))] or [np.zeros(0, np.int64)]).astype(np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import PLAIN, U64, Text, Workspace, chunks, fresh, named, word_hash
+from gristmill.llm.common import PLAIN, U64, Text, Workspace, chunks, fresh, named, settle, word_hash
 
 BUCKETS = 1 << 20
 MILLION = 1_000_000
@@ -202,12 +202,13 @@ def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col
                 own = batch.slice(text.first, len(text))
                 columns = [own.column(k) for k in range(len(schema.fields) - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(model.evidence(text))], names=schema.names)
+        settle()
 
     rows = rows.mapInArrow(judge, schema)
     rows = rows.withColumn(p, F.round((1 / (1 + F.exp(-(F.col(ev) + F.lit(model.prior))))) * MILLION).cast("long"))
     rows = ws.write(rows, "rows")
-    paths = ws.write(rows.groupBy(F.col(host).alias("g_host"), F.col(path).alias("g_path")).agg(F.count("*").alias("path_n"), F.sum(p).alias("path_s")), "paths")
-    hosts = ws.write(paths.groupBy("g_host").agg(F.sum("path_n").alias("host_n"), F.sum("path_s").alias("host_s")), "hosts")
+    paths = ws.write(rows.groupBy(F.col(host).alias("g_host"), F.col(path).alias("g_path")).agg(F.count("*").alias("path_n"), F.sum(p).alias("path_s")), "paths", narrow=True)
+    hosts = ws.write(paths.groupBy("g_host").agg(F.sum("path_n").alias("host_n"), F.sum("path_s").alias("host_s")), "hosts", narrow=True)
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).first()
     mean = min(max((total["s"] or 0) / MILLION / max(total["n"] or 0, 1), 1e-4), 1 - 1e-4)
     in_ones = lambda c: F.col(c) / F.lit(float(MILLION))
@@ -216,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col
     both = paths.join(hosts.withColumnRenamed("g_host", "h"), F.col("g_host").eqNullSafe(F.col("h"))).drop("h")
     host_mean = shrunk(in_ones("host_s"), F.col("host_n"), host_strength, F.lit(mean))
     path_strength = _moments(both.withColumn("ones", in_ones("path_s")), host_mean, "path_n", "ones", 1)
-    both = ws.write(both.withColumn("host_posterior", host_mean).withColumn("path_posterior", shrunk(in_ones("path_s"), F.col("path_n"), path_strength, host_mean)), "groups")
+    both = ws.write(both.withColumn("host_posterior", host_mean).withColumn("path_posterior", shrunk(in_ones("path_s"), F.col("path_n"), path_strength, host_mean)), "groups", narrow=True)
     g = {c: fresh(rows, f"quality_{c}") for c in both.columns}
     both = both.select(*(F.col(c).alias(v) for c, v in g.items()))
     joined = rows.join(both, F.col(host).eqNullSafe(F.col(g["g_host"])) & F.col(path).eqNullSafe(F.col(g["g_path"])))

@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import U64, Workspace, fresh, id_and_text, mix, named, table
+from gristmill.llm.common import U64, Workspace, fresh, id_and_text, mix, named, settle, table
 from gristmill.llm.components import components
 
 BITS = 64
 #: Variants that a block writes out at a time.
-PART = 1 << 21
+PART = 1 << 20
 #: Fingerprints of a block at most, and the fewest and most low bits that blocks may have.
 MOST, BLOCK_BITS = 1 << 18, (8, 26)
 #: Where there are several fingerprints of a text: those of a block at most, and unrelated texts that a text may meet.
@@ -180,6 +180,7 @@ def _links(block_bits: int, radius: int):
             a, b = label[a[keep]], label[b[keep]]
             label = forest(len(fps), a, b)[label]
         linked = np.flatnonzero(label != index)
+        settle()
         return pa.table([pa.array(fps[linked].view(np.int64)), pa.array(fps[label[linked]].view(np.int64))], schema=LINKS)
 
     return run
@@ -302,6 +303,7 @@ def _band_pairs(plan: Bands, radius: int):
             head = own[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
             pairs.append(np.unique((own * len(fps) + head)[~begins & (own != head)]))
         both = np.unique(np.concatenate(pairs))
+        settle()
         u, v = np.r_[name[both // len(fps)], t[equal]], np.r_[name[both % len(fps)], t[first[equal]]]
         return pa.table([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=LINKS)
 
@@ -333,25 +335,25 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, reca
     plan = bands(rows.count(), similarity, recall, radius)
     words = [f"s{k}" for k in range(plan.words)]
     prints = ws.write(rows.mapInArrow(_signatures(width, plan), "doc_id long, t long, " + ", ".join(f"{w} long" for w in words)), "prints")
-    distinct = ws.write(prints.groupBy("t").agg(F.min("doc_id").alias("least"), *(F.min(w).alias(w) for w in words)), "distinct")
+    distinct = ws.write(prints.groupBy("t").agg(F.min("doc_id").alias("least"), *(F.min(w).alias(w) for w in words)), "distinct", narrow=True)
     dealt = distinct.select("t", *words).mapInArrow(_deal_bands(plan, radius // 2), "block int, body binary")
-    pairs = ws.write(dealt.groupBy("block").applyInArrow(_band_pairs(plan, radius), "u long, v long").distinct(), "pairs")
+    pairs = ws.write(dealt.groupBy("block").applyInArrow(_band_pairs(plan, radius), "u long, v long").distinct(), "pairs", narrow=True)
     side = lambda of: distinct.select(F.col("t").alias(of), *(F.col(w).alias(f"{of}_{w}") for w in words))
     apart = F.lit(0)
     for w in words:
         apart = apart + F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}")))
     spare = ceil(5 * sqrt(BITS * plan.words - plan.bits * plan.many)) if BITS * plan.words > plan.bits * plan.many else 0  # bits that are in no fingerprint
-    close = ws.write(pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= plan.most + spare).select("u", "v"), "close")
+    close = ws.write(pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= plan.most + spare).select("u", "v"), "close", narrow=True)
     wanted = close.select(F.col("u").alias("t")).unionByName(close.select(F.col("v").alias("t"))).distinct()
-    sets = rows.select("t", "text").join(ws.write(wanted, "wanted"), "t", "left_semi").dropDuplicates(["t"]).mapInArrow(_shingle_sets(width), "t long, shingles array<bigint>")
+    sets = rows.select("t", "text").join(ws.write(wanted, "wanted", narrow=True), "t", "left_semi").dropDuplicates(["t"]).mapInArrow(_shingle_sets(width), "t long, shingles array<bigint>")
     sets = ws.write(sets, "sets")
     both = close.join(sets.select(F.col("t").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("t").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    links = ws.write(both.where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v"), "links")
+    links = ws.write(both.where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v"), "links", narrow=True)
     members = components(links, ws).join(distinct.select(F.col("t").alias("node"), "least"), "node")
-    members = ws.write(members, "members")
+    members = ws.write(members, "members", narrow=True)
     roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = ws.write(members.join(roots, "root").select(F.col("node").alias("t"), "component_id"), "classes")
+    classes = ws.write(members.join(roots, "root").select(F.col("node").alias("t"), "component_id"), "classes", narrow=True)
     known = distinct.join(classes, "t", "left").select("t", F.coalesce("component_id", "least").alias("component_id"))
     return prints.select("doc_id", "t").join(known, "t").select("doc_id", _hex(F.col("t")).alias("fingerprint"), "component_id")
 
@@ -364,12 +366,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id) for each row: 16 hex digits, and the smallest id that links of fingerprints reach."""
     ws = Workspace(docs.sparkSession, "simhash")
     prints = ws.write(id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints(width), "doc_id long, fp long"), "prints")
-    distinct = ws.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = ws.write(components(fingerprint_links(distinct, radius), ws), "labels")
-    members = ws.write(labels.join(distinct, labels.node == distinct.fp).select("fp", "root", "least"), "members")
-    roots = ws.write(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    distinct = ws.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", narrow=True)
+    labels = ws.write(components(fingerprint_links(distinct, radius), ws), "labels", narrow=True)
+    members = ws.write(labels.join(distinct, labels.node == distinct.fp).select("fp", "root", "least"), "members", narrow=True)
+    roots = ws.write(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots", narrow=True)
     linked = members.join(roots, "root").select("fp", "component_id")
-    classes = ws.write(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    classes = ws.write(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes", narrow=True)
     return prints.join(classes, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -388,8 +390,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     else:
         found, own = similar_texts(docs, width, similarity, id_col=id_col, text_col=text_col, ws=ws), _hex(F.xxhash64(text))
     repeated = docs.select(named(id_col).cast("long").alias(key)).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    repeated = ws.write(repeated, "repeated")  # ids that several rows have, usually none
-    gone = ws.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("fingerprint").alias(print_)).distinct(), "gone")
+    repeated = ws.write(repeated, "repeated", narrow=True)  # ids that several rows have, usually none
+    gone = ws.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("fingerprint").alias(print_)).distinct(), "gone", narrow=True)
     same = named(id_col).cast("long") == F.col(key)
     once = docs.join(gone.select(key).distinct(), same, "left_anti")
     if repeated.isEmpty():

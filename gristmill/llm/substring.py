@@ -168,10 +168,10 @@ def _repeats(rows: DataFrame, width: int, ws: Workspace) -> tuple[DataFrame, Dat
     """
     all_ = ws.write(rows.where("doc_id is not null").select("doc_id", "version", "text").mapInArrow(_stretches(width), STRETCH_DDL), "stretches")
     buckets = all_.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m")
-    shared = ws.write(all_.join(ws.write(buckets, "buckets").hint("merge"), "m"), "shared")  # stretches of minimizers that two documents have
+    shared = ws.write(all_.join(ws.write(buckets, "buckets", narrow=True).hint("merge"), "m"), "shared")  # stretches of minimizers that two documents have
     ws.drop("stretches", "buckets")
     paths = ws.write(shared.groupBy("m", "h", "n").agg(F.min("doc_id").alias("source"), (F.min("doc_id") < F.max("doc_id")).alias("whole")), "paths")
-    branching = ws.write(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m", F.lit(True).alias("branches")), "branching")
+    branching = ws.write(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m", F.lit(True).alias("branches")), "branching", narrow=True)
     known = paths.join(branching, "m", "left").withColumn("branches", F.coalesce("branches", F.lit(False))).where("whole or branches")
     placed = shared.join(known.hint("merge"), ["m", "h", "n"]).withColumn("open", F.col("branches") & (F.col("doc_id") == F.col("source")))
     placed = ws.write(placed.where("whole or open").select("doc_id", "version", "at", "n", "whole", "open"), "placed")
