@@ -76,10 +76,10 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-        """Writes a table and reads it again. A ``narrow`` one (a few numbers a row, where texts set the partitions) is put in a sixteenth as many
+        """Writes a table and reads it again. A ``narrow`` one (a few numbers a row, where texts set the partitions) is put in a quarter as many
         files, which spares as many small ones."""
         if narrow:
-            df = df.coalesce(max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+            df = df.coalesce(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         with settings(self.spark, WHILE_WRITING):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
