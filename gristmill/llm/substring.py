@@ -3,16 +3,17 @@
 Edges are the sequences of ``width`` (50) consecutive words of a document. Every edge belongs to the bucket of its minimizer, the least
 hash among its 12-word sequences, so equal edges meet in one bucket wherever they occur. Consecutive edges of one bucket form a
 nonbranching stretch of a document, which is kept as one row: its contents' hash and its source coordinates (document, first word, edges).
-Equal stretches compact into one path with the smallest document that has it.
+Equal stretches compact into one path with the smallest document that has it, and with the paths next to it: one that all its occurrences
+are followed by, or preceded by, is a degree of one, other neighbours or the end of a document make a branch. A join of paths finds the
+junctions at which both sides have a degree of one, and neighbouring stretches with such a junction are one longer nonbranching path.
 
 * A bucket of one path has no branch: all edges of it occur exactly where the path does.
 * In a bucket of several paths they may share some edges. Each path is opened at all its occurrences in its first document, in every row of
-  that id, to its edges.
+  that id, to its edges; longer paths don't open, only the stretches in them.
 
 Hashes only find candidates. Paths that several documents have, and the edges of opened ones, are read again at their source coordinates, and
-the words there are compared by 128 bits of their SHA-256: what repeats is what has the digest of words in a smaller document. Spans of
-repeated edges meet at their coordinates, and the words go. Neighbouring paths aren't joined to longer ones before that: it would change no
-result, and a path's coordinates would then differ from document to document.
+the words there are compared by 128 bits of their SHA-256, once for a path however long: what repeats is what has the digest of words in a
+smaller document. Spans of repeated edges meet at their coordinates, and the words go.
 
 Words ``[^\\x20\\x09-\\x0D]+`` are unchanged. Null texts have no words, and an empty table gives no rows. A row without an id has no
 smaller or larger document: it keeps all words and removes none. Rows that repeat an id are one document to each other (neither removes
@@ -67,8 +68,8 @@ def stretches(text: Text, width: int) -> tuple[np.ndarray, ...]:
     return doc[begin], least[begin], contents, begin - first[doc[begin]], many, words, first
 
 
-STRETCH = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("version", pa.binary()), ("at", pa.int32())])
-STRETCH_DDL = "m long, h long, n int, doc_id long, version binary, at int"
+STRETCH = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("version", pa.binary()), ("at", pa.int32()), ("before", pa.int64()), ("after", pa.int64())])
+STRETCH_DDL = "m long, h long, n int, doc_id long, version binary, at int, before long, after long"
 
 
 def _stretches(width: int):
@@ -77,8 +78,10 @@ def _stretches(width: int):
             ids, versions = batch.column(0), batch.column(1)
             for text in chunks(batch.column(2)):
                 doc, m, h, at, n, *_ = stretches(text, width)
-                row = pa.array(doc + text.first)
-                yield table(STRETCH, m.view(np.int64), h.view(np.int64), n.astype(np.int32), ids.take(row), versions.take(row), at.astype(np.int32))
+                row, h = pa.array(doc + text.first), h.view(np.int64)
+                same = doc[1:] == doc[:-1]  # contents of the neighbours; 0 at the ends of a document
+                before, after = np.r_[0, np.where(same, h[:-1], 0)][: len(h)], np.r_[np.where(same, h[1:], 0), 0][: len(h)]
+                yield table(STRETCH, m.view(np.int64), h, n.astype(np.int32), ids.take(row), versions.take(row), at.astype(np.int32), before, after)
 
     return run
 
@@ -111,7 +114,8 @@ def _joined(text: Text) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _digests(width: int):
-    """Rows (doc_id, version, text, spans of (at, n, whole, open)) to the digest of each whole span, and of each edge of the open ones (n is 0)."""
+    """Rows (doc_id, version, text, spans of (at, n, whole, open)) to the digest of each path that whole spans make (1 begins a path, 2 goes on
+    with that of the span before it), and of each edge of the open ones (n is 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
@@ -127,12 +131,17 @@ def _digests(width: int):
                 each = np.repeat(np.arange(len(n)), edges)
                 begin = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(edges) - edges, edges)
                 some = np.flatnonzero(whole)
-                place, long = np.r_[first[row[some]] + at[some], first[row[each]] + begin], np.r_[n[some] + width - 1, np.full(len(each), width)]
+                some = some[np.lexsort((at[some], row[some]))]
+                goes_on = (whole[some[1:]] == 2) & (row[some[1:]] == row[some[:-1]]) & (at[some[1:]] == at[some[:-1]] + n[some[:-1]])
+                opens = np.flatnonzero(np.r_[True, ~goes_on][: len(some)])
+                long_n = np.add.reduceat(n[some], opens) if len(some) else n[some]
+                some = some[opens]
+                place, long = np.r_[first[row[some]] + at[some], first[row[each]] + begin], np.r_[long_n + width - 1, np.full(len(each), width)]
                 body = b"".join([sha(view[a:b]).digest()[:DIGEST] for a, b in zip(start[place].tolist(), end[place + long - 1].tolist(), strict=True)])
                 offsets = pa.array(np.arange(len(place) + 1, dtype=np.int32) * DIGEST).buffers()[1]
                 digest = pa.Array.from_buffers(pa.binary(), len(place), [None, offsets, pa.py_buffer(body)])
                 rows = pa.array(np.r_[row[some], row[each]] + text.first)
-                yield table(EDGES, np.r_[n[some], np.zeros(len(each), np.int64)].astype(np.int32), digest, ids.take(rows), versions.take(rows), np.r_[at[some], begin].astype(np.int32))
+                yield table(EDGES, np.r_[long_n, np.zeros(len(each), np.int64)].astype(np.int32), digest, ids.take(rows), versions.take(rows), np.r_[at[some], begin].astype(np.int32))
 
     return run
 
@@ -170,12 +179,16 @@ def _repeats(rows: DataFrame, width: int, ws: Workspace) -> tuple[DataFrame, Dat
     buckets = all_.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m")
     shared = ws.write(all_.join(ws.write(buckets, "buckets", narrow=True).hint("merge"), "m"), "shared")  # stretches of minimizers that two documents have
     ws.drop("stretches", "buckets")
-    paths = ws.write(shared.groupBy("m", "h", "n").agg(F.min("doc_id").alias("source"), (F.min("doc_id") < F.max("doc_id")).alias("whole")), "paths")
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)  # noqa: E731  the only neighbour, null at a branch
+    paths = ws.write(shared.groupBy("m", "h", "n").agg(F.min("doc_id").alias("source"), (F.min("doc_id") < F.max("doc_id")).alias("whole"), one("before"), one("after")), "paths")
     branching = ws.write(paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m", F.lit(True).alias("branches")), "branching", narrow=True)
     known = paths.join(branching, "m", "left").withColumn("branches", F.coalesce("branches", F.lit(False))).where("whole or branches")
-    placed = shared.join(known.hint("merge"), ["m", "h", "n"]).withColumn("open", F.col("branches") & (F.col("doc_id") == F.col("source")))
-    placed = ws.write(placed.where("whole or open").select("doc_id", "version", "at", "n", "whole", "open"), "placed")
-    ws.drop("shared", "paths", "branching")
+    known = ws.write(known, "known")
+    leads = known.where("whole and after is not null").select(F.col("h").alias("before"), F.col("after").alias("h"), F.lit(True).alias("follows"))
+    known = known.join(leads.hint("merge"), ["before", "h"], "left").select("m", "h", "n", "source", "branches", F.when(~F.col("whole"), 0).when(F.col("follows").isNull(), 1).otherwise(2).alias("whole"))
+    placed = shared.select("m", "h", "n", "doc_id", "version", "at").join(known.hint("merge"), ["m", "h", "n"]).withColumn("open", F.col("branches") & (F.col("doc_id") == F.col("source")))
+    placed = ws.write(placed.where("whole > 0 or open").select("doc_id", "version", "at", "n", "whole", "open"), "placed")
+    ws.drop("shared", "paths", "branching", "known")
     wanted = ws.write(placed.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n", "whole", "open")).alias("spans")), "wanted")  # no more than a document has words; equal rows are one
     texts = rows.join(wanted.hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text", "spans").dropDuplicates(["doc_id", "version"])
     texts = ws.write(texts, "texts")

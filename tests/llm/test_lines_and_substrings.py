@@ -165,6 +165,19 @@ def test_equal_hashes_of_other_words_remove_nothing(docs, monkeypatch):
     assert edges[0].column(0).to_pylist() == edges[1].column(0).to_pylist() and edges[0].column(1) != edges[1].column(1)
 
 
+def test_neighbouring_paths_compact_to_one(docs):
+    """A passage that documents share between branches is one path, and one span of each later document."""
+    passage, own = ([f"{p}{k}" for k in range(600)] for p in "po")
+    rows = [(1, " ".join(own[:100] + passage + own[300:400])), (2, " ".join(own[100:200] + passage + own[200:300])), (3, " ".join(passage))]
+    rows = substring._rows(docs(rows), "doc_id", "text")
+    spans = substring._repeats(rows, 50, substring.Workspace(rows.sparkSession, "compact"))[1].collect()
+    longest = {i: max(r["n"] for r in spans if r["doc_id"] == i) for i in (2, 3)}
+    assert {r["doc_id"] for r in spans} == {2, 3} and min(longest.values()) > 451 - 2 * 39
+    assert longest[2] == longest[3] and len([r for r in spans if r["n"] > 1]) == 2
+    cut = substring.substring_report(rows.select("doc_id", "text")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in cut} == {1: 0, 2: 600, 3: 600}
+
+
 def _one(text):
     import numpy as np
 
