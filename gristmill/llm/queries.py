@@ -13,6 +13,7 @@ from gristmill.llm.packing import pack
 from gristmill.llm.quality import score
 from gristmill.llm.secrets_scan import scan_secrets
 from gristmill.llm.simhash import near_duplicates
+from gristmill.llm.spelling import spelling_variants
 from gristmill.llm.substring import substring_report
 from gristmill.llm.token_files import token_file_round_trip
 from gristmill.llm.warc import archive_round_trip
@@ -92,8 +93,16 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(load(spark, sf_dir, "documents"), least_length=7, least_count=2, factor=10, modulus=31)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_line_dedup, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op6_decontamination, op7_quality_classifier, op8_simhash, op9_best_fit_packing, op10_substring_dedup)}
+    operators = (
+        op1_lz_fingerprint, op2_line_dedup, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op6_decontamination, op7_quality_classifier, op8_simhash, op9_best_fit_packing,
+        op10_substring_dedup, op11_spelling_variants,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:

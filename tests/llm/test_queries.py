@@ -15,8 +15,9 @@ def test_query(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == duck_rows(connect(), queries.oracle_sql()[name])
 
 
-def test_ten_queries():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+def test_a_query_for_each_operator():
+    names = [n.split("_")[0] for n in queries.queries()]
+    assert names == [f"op{k}" for k in range(1, len(names) + 1)]
 
 
 def test_pipeline_stages(spark, tmp_path):
