@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.llm.conversations import repair_report
 from gristmill.llm.decontaminate import find_leaks
 from gristmill.llm.language import language_report
 from gristmill.llm.line_dedup import line_links
@@ -98,6 +99,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(load(spark, sf_dir, "documents"), least_length=7, least_count=2, factor=10, modulus=31)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(load(spark, sf_dir, "conversations"))
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(load(spark, sf_dir, "documents"), fold=2, folds=4)
 
@@ -105,7 +110,7 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     operators = (
         op1_lz_fingerprint, op2_line_dedup, op3_huffman_token_files, op4_secret_scan, op5_warc_writer, op6_decontamination, op7_quality_classifier, op8_simhash, op9_best_fit_packing,
-        op10_substring_dedup, op11_spelling_variants, op13_language_id,
+        op10_substring_dedup, op11_spelling_variants, op12_conversation_repair, op13_language_id,
     )
     return {f.__name__: f for f in operators}
 
