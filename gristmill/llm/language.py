@@ -29,6 +29,9 @@ EXCERPT = 600
 #: A word counts where it begins a run of so many words that the text (or the samples) hasn't had before.
 RUN = 4
 
+#: Hashes are cut to this range where a share of the rows is taken.
+SHARE = 1 << 30
+
 _KINDS: list[np.ndarray] = []
 
 
@@ -247,7 +250,7 @@ def _pass(key: str, alphabet: str, models):
 def identify(docs: DataFrame, learn, symbols: int = 64_000, sample_rows: int = 2_000, alphabet_size: int = 128, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang_pred and score of every whole text; learned from rows where ``learn`` (a column of ``docs``) is true and text and language are there.
 
-    Fitting takes a bounded sample: of each language ``sample_rows`` rows, those whose ids have the smallest hashes, an excerpt of 600
+    Fitting takes a bounded sample: of each language ``sample_rows`` rows, those whose ids and texts have the smallest hashes, an excerpt of 600
     characters of each from a place that the hash gives, and ``symbols`` symbols of these. Symbols are lower-cased letters with their marks, and one space for
     all between words; of them the ``alphabet_size`` commonest (254 at most) are told apart. Runs of four words count once in a sample, and not where two
     languages' samples have them (unless nothing is left). Prediction reads the whole of each text, and nothing but the text; a word counts where it begins a run of four words that is new
@@ -262,11 +265,16 @@ def identify(docs: DataFrame, learn, symbols: int = 64_000, sample_rows: int = 2
     if not 4 <= alphabet_size <= 254:
         raise ValueError("alphabet_size is from 4 to 254")
     spark = docs.sparkSession
-    hashed = F.xxhash64(named(id_col).cast("string"))
     text, lang = named(text_col).cast("string"), named(lang_col).cast("string")
+    hashed = F.xxhash64(named(id_col).cast("string"), text)
+    sizes = docs.where(learn & lang.isNotNull()).groupBy(lang.alias("lang")).count().collect()  # a row for each language
+    if not sizes:
+        return docs.select(named(id_col).cast("long").alias("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     labelled = docs.select(lang.alias("lang"), hashed.alias("h"), text.alias("text"), learn.alias("ok")).where("ok and lang is not null and text is not null and text rlike '\\\\p{L}'")
     span = F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1
-    excerpts = labelled.select("lang", "h", F.substring("text", (F.pmod("h", span) + 1).cast("int"), F.lit(EXCERPT)).alias("excerpt"))
+    shares = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(SHARE, 4 * sample_rows * SHARE // r["count"]))))
+    labelled = labelled.where(F.pmod("h", F.lit(SHARE)) < F.element_at(shares, F.col("lang")))  # about four times the sample; the rest is never shuffled
+    excerpts = labelled.select("lang", "h", F.substring("text", (F.pmod("h", span) + 1).cast("int"), F.lit(EXCERPT)).alias("excerpt")).distinct()
     picked = excerpts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))).where(F.col("n") <= sample_rows)
     rows = [(r["lang"], r["n"], r["excerpt"]) for r in picked.collect()]  # bounded by the parameters
     samples = samples_of(rows)
