@@ -14,14 +14,12 @@ from gristmill.operators import evaldata as D
 from gristmill.operators import evaluate as E
 from gristmill.operators import likelihood as L
 from gristmill.operators import metrics as M
-from gristmill.operators import proxy as P
 from gristmill.operators import rater as R
-from gristmill.operators.selection import weights_table
 from gristmill.operators.split import stratified_split
 from gristmill.plans.base import CAND, FORMULA, WEIGHTS_SQL, scored
+from gristmill.plans.proxy_queries import PAIRS, RECORDED, baseline_losses_sql, loss_rows
 from gristmill.session import load
 
-LANGS = ["en", "de", "es", "fr"]
 MODELS = ["base", *BASELINES]
 
 
@@ -79,42 +77,6 @@ def batch_losses(spark, sf):
     return both.select("language", F.round("by_batch", 9).alias("by_batch"), F.round("by_row", 9).alias("by_row"))
 
 
-# ---- proxy results
-
-
-def losses(spark, sf):
-    langs = spark.createDataFrame(list(enumerate(LANGS)), "lang_pos int, language string")
-    return weights_table(spark).crossJoin(F.broadcast(langs)).select("weight_id", "language", (2.0 + ((F.col("weight_pos") * 37 + F.col("lang_pos") * 101) % 97) / 1000.0).alias("loss"))
-
-
-LOSSES = f"""{WEIGHTS_SQL}, {values('langs', ['lang_pos', 'language'], list(enumerate(LANGS)))},
-losses AS (SELECT weight_id, weight_pos, meaning, language, 2.0::DOUBLE + ((weight_pos * 37 + lang_pos * 101) % 97)::DOUBLE / 1000.0::DOUBLE AS loss FROM weights CROSS JOIN langs),
-totals AS (SELECT weight_id, weight_pos, meaning, round(avg(loss), 9) AS macro_loss, round(max(loss), 9) AS worst_language_loss FROM losses GROUP BY ALL),
-ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY macro_loss, weight_pos) AS INT) AS rank, macro_loss <= min(macro_loss) OVER () * 1.01::DOUBLE AS tie FROM totals),
-best AS (SELECT weight_id FROM ranked WHERE tie ORDER BY worst_language_loss, weight_pos LIMIT 1)"""
-
-
-def _totals(spark, sf):
-    return P.with_totals(losses(spark, sf)).withColumns({c: F.round(c, 9) for c in ("macro_loss", "worst_language_loss")})
-
-
-def proxy_pivot(spark, sf):
-    out = P.wide(losses(spark, sf), LANGS)
-    return out.select("weight_id", *(F.round(c, 9).alias(c) for c in out.columns if c != "weight_id"))
-
-
-def proxy_unpivot(spark, sf):
-    return P.long(P.wide(losses(spark, sf), LANGS), LANGS).withColumn("loss", F.round("loss", 9))
-
-
-def proxy_ranking(spark, sf):
-    return P.ranking(_totals(spark, sf), weights_table(spark))
-
-
-def best_weight(spark, sf):
-    return P.best_weight(_totals(spark, sf), weights_table(spark)).select("weight_id", "meaning", "weights.*", "macro_loss", "worst_language_loss")
-
-
 # ---- multiple choice
 
 
@@ -184,24 +146,19 @@ def mcq_predictions(spark, sf):
 
 
 MODELS_SQL = values("models", ["model_pos", "model"], list(enumerate(MODELS)))
-PREDICTED = f"""WITH {MCQ}, {MODELS_SQL},
+PREDICTED = f"""WITH {CAND}, {MCQ}, {MODELS_SQL},
 s AS (SELECT *, unnest(range(4)) AS choice FROM mcq CROSS JOIN models),
 v AS (SELECT *, -((doc_id * 7 + choice * 13 + model_pos * 5) % 17 + 1) / 4.0::DOUBLE AS lp, 1 + choice % 2 AS n FROM s),
 p AS (SELECT doc_id, model, subject AS bucket, any_value(w) AS w, any_value(gold) AS gold, CAST(arg_max(choice, lp * 100 - choice) AS INT) AS predicted, max(CASE WHEN choice = gold THEN exp(lp / n) END) AS prob FROM v GROUP BY ALL),
 r AS (SELECT model, 'quiz' AS task, bucket, metric, value FROM (SELECT model, bucket, avg((predicted = gold)::INT) AS accuracy, avg(prob) AS token_normalized_prob_correct FROM p GROUP BY ALL) UNPIVOT (value FOR metric IN (accuracy, token_normalized_prob_correct)))"""
 
 
-def loss_rows(spark):
-    langs = spark.createDataFrame(list(enumerate(LANGS)), "lang_pos int, bucket string")
-    return model_rows(spark).crossJoin(F.broadcast(langs)).select("model", "bucket", (1.0 + ((F.col("model_pos") * 11 + F.col("lang_pos") * 7) % 13) / 10.0).alias("loss"))
-
-
-LOSS_ROWS = f"{values('langs', ['lang_pos', 'bucket'], list(enumerate(LANGS)))}, q AS (SELECT model, 'held_out' AS task, bucket, 'perplexity' AS metric, exp(1.0::DOUBLE + ((model_pos * 11 + lang_pos * 7) % 13)::DOUBLE / 10.0::DOUBLE) AS value FROM models CROSS JOIN langs)"
+LOSS_ROWS = f"{WEIGHTS_SQL}, {PAIRS}, {baseline_losses_sql(repr(RECORDED))}, q AS (SELECT model, 'held_out' AS task, language AS bucket, 'perplexity' AS metric, exp(loss) AS value FROM losses2)"
 
 
 def results(spark, sf):
     table = E.bucket_metrics(predictions(spark, sf))
-    return table.unionByName(E.perplexities(loss_rows(spark)).select(*table.columns))
+    return table.unionByName(E.perplexities(loss_rows(spark, sf)).select(*table.columns))
 
 
 RESULTS = f"{PREDICTED}, {LOSS_ROWS}, a AS (SELECT model, task, bucket, metric, value FROM r UNION ALL SELECT model, task, bucket, metric, value FROM q)"
@@ -216,10 +173,6 @@ def bucket_rollup(spark, sf):
     return rounded(E.rollup(E.bucket_metrics(predictions(spark, sf))), "macro", "worst")
 
 
-def perplexity_rollup(spark, sf):
-    return rounded(E.rollup(E.perplexities(loss_rows(spark))), "macro", "worst")
-
-
 def relative_improvement(spark, sf):
     return rounded(E.improvements(results(spark, sf)), "macro", "base_macro", "relative_improvement")
 
@@ -371,10 +324,6 @@ QUERIES = {
     "mae_by_dimension": (lambda spark, sf: rounded(M.mae_by_dimension(rated(spark, sf)), "mae"), f"{RATED} SELECT dimension, round(avg(m), 9) AS mae FROM (SELECT language, dimension, avg(abs(score - predicted)) AS m FROM rated GROUP BY ALL) GROUP BY dimension"),
     "huber_loss": (huber_loss, f"{RATED}, h AS (SELECT dimension, abs(predicted - score) AS d FROM rated) SELECT dimension, round(avg(CASE WHEN d <= 1 THEN 0.5::DOUBLE * d * d ELSE d - 0.5::DOUBLE END), 9) AS huber FROM h GROUP BY dimension"),
     "batch_losses": (batch_losses, f"WITH {CAND}, b AS (SELECT language, doc_id // 16 AS batch, avg(reasoning) AS loss, count(*) AS n FROM scored GROUP BY ALL) SELECT language, round(avg(loss), 9) AS by_batch, round(sum(loss * n) / sum(n), 9) AS by_row FROM b GROUP BY language"),
-    "proxy_pivot": (proxy_pivot, f"WITH {LOSSES} SELECT weight_id, {', '.join(f'round(max(CASE WHEN language = {c!r} THEN loss END), 9) AS loss_{c}' for c in LANGS)}, round(avg(loss), 9) AS macro_loss, round(max(loss), 9) AS worst_language_loss FROM losses GROUP BY weight_id"),
-    "proxy_unpivot": (proxy_unpivot, f"WITH {LOSSES} SELECT weight_id, language, round(loss, 9) AS loss FROM losses"),
-    "proxy_ranking": (proxy_ranking, f"WITH {LOSSES} SELECT rank, weight_id, meaning, macro_loss, worst_language_loss, tie, weight_id = (SELECT weight_id FROM best) AS selected FROM ranked"),
-    "best_weight": (best_weight, f"WITH {LOSSES} SELECT weight_id, ranked.meaning, {', '.join(f'w_{d} AS {d}' for d in DIMENSIONS)}, macro_loss, worst_language_loss FROM ranked JOIN best USING (weight_id) JOIN weights USING (weight_id)"),
     "mcq_context": (lambda spark, sf: mcq(spark, sf).select("doc_id", "context", "gold"), f"WITH {MCQ} SELECT doc_id, context, gold FROM mcq"),
     "topic_docs": (topic_docs, f"SELECT item_id, md5(text || chr(10) || 'Question: What is the topic of this sentence?' || {_listed([repr(t) for t in TOPICS])} || chr(10) || '{ANSWER_LINE}' || chr(10) || 'Answer:') AS context_md5, CAST(item_id % 7 AS INT) AS gold FROM benchmark"),
     "passage_docs": (passage_docs, f"SELECT item_id, md5(text || chr(10) || 'Question: ' || w[1] || {_listed([f'w[{k}]' for k in range(1, 5)])} || chr(10) || '{ANSWER_LINE}' || chr(10) || 'Answer:') AS context_md5, CAST(item_id % 4 AS INT) AS gold FROM (SELECT *, string_split(text, ' ') AS w FROM benchmark)"),
@@ -384,7 +333,6 @@ QUERIES = {
     "flat_limit": (lambda spark, sf: D.sample(mcq(spark, sf), limit=10).select("doc_id", "subject"), f"WITH {MCQ} SELECT doc_id, subject FROM mcq WHERE pos < 10"),
     "mcq_predictions": (mcq_predictions, f"{PREDICTED} SELECT doc_id, model, bucket, predicted, substr('{''.join(LETTERS)}', predicted + 1, 1) AS predicted_letter, w[predicted + 1] AS predicted_choice, substr('{''.join(LETTERS)}', gold + 1, 1) AS gold_letter, w[gold + 1] AS gold_choice, predicted = gold AS correct, round(prob, 9) AS token_normalized_prob_correct FROM p"),
     "bucket_rollup": (bucket_rollup, f"{TOTALS} SELECT model, task, metric, {_R.format('macro')}, {_R.format('worst')}, n_buckets FROM t WHERE task = 'quiz'"),
-    "perplexity_rollup": (perplexity_rollup, f"{TOTALS} SELECT model, task, metric, {_R.format('macro')}, {_R.format('worst')}, n_buckets FROM t WHERE task = 'held_out'"),
     "relative_improvement": (relative_improvement, f"{TOTALS} SELECT model, task, metric, {_R.format('macro')}, {_R.format('base_macro')}, {_R.format('relative_improvement')} FROM i"),
     "signed_percent": (signed_percents, f"{TOTALS} SELECT model, task, metric, CASE WHEN relative_improvement IS NULL THEN '—' ELSE printf('%+.2f%%', round(relative_improvement, 6) * 100) END AS vs_base FROM i"),
     "bucket_deltas": (bucket_deltas, f"{RESULTS} SELECT x.model, x.task, x.metric, x.bucket, round(x.value - y.value, 9) AS delta FROM a x JOIN a y ON y.model = 'base' AND x.task = y.task AND x.metric = y.metric AND x.bucket = y.bucket WHERE x.model <> 'base'"),
