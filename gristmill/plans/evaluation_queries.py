@@ -240,11 +240,23 @@ HEADS = "SELECT vec_id, " + ", ".join(f"round(greatest(list_sum(list_transform(e
 
 
 def stratified(spark, sf):
-    """The split of each annotated row; SQL can't express the method, so a test computes it again by plain loops."""
+    """The split of each annotated row; SQL can't express the method, so tests hold it against the greedy one and its plan against plain loops."""
     rows = annotated(spark, sf).drop("split").select("doc_id", "language", *DIMENSIONS)
     return stratified_split(rows, {"train": 0.8, "dev": 0.1, "test": 0.1}).select("doc_id", "language", "split")
 
 
+def stratified_marginals(spark, sf):
+    """Sizes of the splits, and of each label the most by which a split's count is off its share."""
+    rows = annotated(spark, sf).drop("split").select("doc_id", "language", *DIMENSIONS)
+    split = stratified_split(rows, {"train": 0.8, "dev": 0.1, "test": 0.1})
+    sizes = split.groupBy("language", "split").agg(F.count("*").alias("n_rows"))
+    counts = M.long_scores(split, ["language", "split"]).groupBy("language", "split", "dimension", "score").agg(F.count("*").alias("n"))
+    labels = M.long_scores(rows, ["language"]).groupBy("language", "dimension", "score").agg(F.count("*").alias("total"))
+    every = labels.join(sizes, "language").join(rows.groupBy("language").agg(F.count("*").alias("of")), "language").join(counts, ["language", "split", "dimension", "score"], "left")
+    off = F.max(F.abs(F.coalesce("n", F.lit(0)) - F.col("total") * F.col("n_rows") / F.col("of")))
+    return every.groupBy("language", "split").agg(F.any_value("n_rows").alias("n_rows"), F.count("*").alias("n_labels"), (off < 4.0).alias("balanced"))
+
+
 def nfc_normalize(spark, sf):
     # decomposed first, so that there is something to compose
     docs = load(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "é", "é").alias("text"))
@@ -345,6 +357,7 @@ QUERIES = {
     "l2_normalize": (l2_normalize, "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v) SELECT vec_id, round(e[1] / s, 6) AS first, round(list_sum(e) / s, 6) AS total FROM n"),
     "head_inference": (head_inference, HEADS),
     "stratified_split": (stratified, None),
+    "stratified_marginals": (stratified_marginals, f"{RATED}, t AS (SELECT language, count(*) AS n FROM cand GROUP BY language), l AS (SELECT language, count(DISTINCT (dimension, score)) AS n_labels FROM rated GROUP BY language), s AS (SELECT language, n, CAST(round_even(n * 0.8::DOUBLE, 0) AS BIGINT) AS a, CAST(round_even(n * 0.1::DOUBLE, 0) AS BIGINT) AS b FROM t) SELECT language, split, n_rows, n_labels, true AS balanced FROM (SELECT language, 'train' AS split, a AS n_rows FROM s UNION ALL SELECT language, 'dev', b FROM s UNION ALL SELECT language, 'test', n - a - b FROM s) JOIN l USING (language)"),
     "nfc_normalize": (nfc_normalize, "SELECT doc_id, md5(nfc_normalize(text)) AS text_md5 FROM documents"),
     "available_configs": (available_configs, values("c", ["language", "config", "available"], [(a, b, k < 5) for k, (a, b) in enumerate(BENCHMARK_CONFIGS.items())]).join(["WITH ", " SELECT * FROM c"])),
     "record_projection": (record_projection, "SELECT lang || '_' || doc_id AS doc_id, lang AS language, 3 AS educational_value, 3 AS reasoning, 3 AS professionalism, 3 AS cleanliness, 3 AS cultural_nuance, source, 'b' AS len_bucket, 'c' AS lang_bucket, CAST(n_chars AS INT) AS char_len FROM documents"),

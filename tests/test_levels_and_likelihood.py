@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -138,16 +139,66 @@ def plain_split(rows, sizes, seed=42):
     return out
 
 
-def test_stratified_query_by_plain_loops(spark):
-    got = registry.queries()["stratified_split"](spark, SF).collect()
+def marginals(rows, split):
+    out = Counter()
+    for r in rows:
+        out.update((split[r["doc_id"]], d, r[d]) for d in DIMENSIONS)
+    return out
+
+
+def test_stratified_query_is_as_even_as_the_greedy_method(spark):
+    got = {r["doc_id"]: r["split"] for r in registry.queries()["stratified_split"](spark, SF).collect()}
     rows = [r.asDict() for r in Q.annotated(spark, SF).collect()]
-    want = {}
+    assert len(got) == len(rows)
     for lang in {r["language"] for r in rows}:
         own = sorted((r for r in rows if r["language"] == lang), key=lambda r: r["doc_id"])
         n = len(own)
-        train, dev = round(0.8 * n), round(0.1 * n)
-        want |= plain_split(own, {"train": train, "dev": dev, "test": n - train - dev})
-    assert {r["doc_id"]: r["split"] for r in got} == want
+        sizes = dict(zip(("train", "dev", "test"), split.exact_sizes({"train": 0.8, "dev": 0.1, "test": 0.1}, n), strict=True))
+        assert Counter(got[r["doc_id"]] for r in own) == +Counter(sizes)
+        mine, greedy = marginals(own, got), marginals(own, plain_split(own, sizes))
+        ideal = {(s, *x): c * sizes[s] / n for s in sizes for x, c in Counter((d, r[d]) for r in own for d in DIMENSIONS).items()}
+        off = lambda found: [abs(found[k] - x) for k, x in ideal.items()]
+        assert max(off(mine)) <= max(off(greedy)) + 1 and np.mean(off(mine)) <= np.mean(off(greedy)) + 0.25
+
+
+def test_dealing_at_once_is_dealing_one_by_one():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        room = rng.integers(0, 30, 4)
+        lacking = rng.uniform(-5, 20, 4) if rng.random() < 0.7 else rng.integers(-5, 20, 4) / 2
+        n = int(rng.integers(0, room.sum() + 1))
+        out = np.zeros(4, np.int64)
+        for _ in range(n):
+            out[max((s for s in range(4) if out[s] < room[s]), key=lambda s: (lacking[s] - out[s], room[s] - out[s], -s))] += 1
+        found = split.dealt(n, lacking, room)
+        assert found.sum() == n and (found <= room).all() and np.abs(found - out).max() <= 1  # ties of lacking go by room
+
+
+def test_sharing_out_keeps_both_sums():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        counts = rng.integers(0, 40, rng.integers(1, 30))
+        cuts = np.sort(rng.integers(0, counts.sum() + 1, 3))
+        shares = np.diff([0, *cuts, counts.sum()])
+        have = [[k % 3, 3 + k % 2] for k in range(len(counts))]
+        want = np.array([sum(n for n, own in zip(counts, have, strict=True) if x in own) * shares / max(counts.sum(), 1) for x in range(5)])
+        lacking = want.copy()
+        found = split.shared_out(counts.tolist(), shares, have, lacking, np.maximum(want, 1e-9))
+        assert (found >= 0).all() and (found.sum(axis=1) == counts).all() and (found.sum(axis=0) == shares).all()
+        for x in range(5):
+            assert np.allclose(lacking[x], want[x] - sum(row for row, own in zip(found, have, strict=True) if x in own))
+
+
+def test_large_sets_are_cut_at_their_bounds(spark):
+    df = spark.range(40_000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'vi', null) AS language", "1 AS unused")
+    labels = F.when(F.col("doc_id") % 4 < 2, F.array(F.lit("a"))).when(F.col("doc_id") % 8 < 6, F.array(F.lit("b"), F.lit("a")))
+    got = split.stratified_split(df, {"x": 0.25, "y": 0.5, "z": 0.25}, labels=labels)
+    sizes = {(r["language"], r["split"]): r["count"] for r in got.groupBy("language", "split").count().collect()}
+    assert sizes == {(a, b): n for a in ("vi", None) for b, n in (("x", 5000), ("y", 10000), ("z", 5000))}
+    sets = {tuple(r)[:3]: r["count"] for r in got.withColumn("s", labels).groupBy("language", "split", "s").count().withColumn("s", F.to_json("s")).collect()}
+    assert sets["vi", "y", '["a"]'] == 5000 and sets[None, "x", '["b","a"]'] == 1250
+    assert sorted(got.collect(), key=str) == sorted(split.stratified_split(df.repartition(7), {"x": 0.25, "y": 0.5, "z": 0.25}, labels=labels).collect(), key=str)
+    assert split.stratified_split(df.limit(0), {"x": 0.5, "y": 0.5}, labels=labels).count() == 0
 
 
 def test_exact_sizes_and_a_split_to_drop(spark):
