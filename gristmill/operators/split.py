@@ -66,11 +66,51 @@ def shared_out(counts: Sequence[int], shares: np.ndarray, have: Sequence[Sequenc
     return given
 
 
+def evened(given: np.ndarray, have: Sequence[Sequence[int]], want: np.ndarray) -> np.ndarray:
+    """``given`` after exchanges of a row between two splits, each of which brings the labels' counts nearer to what is wanted (by sums of squares)."""
+    labels, splits = want.shape
+    index = np.full((len(have), max(map(len, have), default=0)), labels)
+    for i, own in enumerate(have):
+        index[i, : len(own)] = own
+    if not index.size:
+        return given
+    off = np.zeros((labels + 1, splits))  # the last row pads
+    off[:labels] = -want
+    for i, own in enumerate(have):
+        off[own] += given[i]
+    size = (index < labels).sum(axis=1)
+
+    def cost(s: int, t: int) -> np.ndarray:
+        """Of each set, what half the sum grows by if one of its rows goes from ``s`` to ``t``."""
+        step = off[:, t] - off[:, s]
+        step[labels] = 0
+        return np.where(given[:, s] > 0, step[index].sum(axis=1) + size, np.inf)
+
+    better = True
+    while better:
+        better = False
+        for s in range(splits):
+            for t in range(s + 1, splits):
+                while True:
+                    there, back = cost(s, t), cost(t, s)
+                    i, j = int(there.argmin()), int(back.argmin())
+                    both = 2 * len(set(have[i]) & set(have[j]))  # labels that both have stay as they are
+                    if i == j or not there[i] + back[j] - both < -1e-9:
+                        break
+                    for row, a, b in ((i, s, t), (j, t, s)):
+                        given[row, a] -= 1
+                        given[row, b] += 1
+                        off[have[row], a] -= 1
+                        off[have[row], b] += 1
+                    better = True
+    return given
+
+
 def plan(sets: Sequence[tuple[Sequence[str], int]], sizes: Sequence[int]) -> np.ndarray:
     """(sets, splits): how many rows of each set of labels go to each split.
 
     Again and again the label with the fewest rows left is dealt out, its rows to the splits that lack it most; the sets among them share
-    them in proportion. Rows without labels fill what is left.
+    them in proportion. Rows without labels fill what is left. Then rows are exchanged while that evens out the labels dealt out last.
     """
     room = np.array(sizes, np.int64)
     n = int(room.sum())
@@ -100,7 +140,7 @@ def plan(sets: Sequence[tuple[Sequence[str], int]], sizes: Sequence[int]) -> np.
         label = int(np.argmin(np.where(left > 0, left, np.inf)))
         give([i for i in of[label] if not done[i]], dealt(int(left[label]), lacking[label], room))
     give([i for i in range(len(sets)) if not done[i]], room)
-    return out
+    return evened(out, have, want)
 
 
 def score_labels(dimensions: Iterable[str] = DIMENSIONS) -> Column:

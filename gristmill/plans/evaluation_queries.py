@@ -254,7 +254,7 @@ def stratified_marginals(spark, sf):
     labels = M.long_scores(rows, ["language"]).groupBy("language", "dimension", "score").agg(F.count("*").alias("total"))
     every = labels.join(sizes, "language").join(rows.groupBy("language").agg(F.count("*").alias("of")), "language").join(counts, ["language", "split", "dimension", "score"], "left")
     off = F.max(F.abs(F.coalesce("n", F.lit(0)) - F.col("total") * F.col("n_rows") / F.col("of")))
-    return every.groupBy("language", "split").agg(F.any_value("n_rows").alias("n_rows"), F.count("*").alias("n_labels"), (off < 4.0).alias("balanced"))
+    return every.groupBy("language", "split").agg(F.any_value("n_rows").alias("n_rows"), F.count("*").alias("n_labels"), (off < 3.0).alias("balanced"))
 
 
 def nfc_normalize(spark, sf):
