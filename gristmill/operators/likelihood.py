@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.evaluate import KEYS, bucket_metrics, choice_rows, predictions, with_retry
+from gristmill.storage import Workspace
 
 
 class Model(Protocol):
@@ -78,7 +79,8 @@ def predict_task(docs: DataFrame, model: Model, name: str, task: str, batch: int
     A bucket with a choice that could not be scored is skipped as a whole, and is left for a later run.
     """
     asked = choice_rows(docs.select("doc_id", "bucket", "context", "choices"))
-    scored = score_continuations(asked, model, batch).select("doc_id", "bucket", "choice", "sum_log_prob", "num_tokens")
+    found = score_continuations(asked, model, batch).select("doc_id", "bucket", "choice", "sum_log_prob", "num_tokens")
+    scored = Workspace(docs.sparkSession, "scored").write(found, task)  # both results start from it, and the model runs once
     skipped = scored.where("sum_log_prob is null").select("bucket").distinct()
     rows = predictions(docs, scored.drop("bucket"), keys=("doc_id",)).join(skipped, "bucket", "left_anti")
     return rows.select("*", F.lit(name).alias("model"), F.lit(task).alias("task")), skipped

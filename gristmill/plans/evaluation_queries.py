@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gristmill.constants import ANSWER_LINE, BASELINES, BENCHMARK_CONFIGS, DIMENSIONS, LETTERS, TOPICS
+from gristmill.constants import ANSWER_LINE, BASELINES, DIMENSIONS, LETTERS, TOPICS
 from gristmill.functions import scoring
 from gristmill.functions.normalize import nfc
 from gristmill.operators import blocks as B
@@ -239,6 +239,18 @@ def head_inference(spark, sf):
 HEADS = "SELECT vec_id, " + ", ".join(f"round(greatest(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (((i - 1) * 7 + {k} * 3) % 11 - 5) / 8.0::DOUBLE)) + {k} / 4.0::DOUBLE, 0) * {1.5 + k}::DOUBLE - {k} / 8.0::DOUBLE, 6) AS {d}" for k, d in enumerate(DIMENSIONS)) + " FROM embeddings"
 
 
+def head_training(spark, sf):
+    """Heads trained on four fifths of the embeddings, and whether each ranks the rest well. What they learn are weighted components of the vectors."""
+    at = lambda k: F.element_at("embedding", k + 1)
+    rows = load(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("embedding"))
+    rows = rows.select("*", *((2.5 + 2 * at(k) - at(k + 5)).alias(d) for k, d in enumerate(DIMENSIONS)))
+    held = rows.where(F.col("vec_id") % 5 == 0)
+    heads, _ = R.train(rows.where(F.col("vec_id") % 5 != 0), held, hidden=16, epochs=24, every=12, rate=0.05)
+    pairs = R.long_pairs(R.infer(held.select("embedding", *(F.col(d).alias(f"t{k}") for k, d in enumerate(DIMENSIONS))), heads), DIMENSIONS)
+    sums = pairs.groupBy("dimension").agg(F.count("*").alias("n_held"))
+    return M.spearman(pairs, ["dimension"], "target", "predicted").join(sums, "dimension").select("dimension", "n_held", (F.col("spearman") > 0.7).alias("learned"))
+
+
 def stratified(spark, sf):
     """The split of each annotated row; SQL can't express the method, so tests hold it against the greedy one and its plan against plain loops."""
     rows = annotated(spark, sf).drop("split").select("doc_id", "language", *DIMENSIONS)
@@ -263,12 +275,6 @@ def nfc_normalize(spark, sf):
     return docs.select("doc_id", F.md5(nfc("text")).alias("text_md5"))
 
 
-def available_configs(spark, sf):
-    wanted = spark.createDataFrame(list(BENCHMARK_CONFIGS.items()), "language string, config string")
-    there, gone = C.available_configs(wanted, spark.createDataFrame([(c,) for c in list(BENCHMARK_CONFIGS.values())[:5]], "config string"))
-    return there.withColumn("available", F.lit(True)).unionByName(gone.withColumn("available", F.lit(False)))
-
-
 def record_projection(spark, sf):
     docs = load(spark, sf, "documents")
     raw = docs.select(F.concat(F.lit("<urn:uuid:"), F.col("doc_id").cast("string"), F.lit(">")).alias("id"), F.col("lang").alias("language"), "text", *(F.lit("3").alias(c) for c in ("educational_value", "reasoning", "professionalism", "cleanliness", "cultural_nuances")), "source", F.lit("b").alias("len_bucket"), F.lit("c").alias("lang_bucket"), F.col("n_chars").cast("string").alias("char_len"))
@@ -356,10 +362,10 @@ QUERIES = {
     "pack_blocks": (pack_blocks, BLOCKS),
     "l2_normalize": (l2_normalize, "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v) SELECT vec_id, round(e[1] / s, 6) AS first, round(list_sum(e) / s, 6) AS total FROM n"),
     "head_inference": (head_inference, HEADS),
+    "head_training": (head_training, f"SELECT unnest({list(DIMENSIONS)!r}) AS dimension, n_held, true AS learned FROM (SELECT count(*) AS n_held FROM embeddings WHERE vec_id % 5 = 0)"),
     "stratified_split": (stratified, None),
     "stratified_marginals": (stratified_marginals, f"{RATED}, t AS (SELECT language, count(*) AS n FROM cand GROUP BY language), l AS (SELECT language, count(DISTINCT (dimension, score)) AS n_labels FROM rated GROUP BY language), s AS (SELECT language, n, CAST(round_even(n * 0.8::DOUBLE, 0) AS BIGINT) AS a, CAST(round_even(n * 0.1::DOUBLE, 0) AS BIGINT) AS b FROM t) SELECT language, split, n_rows, n_labels, true AS balanced FROM (SELECT language, 'train' AS split, a AS n_rows FROM s UNION ALL SELECT language, 'dev', b FROM s UNION ALL SELECT language, 'test', n - a - b FROM s) JOIN l USING (language)"),
     "nfc_normalize": (nfc_normalize, "SELECT doc_id, md5(nfc_normalize(text)) AS text_md5 FROM documents"),
-    "available_configs": (available_configs, values("c", ["language", "config", "available"], [(a, b, k < 5) for k, (a, b) in enumerate(BENCHMARK_CONFIGS.items())]).join(["WITH ", " SELECT * FROM c"])),
     "record_projection": (record_projection, "SELECT lang || '_' || doc_id AS doc_id, lang AS language, 3 AS educational_value, 3 AS reasoning, 3 AS professionalism, 3 AS cleanliness, 3 AS cultural_nuance, source, 'b' AS len_bucket, 'c' AS lang_bucket, CAST(n_chars AS INT) AS char_len FROM documents"),
     "nested_results": (nested_results, f"{TOTALS} SELECT a.model, a.task, a.metric, a.bucket, round(a.value, 9) AS value, round(t.macro, 9) AS macro, round(worst, 9) AS worst, round(relative_improvement, 9) AS relative_improvement FROM a JOIN t ON a.model = t.model AND a.task = t.task AND a.metric = t.metric LEFT JOIN i ON a.model = i.model AND a.task = i.task AND a.metric = i.metric"),
     "choice_log_likelihood": (choice_log_likelihood, f"{LIKELY} SELECT doc_id, CAST(choice AS INT) AS choice, round(lp, 9) AS sum_log_prob, CAST(1 AS BIGINT) AS num_tokens FROM l"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans import corpus_queries, evaluation_queries, proxy_queries
+from gristmill.plans import corpus_queries, evaluation_queries, proxy_queries, storage_queries
 
-_ALL = corpus_queries.QUERIES | evaluation_queries.QUERIES | proxy_queries.QUERIES
+_ALL = corpus_queries.QUERIES | evaluation_queries.QUERIES | proxy_queries.QUERIES | storage_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -81,6 +81,38 @@ def by_file(spark: SparkSession, folder: str, schema: str, bucket: str, only: li
     return df if only is None else df.where(F.col(bucket).isin(*only))
 
 
+def folder_names(spark: SparkSession, root: str) -> DataFrame:
+    """(name, is_folder) of what lies in a folder, by Hadoop's listing; an empty table if there is no such folder. Hidden names are left out."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(root)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(s.getPath().getName(), s.isDirectory()) for s in system.listStatus(target)] if system.exists(target) else []
+    return spark.createDataFrame(sorted(x for x in found if x[0][0] not in "._"), "name string, is_folder boolean")
+
+
+def by_folder(spark: SparkSession, root: str, schema: str, bucket: str, only: list[str] | None = None) -> DataFrame:
+    """JSON lines of a folder for each bucket, as the writers leave them; only the folders asked for are listed in the scan."""
+    df = spark.read.schema(f"{schema}, {bucket} string").json(root)
+    return df if only is None else df.where(F.col(bucket).isin(*only))
+
+
+def tasks(spark: SparkSession, root: str, wanted: Mapping[str, str], schema: str = MCQ) -> DataFrame:
+    """Documents of several tasks with ``task`` and ``bucket``. ``wanted``: the column that holds a task's bucket, or "" if it has a folder for each.
+    A task without documents is an error that names all of them."""
+    there = with_files(spark, {task: f"{root}/task={task}" for task in wanted})
+    if missing := [task for task in wanted if task not in there]:
+        raise FileNotFoundError(f"no documents of {missing} in {root}")
+    out = None
+    for task, path in there.items():
+        column = wanted[task]
+        own = by_folder(spark, path, schema, "bucket") if not column else spark.read.schema(schema).json(path).withColumn("bucket", F.col(column))
+        own = own.withColumn("task", F.lit(task))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no task given")
+    return out
+
+
 def downstream(spark: SparkSession, root: str, task: str, per_language: bool, languages: list[str] | None = None) -> DataFrame:
     """A task's documents with their bucket; a missing file is an error."""
     if per_language:

@@ -46,7 +46,9 @@ def results_json(table: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header. Quotes are doubled and white space at the edges stays, so that fields come back as they were, line feeds included."""
+    kept = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**kept).csv(path)
 
 
 def json_lines(df: DataFrame, path: str, keys: list[str] | None = None) -> None:

@@ -215,11 +215,34 @@ def test_normalization(spark):
     assert converted_share(fixed).first()["n_converted"] == 1
 
 
+def plain_heads(x, y, hidden, epochs, rate, decay=1e-2, seed=0):
+    """Full-batch AdamW on the mean of the heads' Huber losses (delta 1), in one process."""
+    heads = {d: [np.array(p, float) for p in h] for d, h in rater.initial_heads(x.shape[1], hidden, tuple(y), seed).items()}
+    moments = {d: [[0.0, 0.0] for _ in h] for d, h in heads.items()}
+    for step in range(1, epochs + 1):
+        for d, (w1, b1, w2, b2) in heads.items():
+            inner = x @ w1.T + b1
+            act = np.maximum(inner, 0)
+            slope = np.clip(act @ w2 + b2 - y[d], -1, 1) / len(x) / len(heads)
+            back = np.outer(slope, w2) * (inner > 0)
+            for k, g in enumerate((back.T @ x, back.sum(0), act.T @ slope, slope.sum())):
+                m = moments[d][k]
+                m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
+                heads[d][k] = heads[d][k] - rate * (m[0] / (1 - 0.9**step) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8) + decay * heads[d][k])
+    return heads
+
+
 def test_heads_learn_and_come_back(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 6))
     y = {"a": 2 + x[:, 0], "b": 2 - x[:, 1]}
-    heads, best = rater.train(x[:300], {k: v[:300] for k, v in y.items()}, (x[300:], {k: v[300:] for k, v in y.items()}), hidden=8, epochs=40, rate=0.01)
+    frame = lambda some: spark.createDataFrame([([float(v) for v in x[k]], float(y["a"][k]), float(y["b"][k])) for k in some], "embedding array<double>, a double, b double")
+    rows, held = frame(range(300)).repartition(5), frame(range(300, 400))
+    few, _ = rater.train(rows, held, ["a", "b"], hidden=8, epochs=3, every=3, rate=0.01)
+    plain = plain_heads(x[:300], {k: v[:300] for k, v in y.items()}, 8, 3, 0.01)
+    for d in "ab":
+        assert all(np.allclose(p, q) for p, q in zip(few[d], plain[d], strict=True))  # gradients of five partitions add up to the whole one
+    heads, best = rater.train(rows, held, ["a", "b"], hidden=8, epochs=30, batches=2, every=15, rate=0.05)
     assert best > 0.9
     rater.save_heads(spark, heads, str(tmp_path / "heads"))
     again = rater.load_heads(spark, str(tmp_path / "heads"))
@@ -228,6 +251,27 @@ def test_heads_learn_and_come_back(spark, tmp_path):
     assert [r["a"] for r in got] == pytest.approx(list(rater.apply_head(x[300:320], heads["a"])), abs=1e-4)
 
 
+def test_training_takes_nulls_and_needs_rows(spark):
+    rows = [([1.0, 0.0], 1.0, None), (None, 5.0, 1.0), ([0.0, 1.0], None, 2.0), ([0.5, 0.5], 0.5, 1.5)]
+    df = spark.createDataFrame(rows, "embedding array<double>, a double, b double")
+    heads, best = rater.train(df, df, ["a", "b"], hidden=2, epochs=2, every=1)
+    assert all(np.isfinite(p).all() for h in heads.values() for p in h) and -1 <= best <= 1
+    with pytest.raises(ValueError):
+        rater.train(df.limit(0), df, ["a", "b"])
+
+
+def test_ranks_of_many_distinct_values(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=6000), np.full(3000, 0.25)])
+    y = np.round(x * 3 + rng.normal(size=9000), 2)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "t double, p double").withColumn("g", F.lit(None).cast("string"))
+    import pandas as pd
+
+    want = pd.Series(x).rank().corr(pd.Series(y).rank())
+    (row,) = metrics.spearman(df, ["g"], "t", "p").collect()
+    assert row["spearman"] == pytest.approx(want, abs=1e-12) and row["g"] is None
+
+
 def test_embedding_plugin(spark):
     df = spark.createDataFrame([("ab",), (None,)], "t string")
     got = rater.embed(df, "t", lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()

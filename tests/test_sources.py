@@ -79,3 +79,21 @@ def test_csv_and_json_lines(spark, tmp_path):
     assert readers.json_lines(spark, str(tmp_path / "j"), "text string, language string", language="vi").first()["text"] == "é"
     writers.csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["text"] == "é"
+
+
+def test_tasks_name_all_that_is_missing(spark, tmp_path):
+    rows = spark.createDataFrame([("c", ["A"], ["x"], 0, "s", "quiz", "b")], "context string, choices array<string>, choice_texts array<string>, gold int, subject string, task string, bucket string")
+    writers.bucketed(rows, str(tmp_path / "docs"), ["task"])
+    assert [(r["task"], r["bucket"]) for r in readers.tasks(spark, str(tmp_path / "docs"), {"quiz": ""}).collect()] == [("quiz", "b")]
+    with pytest.raises(FileNotFoundError, match="sums.*more"):
+        readers.tasks(spark, str(tmp_path / "docs"), {"quiz": "", "sums": "subject", "more": ""})
+    with pytest.raises(ValueError):
+        readers.tasks(spark, str(tmp_path / "docs"), {})
+
+
+def test_folder_names(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "b.txt").touch()
+    assert [tuple(r) for r in readers.folder_names(spark, str(tmp_path)).orderBy("name").collect()] == [("a", True), ("b.txt", False)]
+    assert readers.folder_names(spark, str(tmp_path / "none")).isEmpty()
