@@ -227,6 +227,8 @@ class Bands:
     many: int
     most: int
     low: int
+    near: int
+    sure: int
 
     @property
     def words(self) -> int:
@@ -243,7 +245,9 @@ def bands(texts: int, similarity: float, recall: float = 0.95, radius: int = 4)
     low, used = 4, bits * many
     while low < 20 and texts * sum(comb(low, k) for k in range(radius // 2 + 1)) >> low > BAND_MOST:
         low += 1
-    return Bands(bits, many, ceil(used * p + 5 * sqrt(used * p * (1 - p))), low)
+    seen = bits + BITS  # what a block knows of a text: a fingerprint, and a word of the others
+    spread = sqrt(seen * p * (1 - p))
+    return Bands(bits, many, ceil(used * p + 5 * sqrt(used * p * (1 - p))), low, ceil(seen * p + 5 * spread), max(0, int(seen * p - 2 * spread)))
 
 
 def _signatures(width: int, plan: Bands):
@@ -262,7 +266,8 @@ def _signatures(width: int, plan: Bands):
 
 
 def _deal_bands(plan: Bands, radius: int):
-    """Each fingerprint, with its text's number, to the blocks within ``radius`` bits of its low bits; packed by fingerprint and block."""
+    """Each fingerprint, with a word of the text's other ones and the text's number, to the blocks within ``radius`` bits of its low bits; packed by
+    fingerprint and block."""
     near = np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(plan.low), k)], U64)
     schema = pa.schema([("block", pa.int32()), ("body", pa.binary())])
 
@@ -273,39 +278,64 @@ def _deal_bands(plan: Bands, radius: int):
             flat = np.unpackbits(words.astype(">u8").view(np.uint8), axis=1)
             for number in range(plan.many if len(t) else 0):
                 own = flat[:, number * plan.bits : (number + 1) * plan.bits].astype(U64) @ (U64(1) << np.arange(plan.bits, dtype=U64))
+                other = np.ascontiguousarray(words[:, (number * plan.bits // BITS + 2) % plan.words])
                 block = ((own & U64((1 << plan.low) - 1))[:, None] ^ near[None, :]).ravel()
                 order = np.argsort(block, kind="stable")
                 block, row = block[order], order // len(near)
                 cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                bodies = [np.concatenate([own[r], t[r].view(U64)]).tobytes() for r in np.split(row, cuts[1:])]
+                bodies = [np.concatenate([own[r], other[r], t[r].view(U64)]).tobytes() for r in np.split(row, cuts[1:])]
                 yield table(schema, (block[cuts].astype(np.int64) + (number << plan.low)).astype(np.int32), pa.array(bodies, pa.binary()))
 
     return run
 
 
+def _led(bucket: np.ndarray, own: np.ndarray, value: np.ndarray, other: np.ndarray, plan: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of texts that share a bucket, and which rows lead. Rows are in order of bucket and text.
+
+    All buckets take a round together: the first row that nothing covers leads, is paired with every row of the bucket that may be similar (led
+    before or not), and covers those that surely are. So a row that is no copy of a leader leads itself, and a pair is missed only if both of its texts
+    are sure of other leaders in every bucket that they share. Copies take few rounds; rows that merely resemble each other take one each.
+    """
+    covered, leads = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    rows, a, b = np.arange(len(own)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(todo := rows[~covered[rows]]):
+        heads = todo[np.r_[True, bucket[todo[1:]] != bucket[todo[:-1]]]]
+        leads[heads] = covered[heads] = True
+        at = np.minimum(np.searchsorted(bucket[heads], bucket[rows]), len(heads) - 1)
+        active = bucket[heads[at]] == bucket[rows]
+        rows, head = rows[active], heads[at[active]]
+        away = (popcount(value[own[rows]] ^ value[own[head]]) + popcount(other[own[rows]] ^ other[own[head]])).astype(np.int64)
+        covered[rows[away <= plan.sure]] = True
+        some = (away <= plan.near) & (rows != head)
+        a.append(own[rows[some]])
+        b.append(own[head[some]])
+    return np.concatenate(a), np.concatenate(b), leads
+
+
 def _band_pairs(plan: Bands, radius: int):
-    """Within a block pairs (u, v) of texts: each with the first of its variants' buckets, and with the first of its own fingerprint."""
+    """Within a block pairs (u, v) of texts that share a fingerprint, or a variant of it, and may be similar."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, U64).reshape(2, -1) for x in group.column("body").to_pylist()]
-        value, t = np.concatenate(parts, 1)
+        parts = [np.frombuffer(x, U64).reshape(3, -1) for x in group.column("body").to_pylist()]
+        value, other, t = np.concatenate(parts, 1)
         order = np.lexsort((t, value))
-        value, t = value[order], t[order]
-        opens = np.r_[True, value[1:] != value[:-1]]
-        first, fps = np.flatnonzero(opens)[np.cumsum(opens) - 1], value[opens]
-        name, equal = t[opens], np.flatnonzero(~opens)
-        off = (fps ^ U64(key[0].as_py())) & U64((1 << plan.low) - 1)
-        pairs = [np.zeros(0, np.int64)]
-        for variant, own in _variants(fps ^ off, np.arange(len(fps)), radius // 2 - popcount(off).astype(np.int64), plan.low, plan.bits):
+        value, other, t = value[order], other[order], t[order]
+        n = len(t)
+        same = np.cumsum(np.r_[True, value[1:] != value[:-1]])
+        u, v, leads = _led(same, np.arange(n), value, other, plan)
+        pairs = [np.unique(np.minimum(u, v) * n + np.maximum(u, v))]
+        lead = np.flatnonzero(leads)
+        off = (value[lead] ^ U64(key[0].as_py())) & U64((1 << plan.low) - 1)
+        for variant, own in _variants(value[lead] ^ off, lead, radius // 2 - popcount(off).astype(np.int64), plan.low, plan.bits):
             order = np.lexsort((own, variant))
             variant, own = variant[order], own[order]
             begins = np.r_[True, variant[1:] != variant[:-1]]
-            head = own[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-            pairs.append(np.unique((own * len(fps) + head)[~begins & (own != head)]))
+            shared = ~begins | np.r_[~begins[1:], False]  # variants that one text has are most of them
+            u, v, _ = _led(np.cumsum(begins)[shared], own[shared], value, other, plan)
+            pairs.append(np.unique(np.minimum(u, v) * n + np.maximum(u, v)))
         both = np.unique(np.concatenate(pairs))
         settle()
-        u, v = np.r_[name[both // len(fps)], t[equal]], np.r_[name[both % len(fps)], t[first[equal]]]
-        return pa.table([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=LINKS)
+        return pa.table([pa.array(t[both // n].view(np.int64)), pa.array(t[both % n].view(np.int64))], schema=LINKS)
 
     return run
 
@@ -328,7 +358,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, reca
     ``similarity`` or more. ``fingerprint`` tells texts apart (16 hex digits of their 64-bit hash).
 
     Candidates come from the balls of several fingerprints (``Bands``), are ruled out by all their bits, and verified on the shingles, so no
-    link is wrong; a pair at the threshold is a candidate with probability ``recall``, a closer one more surely, equal texts always.
+    link is wrong; a pair at the threshold is a candidate with probability ``recall``, a closer one more surely, equal texts always. In a bucket all texts are
+    paired but those that are surely copies of others there (see ``_led``), which are paired with the ones they are copies of.
     """
     ws, radius = ws or Workspace(docs.sparkSession, "simhash-texts"), 4
     rows = id_and_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text")

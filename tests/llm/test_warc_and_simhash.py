@@ -187,3 +187,43 @@ def test_components(spark):
     label = simhash.forest(400, *np.array(edges).T)
     assert got == {n: label[n] for e in edges if e[0] != e[1] for n in e}
     assert components(spark.createDataFrame([], "u long, v long"), Workspace(spark, "test")).count() == 0
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def shingles(text, width=5):
+    w = text.split()
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+
+
+@pytest.mark.parametrize("members", [100, 600])
+def test_pairs_within_a_family_of_looser_relatives_are_linked(spark, docs, members):
+    """Each text of a family has a near copy, and all resemble each other below the threshold."""
+    rng = random.Random(members)
+    word = lambda: f"w{rng.randint(0, 99999)}"
+    base = [word() for _ in range(300)]
+    rows = []
+    for k in range(members):
+        own = [word() if rng.random() < 0.03 else w for w in base]
+        copy = list(own)
+        for at in rng.sample(range(300), 4):
+            copy[at] = word()
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+    sets = [shingles(t) for _, t in rows[:60]]
+    assert all(jaccard(sets[2 * k], sets[2 * k + 1]) >= 0.8 for k in range(30)) and max(jaccard(sets[0], x) for x in sets[2:]) < 0.8
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs(rows), 5, 0.8).collect()}
+    linked = sum(found[2 * k + 1] == found[2 * k] for k in range(members))
+    assert linked >= 0.98 * members
+    apart = len({found[2 * k] for k in range(members)})
+    assert apart > 0.5 * members  # no link is wrong
+
+
+def test_leaders_pair_what_may_be_similar():
+    plan = simhash.bands(10**5, 0.8)
+    value = np.array([0, 1, (1 << 20) - 1, (1 << 20) - 2, 0], np.uint64)
+    other = np.array([0, 3, (1 << 30) - 1, (1 << 30) - 1, 1], np.uint64)
+    a, b, leads = simhash._led(np.array([1, 1, 1, 1, 2]), np.arange(5), value, other, plan)
+    assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset((0, 1)), frozenset((2, 3))}
+    assert leads.tolist() == [True, False, True, False, True]
