@@ -16,7 +16,7 @@ that has an operator, and parses targets and expressions:
 * targets are names (of any length, dotted), subscripts (``cfg["db_pwd"]`` is ``cfg.db_pwd``), quoted keys, and typed names (``name: type = ...``);
 * expressions go on in brackets, after a backslash or a joining operator, and on the next line where a key has nothing else on its own. Their
   literals and names count: of calls the arguments but not the function, of lists the elements, of subscripts the name that they make; the
-  pairs of a dictionary stand for themselves;
+  pairs of a dictionary stand for themselves; several names take values by place, and a call that sets a name to a value (``cfg.set("k", "v")``) is a pair;
 * configuration: YAML scalars, also blocks (``|`` and ``>``) by line, INI and environment lines, JSON, XML elements and the pairs of their
   attributes (also ``key="..." value="..."``).
 
@@ -24,7 +24,7 @@ An assignment within a string is text and none of the lexer's; one within a comm
 is as secret. A name stands for all its definitions in its scope, wherever they are, so no binding hides another.
 
 A null or empty text has no spans, an empty table no rows. Rows repeat as they come in; the result has one row for each row of the input, in no
-order. Spans that tie in their start are in order of their kinds. Texts are read whole, however long. Other columns are not read.
+order. Spans that tie in their start are in order of their kinds. Texts are read whole, however long, each bracket once. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -83,6 +83,8 @@ BARE = re.compile(r"""[^\s"'`,;#&<>(){}\[\]|]+""")
 TYPE = r"[&*]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\n=]*?\]|<[^\n=]*?>)?\??"
 TYPED = re.compile(rf"[ \t]*({TYPE}(?:[ \t]*\|[ \t]*{TYPE})*)[ \t]*=(?![=~>])[ \t]*")
 BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[ \t]*(?:#[^\n]*)?\n")
+#: A setting that a call makes: its name and its value as strings.
+SETTING = re.compile(r"""\b(?:set|put|define|setenv|putenv|set_?[pP]roperty|set_?[eE]nv|setdefault)\(\s*(["'])([\w.:-]+)\1\s*,\s*(["'])([^"'\n]+)\3""")
 ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
 KEYED = re.compile(r"""<[^<>]*?\b(?:key|name|id)\s*=\s*["']([^"'<>]+)["'][^<>]*?\bvalue\s*=\s*["']([^"'<>]+)["']""", re.I)
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -119,8 +121,15 @@ def literal_strength(value: str) -> float:
     return min(1.0, entropy / 3.5) * (0.55 + 0.15 * classes)
 
 
-#: ("literal", "bare" or "name", value, start, end).
-Term = tuple[str, str, int, int]
+#: ("literal", "bare" or "name", value (None: the text there), start, end).
+Term = tuple[str, str | None, int, int]
+#: Terms, and what brackets hold as groups of their own.
+Group = list
+#: Words after which an expression goes on, and those of them that may stand where it could have ended.
+WANTING = frozenset("or and await new return lambda not if else".split())
+JOINING = frozenset("or and if else".split())
+#: Names that one assignment may give values to, by place.
+LISTED = 64
 
 
 def _literal(text: str, start: int, end: int) -> list[Term]:
@@ -143,28 +152,68 @@ def _subscript(text: str, at: int, stop: int) -> tuple[str, int] | None:
     return None
 
 
-def _value(text: str, at: int, stop: int, assigned: bool) -> tuple[list[Term], int]:
-    """The terms of the expression that begins at ``at``, and where it ends. ``assigned``: by an equals sign, not by a colon."""
-    terms: list[Term] = []
-    calls: list[bool] = []  # open brackets
+def _brackets(text: str, start: int, stop: int, groups: dict[int, tuple[Group, int, bool]]) -> tuple[Group, int, bool]:
+    """What the bracket at ``start`` holds, where it ends, and whether a dictionary cut it off. Brackets in it are read on the way and noted in ``groups``, so that
+    none is read twice, however deep it lies and however many assignments begin around it."""
+    if start in groups:
+        return groups[start]
+    open_: list[tuple[int, Group]] = [(start, [])]
+    at, cut = start + 1, False
+    while open_ and not cut and at < stop and (m := TOKEN.match(text, at, stop)):
+        kind, begin, at = m.lastgroup, m.start(), m.end()
+        terms = open_[-1][1]
+        if kind == "str":
+            terms += _literal(text, begin, at)
+        elif kind == "ref":
+            terms.append(("name", m[0][2:-1], begin, at))
+        elif kind == "name":
+            if text[at : at + 1] != "(" and m[0] not in WANTING:
+                name, at = _subscripted(text, m[0].lstrip("$"), at, stop)
+                terms.append(("name", name, begin, at))
+        elif kind == "open":
+            if m[0] == "{":
+                at, cut = begin, True
+            elif begin in groups:
+                inner, at, cut = groups[begin]
+                terms.append(inner)
+            else:
+                open_.append((begin, []))
+                terms.append(open_[-1][1])
+        elif kind == "close":
+            begin, terms = open_.pop()
+            groups[begin] = (terms, at, False)
+        elif kind == "assign" and terms and isinstance(terms[-1], tuple) and terms[-1][0] != "literal":
+            terms.pop()  # a named argument
+    for begin, terms in open_:
+        groups[begin] = (terms, at, cut)
+    return groups[start]
+
+
+def _subscripted(text: str, name: str, at: int, stop: int) -> tuple[str, int]:
+    while text[at : at + 1] == "[" and (key := _subscript(text, at, stop)):
+        name, at = f"{name}.{key[0]}", key[1]
+    return name, at
+
+
+def _value(text: str, at: int, stop: int, assigned: bool, groups: dict[int, tuple[Group, int, bool]]) -> tuple[Group, int]:
+    """The terms of the expression that begins at ``at``, and where it ends; those of a bracket are one group. ``assigned``: by an equals sign, not by a colon."""
+    terms: Group = []
     wants, lines, first = True, 0, True
     while at < stop and (m := TOKEN.match(text, at, stop)):
         kind, at = m.lastgroup, m.end()
         if kind in ("gap", "comment"):
             continue
-        if first and kind not in ("str", "open", "end", "ref") and (bare := BARE.match(text, m.start(), stop)) and text[bare.end() : bare.end() + 1] not in ("(", "[") and not (kind == "name" and bare.end() == m.end()):
-            terms.append(("literal", bare[0], bare.start(), bare.end()))  # an unquoted value
-            at, first, wants = bare.end(), False, False
+        if first and kind not in ("str", "open", "end", "ref") and (end := _bare_end(text, m.start(), stop, groups)) > m.start() and text[end : end + 1] not in ("(", "[") and not (kind == "name" and end == m.end()):
+            terms.append(("literal", None, m.start(), end))  # an unquoted value, which may hold others: it is cut out where it matters
+            at, first, wants = end, False, False
             continue
         if kind == "end":
-            if m[0] == ";" and not calls:
-                return terms, m.start()
-            if not calls and not wants:
+            if m[0] == ";" or not wants:
                 return terms, m.start()
-            lines += m[0] == "\n"
-            if not calls and lines > 1:
+            lines += 1
+            if lines > 1:
                 return terms, m.start()
-            if not calls and first:  # the value may be alone on the next line
+            if first:  # the value may be alone on the next line
                 after = text[at : end if (end := text.find("\n", at, stop)) >= 0 else stop].strip()
                 if not (after[:1] in "\"'`([" and after or not assigned and BARE.fullmatch(after) and not after.endswith(":")):
                     return terms, m.start()
@@ -176,47 +225,44 @@ def _value(text: str, at: int, stop: int, assigned: bool) -> tuple[list[Term], i
             terms.append(("name", m[0][2:-1], m.start(), at))
             wants = False
         elif kind == "name":
-            name = m[0].lstrip("$")
-            if not wants and not calls:
+            if not wants and m[0] not in JOINING:
                 return terms, m.start()
-            wants = m[0] in ("or", "and", "await", "new", "return", "lambda", "not", "if", "else")
+            wants = m[0] in WANTING
             if text[at : at + 1] == "(" or wants:
                 first = False
                 continue  # a call: only its arguments count
-            while text[at : at + 1] == "[" and (key := _subscript(text, at, stop)):
-                name, at = f"{name}.{key[0]}", key[1]
+            name, at = _subscripted(text, m[0].lstrip("$"), at, stop)
             terms.append(("name" if at > m.end() or not first or text[at : at + 1] in ("+", ".") else "bare", name, m.start(), at))
         elif kind == "open":
             if m[0] == "{":  # the pairs in it stand for themselves
                 return terms, m.start()
-            calls.append(m[0] == "(")
-            wants = True
-        elif kind == "close":
-            if not calls:
-                return terms, m.start()
-            calls.pop()
+            group, at, cut = _brackets(text, m.start(), stop, groups)
+            if group:
+                terms.append(group)
+            if cut:
+                return terms, at
             wants = False
         elif kind == "join":
             wants = True
-        elif kind == "comma":
-            if not calls:
-                return terms, m.start()
-            wants = True
-        elif kind == "assign":
-            if not calls:
-                return terms, m.start()
-            if terms and terms[-1][0] != "literal":
-                terms.pop()  # a named argument
-            wants = True
-        elif not calls:
+        else:
             return terms, m.start()
         first = False
     return terms, at
 
 
-def _pairs(text: str, begin: int, stop: int, comments: list[tuple[int, int]]) -> list[tuple[str, list[Term], bool]]:
+def _bare_end(text: str, at: int, stop: int, groups: dict) -> int:
+    """Where the unquoted value that begins at ``at`` ends. One that lies in another ends with it, and isn't looked through again."""
+    begin, end = groups.get(-1, (0, 0))
+    if not begin <= at < end:
+        m = BARE.match(text, at, stop)
+        begin, end = groups[-1] = (at, m.end() if m else at)
+    return end
+
+
+def _pairs(text: str, begin: int, stop: int, comments: list[tuple[int, int]]) -> list[tuple[str, Group, bool]]:
     """(name, terms, whether the name is a built-in type) of the assignments in [begin, stop); comments with an operator are noted."""
     out, types, read = [], set(), begin
+    groups: dict = {}
     for found in OPERATOR.finditer(text, begin, stop):
         if found.start() < read:
             continue
@@ -224,6 +270,7 @@ def _pairs(text: str, begin: int, stop: int, comments: list[tuple[int, int]]) ->
         end = text.find("\n", found.start(), stop)
         end = stop if end < 0 else end + 1
         last: tuple[str, int] | None = None  # the name or key that an operator may follow, and where it begins
+        listed: list[tuple[str, int]] = []  # names with commas before it
         opened: list[tuple[str, int] | None] = []
         while at < end and (m := TOKEN.match(text, at, stop)):
             kind, at = m.lastgroup, m.end()
@@ -233,35 +280,50 @@ def _pairs(text: str, begin: int, stop: int, comments: list[tuple[int, int]]) ->
                 if OPERATOR.search(m[0]):
                     comments.append((m.start(), m.end()))
             elif kind == "name":
+                listed = [] if last else listed  # two names without a comma are no list
                 last = (m[0].lstrip("$"), m.start())
             elif kind == "str":
                 a, b = _literal(text, m.start(), m.end())[0][2:]
-                last = (text[a:b], m.start())
+                last, listed = (text[a:b], m.start()), []
             elif kind == "open":
                 opened.append(last)
-                last = None
+                last, listed = None, []
             elif kind == "close":
                 base = opened.pop() if opened else None
                 last = (f"{base[0]}.{last[0]}" if last else base[0], base[1]) if m[0] == "]" and base else last if m[0] == "]" else None
+            elif kind == "comma":
+                listed = [*listed, last] if last and not opened and len(listed) < LISTED else []
+                last = None
             elif kind == "assign":
-                if last:
+                if last and listed and m[0] == "=":
+                    names, values, to = [*listed, last], [], at
+                    while len(values) < len(names):
+                        given, to = _value(text, to, stop, True, groups)
+                        values.append(given)
+                        if text[to : to + 1] != ",":
+                            break
+                        to += 1
+                    if len(values) < len(names):  # prose, or one value for all; the last name has the first value
+                        names, values = names[-1:], values[:1]
+                    out += [(name, given, False) for (name, _), given in zip(names, values, strict=True)]
+                elif last:
                     assigned = m[0] != ":"
                     given, typed = None, None
                     if not assigned and (block := BLOCK.match(text, at, stop)):
                         given, at = _block(text, last[1], block.end(), stop)
                     elif not assigned and (typed := TYPED.match(text, at, stop)):
-                        given, _ = _value(text, typed.end(), stop, True)
+                        given, _ = _value(text, typed.end(), stop, True, groups)
                         if given:
                             types.add(typed.start(1))
                     if given is None or typed and not given:
-                        given, _ = _value(text, at, stop, assigned)
+                        given, _ = _value(text, at, stop, assigned, groups)
                     elif typed:
-                        given = given + [t for t in _value(text, at, stop, False)[0] if t[0] == "literal"]
+                        given = given + [t for t in _value(text, at, stop, False, groups)[0] if t[0] == "literal"]
                     if given:
                         out.append((last[0], given, last[1] in types and last[0].rpartition(".")[2] in BUILT_IN))
-                last = None
+                last, listed = None, []
             else:
-                last = None
+                last, listed = None, []
         read = max(read, at)
     return out
 
@@ -283,9 +345,9 @@ def _block(text: str, key: int, at: int, stop: int) -> tuple[list[Term], int]:
     return terms, at
 
 
-def _resolve(pairs: list[tuple[str, list[Term], bool]], threshold: float) -> set[tuple[int, int, int]]:
+def _resolve(pairs: list[tuple[str, Group, bool]], text: str, threshold: float) -> set[tuple[int, int, int]]:
     """(start, kind, end) of the literals that sensitive names get, directly or by constants."""
-    constants: dict[str, list[Term]] = {}
+    constants: dict[str, Group] = {}
     for name, terms, is_type in pairs:
         if not is_type:
             constants.setdefault(name, []).extend(terms)
@@ -295,11 +357,17 @@ def _resolve(pairs: list[tuple[str, list[Term], bool]], threshold: float) -> set
             targets.setdefault(weight, []).extend((t, 3, name) for t in terms)
     out = set()
     for weight, todo in targets.items():  # names of one weight go together, so each definition is followed once for them
-        seen = set()
+        seen: set = set()
         while todo:
-            (what, value, start, end), kind, name = todo.pop()
+            term, kind, name = todo.pop()
+            if isinstance(term, list):  # a group counts once for names of one weight, directly and by constants
+                if (id(term), kind) not in seen:
+                    seen.add((id(term), kind))
+                    todo += [(t, kind, name) for t in term]
+                continue
+            what, value, start, end = term
             if what == "literal":
-                if weight * literal_strength(value) >= threshold:
+                if weight * literal_strength(text[start:end] if value is None else value) >= threshold:
                     out.add((start, kind, end))
             elif value in constants and value not in seen and value != name:
                 seen.add(value)
@@ -311,19 +379,20 @@ def _resolve(pairs: list[tuple[str, list[Term], bool]], threshold: float) -> set
 
 def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the literals that sensitive names get, in order."""
-    if "=" not in text and ":" not in text and "</" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and not SETTING.search(text):
         return []
     comments: list[tuple[int, int]] = []
     pairs = _pairs(text, 0, len(text), comments)
+    pairs += [(m[2], [("literal", m[4], m.start(4), m.end(4))], False) for m in SETTING.finditer(text)]
     if "</" in text or "/>" in text:
         for m in (m for p in (ELEMENT, KEYED) for m in p.finditer(text)):
             if value := m[2].strip():
                 start = m.start(2) + m[2].index(value)
                 pairs.append((m[1], [("literal", value, start, start + len(value))], False))
-    out = _resolve(pairs, threshold)
+    out = _resolve(pairs, text, threshold)
     for a, b in comments:
         mark = len(text[a:b]) - len(text[a:b].lstrip("#/;*<!- \t"))
-        out |= _resolve(_pairs(text, a + mark, b, []), threshold)
+        out |= _resolve(_pairs(text, a + mark, b, []), text, threshold)
     return sorted(out)
 
 

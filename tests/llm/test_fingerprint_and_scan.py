@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from gristmill.llm.lz_fingerprint import likeness, likeness_hex, lz_fingerprints, signature
@@ -178,3 +179,33 @@ def test_likeness_is_near_the_similarity_of_phrase_sets():
         a, b = plain_phrases(text), plain_phrases(other)
         errors.append(likeness(signature(text), signature(other)) - len(a & b) / len(a | b))
     assert max(map(abs, errors)) < 0.15 and abs(sum(errors) / len(errors)) < 0.02
+
+
+@pytest.mark.parametrize("make", [lambda n: "a = (\n" * n, lambda n: "('k1', k=[\n" * n, lambda n: "a=b=" * n, lambda n: "x = " + "[" * n + "pwd='hunter2horse9X'" + "]" * n, lambda n: "f(a: b, c=g(" * n])
+def test_lexing_takes_time_in_proportion_to_the_text(make):
+    def took(n):
+        text = make(n)
+        return min(_timed(lexed_spans, text) for _ in range(2)) / len(text)
+
+    took(2000)
+    assert took(32_000) < 4 * took(4_000) + 1e-6  # eight times the text; it was eight times the time for each character
+
+
+def _timed(f, x):
+    began = time.process_time()
+    f(x)
+    return time.process_time() - began
+
+
+def test_more_kinds_of_assignment():
+    found = lambda t: [t[a:b] for a, _, b in lexed_spans(t)]
+    key = "hunter2horse9X"
+    for text in (f'user, pwd = "bob", "{key}"', f'cfg.set("db_pwd", "{key}")', f"define('DB_PWD', '{key}')", f'pwd = x if y else "{key}"', f'pwd = ("a", ["{key}"])', f'pwd, user = "{key}", "bob"', f'pwd = f(a, (b, "{key}"))'):
+        assert found(text) == [key]
+    for text in (f'pwd, user = "bob", "{key}"', f'cfg.set("colour", "{key}")', f'of pwd, user token is "{key}"', f"pwd, user = 2, other('{key}', 1)"):
+        assert found(text) == []
+
+
+def test_a_bracket_read_for_an_inner_assignment_counts_for_the_outer_one():
+    text = 'a = f(pwd=("hunter2horse9X"), b=("plainvalue77Q"))\npassword = a'
+    assert [(text[a:b], k) for a, k, b in lexed_spans(text)] == [("hunter2horse9X", 3), ("hunter2horse9X", 4), ("plainvalue77Q", 4)]
