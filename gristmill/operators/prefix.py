@@ -50,6 +50,7 @@ def take_until(df: DataFrame, groups: Iterable[str], levels: Sequence[Column], o
         joined = rest.drop("__before").join(steps, _same([*groups, name], [f"__k{i}" for i in range(len(renamed))]))
         taken.append(joined.where("__whole"))
         rest = joined.where("not __whole").withColumnRenamed("__from", "__before").drop("__whole", *(f"__k{i}" for i in range(len(renamed))))
+        rest = ws.write(rest, f"rest{k}")  # one step of each group, so that finer levels don't go through all rows again
     within = Window.partitionBy(*(groups or [F.lit(1)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # one finest step of each group
     last = rest.withColumn("__total", F.col("__before") + F.coalesce(F.sum("__amount").over(within), F.lit(0.0))).where(F.col("__total") < target)
     out = last.select(*(F.col(f"`{c}`") for c in df.columns))

@@ -12,7 +12,7 @@ from gristmill.plans.base import BUDGET, CAND, EST, before, candidates, scored
 from gristmill.plans.corpus_queries import SP, _weighted
 from gristmill.plans.evaluation_queries import HEADS, MCQ, mcq
 from gristmill.session import load
-from gristmill.sources import readers, writers
+from gristmill.sources import bundles, readers, writers
 from gristmill.storage import Workspace
 
 LANGS = ["en", "de", "es", "fr"]
@@ -128,6 +128,17 @@ def saved_heads(spark, sf):
     return rows.select("vec_id", *(F.round(d, 6).alias(d) for d in DIMENSIONS))
 
 
+def vector_bundle(spark, sf):
+    """The embeddings as a bundle of fixed-width records, in two writes, and read back."""
+    bundles.register(spark)
+    path = Workspace(spark, "bundle").path("vectors")
+    rows = load(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("float").alias("label"))
+    rows.where("vec_id % 3 = 0").write.format("floatbundle").mode("overwrite").save(path)
+    rows.where("vec_id % 3 <> 0").write.format("floatbundle").mode("append").save(path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return spark.read.format("floatbundle").load(path).select("vec_id", F.size("embedding").alias("width"), F.round(F.element_at("embedding", 64).cast("double"), 9).alias("last"), F.round(total, 6).alias("total"), F.col("label").cast("int").alias("label"))
+
+
 def masked_means(spark, sf):
     """Means of the four quarters of a vector that the bits of its id keep."""
     quarters = F.array(*(F.transform(F.slice("embedding", 16 * k + 1, 16), lambda x: x.cast("double")) for k in range(4)))
@@ -174,6 +185,7 @@ QUERIES = {
     "split_scan": (split_scan, f"WITH {CAND} SELECT CAST(doc_id AS VARCHAR) AS doc_id, language, {', '.join(DIMENSIONS)} FROM scored WHERE doc_id % 10 = 8"),
     "word_list_file": (word_list_file, "SELECT DISTINCT lower(regexp_replace(n_name || 'x', '[^a-zA-Z0-9]+', '', 'g')) AS word FROM nation"),
     "saved_heads": (saved_heads, HEADS),
+    "vector_bundle": (vector_bundle, "SELECT vec_id, CAST(len(embedding) AS INT) AS width, round(embedding[64]::DOUBLE, 9) AS last, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, label FROM embeddings"),
     "masked_means": (masked_means, f"WITH m AS (SELECT vec_id, embedding AS e, {_LISTS} AS b FROM embeddings) SELECT vec_id, {', '.join(f'round(({chr(43).join(f'b[{k + 1}] * e[{16 * k + at}]::DOUBLE' for k in range(4))}) / greatest(list_sum(b), 1), 6) AS {name}' for at, name in ((1, 'first'), (16, 'last')))} FROM m"),
     "null_texts": (null_texts, f"SELECT doc_id, CAST(length(t) AS INT) AS char_len, CAST(length(regexp_replace(t, '^[{SP}]+|[{SP}]+$', '', 'g')) AS INT) AS stripped FROM (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN text ELSE '' END AS t FROM documents)"),
     "some_weights": (some_weights, f"{_weighted('WHERE weight_id IN (' + repr('W20') + ', ' + repr('W02') + ')')} SELECT weight_id, language, count(*) AS n_docs, sum(estimated_tokens) AS est_tokens FROM t WHERE b < {BUDGET} GROUP BY ALL"),
