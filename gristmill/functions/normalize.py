@@ -20,7 +20,7 @@ def nfc(text: pd.Series) -> pd.Series:
 def repair(df: DataFrame, text_col: str, probability: Callable[[str], float], convert: Callable[[str], str], threshold: float = 0.5) -> DataFrame:
     """Converts texts that the detector holds to be in the legacy encoding (probability at the threshold or above), then composes all.
 
-    Adds ``converted``. Detector and converter are plug-ins, as none is part of this package.
+    Adds ``converted``. Detector and converter are functions of a text, such as ``legacy.fit_detector`` gives and ``legacy.to_unicode``.
     """
 
     @F.pandas_udf("text string, converted boolean")

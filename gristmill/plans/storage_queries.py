@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gristmill.constants import BENCHMARK_CONFIGS, DIMENSIONS
+from gristmill.functions.legacy import fit_detector, to_legacy, to_unicode
+from gristmill.functions.normalize import repair
 from gristmill.operators import corpus as C
 from gristmill.operators import rater as R
 from gristmill.operators import selection as S
@@ -147,6 +150,36 @@ def masked_means(spark, sf):
     return rows.select("vec_id", F.round(F.element_at("m", 1), 6).alias("first"), F.round(F.element_at("m", 16), 6).alias("last"))
 
 
+#: Burmese letters and signs in the places of Latin ones, so that the documents become text of that script in canonical order.
+LATIN, BURMESE = "abcdefghijklmnopqrstuvwxyz", ("\u102c", "\u1017", "\u1000\u103b", "\u1012", "\u1031", "\u1016", "\u1002", "\u101f", "\u102d", "\u1007", "\u1000", "\u101c", "\u1019", "\u1014", "\u102f", "\u1015\u103c", "\u1000\u103d", "\u101b", "\u101e", "\u1010", "\u1030", "\u1018", "\u101d\u103e", "\u1001", "\u101a", "\u1005")
+
+
+def _burmese(spark, sf):
+    """The documents' consonants and vowels as Burmese syllables; of every other one in the legacy encoding."""
+    text = F.regexp_replace(F.lower("text"), "(?<![b-df-hj-np-tv-z])[aeiou]+|[^a-z ]", "")  # vowels need a consonant before them
+    text = F.regexp_replace(text, "([aeiou])[aeiou]+", "$1")
+    for latin, burmese in zip(LATIN, BURMESE, strict=True):
+        text = F.replace(text, F.lit(latin), F.lit(burmese))
+    consonants = F.length(F.regexp_replace(F.lower("text"), "[^b-df-hj-np-tv-z]", ""))
+    rows = load(spark, sf, "documents").select("doc_id", text.alias("right"), consonants.alias("n"))
+
+    @F.pandas_udf("string")
+    def old(texts: pd.Series) -> pd.Series:
+        return texts.map(to_legacy)
+
+    legacy = F.col("doc_id") % 2 == 1
+    return rows.select("doc_id", "n", "right", legacy.alias("legacy"), F.when(legacy, old("right")).otherwise(F.col("right")).alias("text"))
+
+
+def legacy_repair(spark, sf):
+    """Texts of which a fitted detector finds the legacy ones, and how many come back as they were. It is fitted on other documents than it judges."""
+    rows = _burmese(spark, sf)
+    known = F.floor(F.col("doc_id") / 2) % 2 == 0
+    detector = fit_detector(rows.where(known))
+    fixed = repair(rows.where(~known & (F.col("n") > 20)), "text", detector, to_unicode)
+    return fixed.groupBy("legacy").agg(F.count("*").alias("n_rows"), F.count_if("converted").alias("n_converted"), F.count_if(F.col("text") == F.col("right")).alias("n_right"))
+
+
 def null_texts(spark, sf):
     """Documents whose text is missing for some, as empty ones."""
     rows = candidates(spark, sf).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).alias("text"), "language_score", "pos")
@@ -169,6 +202,7 @@ def available_configs(spark, sf):
     return there.withColumn("available", F.lit(True)).unionByName(gone.withColumn("available", F.lit(False)))
 
 
+_CONSONANTS = "length(regexp_replace(lower(text), '[^b-df-hj-np-tv-z]', '', 'g'))"
 _LISTS = "list_transform(range(4), lambda k: (vec_id >> k) & 1)"
 _WANTED = ", ".join(f"('{a}', '{b}')" for a, b in (*BENCHMARK_CONFIGS.items(), *((c, f"{c}_Latn") for c in LANGS)))
 QUERIES = {
@@ -187,6 +221,7 @@ QUERIES = {
     "saved_heads": (saved_heads, HEADS),
     "vector_bundle": (vector_bundle, "SELECT vec_id, CAST(len(embedding) AS INT) AS width, round(embedding[64]::DOUBLE, 9) AS last, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, label FROM embeddings"),
     "masked_means": (masked_means, f"WITH m AS (SELECT vec_id, embedding AS e, {_LISTS} AS b FROM embeddings) SELECT vec_id, {', '.join(f'round(({chr(43).join(f'b[{k + 1}] * e[{16 * k + at}]::DOUBLE' for k in range(4))}) / greatest(list_sum(b), 1), 6) AS {name}' for at, name in ((1, 'first'), (16, 'last')))} FROM m"),
+    "legacy_repair": (legacy_repair, f"WITH k AS (SELECT doc_id % 2 = 1 AS legacy FROM documents WHERE (doc_id // 2) % 2 = 1 AND {_CONSONANTS} > 20) SELECT legacy, count(*) AS n_rows, CASE WHEN legacy THEN count(*) ELSE 0 END AS n_converted, count(*) AS n_right FROM k GROUP BY legacy"),
     "null_texts": (null_texts, f"SELECT doc_id, CAST(length(t) AS INT) AS char_len, CAST(length(regexp_replace(t, '^[{SP}]+|[{SP}]+$', '', 'g')) AS INT) AS stripped FROM (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN text ELSE '' END AS t FROM documents)"),
     "some_weights": (some_weights, f"{_weighted('WHERE weight_id IN (' + repr('W20') + ', ' + repr('W02') + ')')} SELECT weight_id, language, count(*) AS n_docs, sum(estimated_tokens) AS est_tokens FROM t WHERE b < {BUDGET} GROUP BY ALL"),
     "available_configs": (available_configs, f"WITH w(language, config) AS (VALUES {_WANTED}) SELECT language, config, config IN (SELECT lang || '_Latn' FROM documents) AS available FROM w"),
