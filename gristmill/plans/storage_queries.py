@@ -9,11 +9,12 @@ from gristmill.constants import BENCHMARK_CONFIGS, DIMENSIONS
 from gristmill.functions.legacy import fit_detector, to_legacy, to_unicode
 from gristmill.functions.normalize import repair
 from gristmill.operators import corpus as C
+from gristmill.operators import evaluate as E
 from gristmill.operators import rater as R
 from gristmill.operators import selection as S
 from gristmill.plans.base import BUDGET, CAND, EST, before, candidates, scored
 from gristmill.plans.corpus_queries import SP, _weighted
-from gristmill.plans.evaluation_queries import HEADS, MCQ, mcq
+from gristmill.plans.evaluation_queries import HEADS, MCQ, PREDICTED, mcq, predictions
 from gristmill.session import load
 from gristmill.sources import bundles, readers, writers
 from gristmill.storage import Workspace
@@ -131,6 +132,16 @@ def saved_heads(spark, sf):
     return rows.select("vec_id", *(F.round(d, 6).alias(d) for d in DIMENSIONS))
 
 
+def results_log(spark, sf):
+    """The quiz's results of two runs from a log: the second has new values of one model for some buckets, and is added twice."""
+    path = Workspace(spark, "log").path("results")
+    rows = Workspace(spark, "log").write(E.bucket_metrics(predictions(spark, sf)), "rows")
+    again = rows.where("model = 'random' AND bucket <> 'subject0'").withColumn("value", F.col("value") + 1)
+    for run, new in (("first", rows), ("second", again), ("second", rows)):
+        writers.log_results(new, path, run, 0 if run == "first" else 1)
+    return writers.logged_results(spark, path).select("model", "task", "bucket", "metric", "run", F.round("value", 9).alias("value"))
+
+
 def vector_bundle(spark, sf):
     """The embeddings as a bundle of fixed-width records, in two writes, and read back."""
     bundles.register(spark)
@@ -219,6 +230,7 @@ QUERIES = {
     "split_scan": (split_scan, f"WITH {CAND} SELECT CAST(doc_id AS VARCHAR) AS doc_id, language, {', '.join(DIMENSIONS)} FROM scored WHERE doc_id % 10 = 8"),
     "word_list_file": (word_list_file, "SELECT DISTINCT lower(regexp_replace(n_name || 'x', '[^a-zA-Z0-9]+', '', 'g')) AS word FROM nation"),
     "saved_heads": (saved_heads, HEADS),
+    "results_log": (results_log, f"{PREDICTED}, z AS (SELECT *, model = 'random' AND bucket <> 'subject0' AS again FROM r) SELECT model, task, bucket, metric, CASE WHEN again THEN 'second' ELSE 'first' END AS run, round(value + again::INT, 9) AS value FROM z"),
     "vector_bundle": (vector_bundle, "SELECT vec_id, CAST(len(embedding) AS INT) AS width, round(embedding[64]::DOUBLE, 9) AS last, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, label FROM embeddings"),
     "masked_means": (masked_means, f"WITH m AS (SELECT vec_id, embedding AS e, {_LISTS} AS b FROM embeddings) SELECT vec_id, {', '.join(f'round(({chr(43).join(f'b[{k + 1}] * e[{16 * k + at}]::DOUBLE' for k in range(4))}) / greatest(list_sum(b), 1), 6) AS {name}' for at, name in ((1, 'first'), (16, 'last')))} FROM m"),
     "legacy_repair": (legacy_repair, f"WITH k AS (SELECT doc_id % 2 = 1 AS legacy FROM documents WHERE (doc_id // 2) % 2 = 1 AND {_CONSONANTS} > 20) SELECT legacy, count(*) AS n_rows, CASE WHEN legacy THEN count(*) ELSE 0 END AS n_converted, count(*) AS n_right FROM k GROUP BY legacy"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,40 @@ def results(new: DataFrame, path: str, existing: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def log_results(new: DataFrame, path: str, run: str, order: int) -> bool:
+    """Adds a run's results to a log; False if the log has that run already, and then nothing changes.
+
+    A run is a folder of its own: its rows are written under a hidden name and published by one rename, so runs at the same time don't touch each
+    other's, a run that fails leaves nothing to read, and one that is repeated is the same one.
+    """
+    spark = new.sparkSession
+    jvm = spark.sparkContext._jvm
+    hidden, target = (jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in (f"_writing-{uuid.uuid4().hex}", f"run={run}"))
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(target):
+        return False
+    new.select("model", "task", "metric", "bucket", "value", F.lit(order).cast("long").alias("run_order")).write.parquet(hidden.toString())
+    done = not store.exists(target) and store.rename(hidden, target)  # a rename onto a folder that is there would move into it
+    store.delete(hidden, True)
+    return done
+
+
+def logged_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results that hold: of each bucket the value of the latest run that has it (equal orders: by the run's name), with that ``run``; of perplexities, which are replaced for a
+    model as a whole, those of the model's latest run. What runs said before stays in the log."""
+    try:
+        rows = spark.read.schema(f"{RESULTS}, run_order long, run string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{RESULTS}, run string")
+    when = F.struct("run_order", "run")
+    latest = rows.groupBy("model", "task", "metric", "bucket").agg(F.max_by(F.struct("value", "run", when.alias("at")), when).alias("r")).select("model", "task", "metric", "bucket", "r.*")
+    last = rows.where(F.col("metric") == "perplexity").groupBy("model", "metric").agg(F.max(when).alias("last"))
+    held = latest.join(last, ["model", "metric"], "left").where(F.col("last").isNull() | (F.col("at") == F.col("last")))
+    return held.select("model", "task", "metric", "bucket", "value", "run")
+
+
 def results_json(table: DataFrame, path: str) -> None:
     nested(table).coalesce(1).write.mode("overwrite").json(path)
 

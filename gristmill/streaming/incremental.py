@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gristmill.operators.corpus import first_rows
 from gristmill.sources.readers import RESULTS
-from gristmill.sources.writers import append_keyed, results
+from gristmill.sources.writers import append_keyed, log_results, results
 
 
 def counted_scan(stream: DataFrame, target: int) -> DataFrame:
@@ -31,6 +31,16 @@ def merge_results(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def log_stream(stream: DataFrame, path: str, name: str, checkpoint: str) -> StreamingQuery:
+    """Adds each batch to the log of results as the run ``<name>-<number>``; a batch that runs again finds itself there, and streams of other names may write
+    at the same time."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        log_results(batch, path, f"{name}-{number:09}", number)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_results(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends each batch under its number; a batch that runs again repeats rows of that number, which readers take once."""
     return stream.writeStream.foreachBatch(lambda batch, number: append_keyed(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

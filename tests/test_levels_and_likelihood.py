@@ -310,3 +310,18 @@ def test_the_entry_hides_only_a_missing_subpackage(monkeypatch, missing, fails):
         assert "select_for_weight" in __spark_entry__.queries() and not any(n.startswith("op1_") for n in __spark_entry__.queries())
     monkeypatch.undo()
     importlib.reload(__spark_entry__)
+
+
+def test_rows_of_one_length_go_together_over_the_whole_table(spark):
+    rng = random.Random(8)
+    rows = [(k, "x" * rng.choice([5, 5, 5, *range(1, 400)]), "y") for k in range(4000)]
+    df = spark.createDataFrame(rows, "k int, a string, b string").repartition(8)
+    sizes = lambda d: [[len(r["a"]) + 1 for r in part] for part in d.rdd.glom().collect()]
+    dealt = likelihood.dealt_by_length(df, "a", "b")
+    assert dealt.columns == df.columns and sorted(dealt.collect()) == sorted(df.collect())
+    whole, before = sizes(dealt), sizes(df)
+    assert all(p == sorted(p) for p in whole)
+    share = lambda parts: sum(likelihood.padding(p, 16) * len(p) for p in parts if p) / 4000
+    assert share(whole) < 0.02 < 0.4 < share(before)
+    hot = likelihood.dealt_by_length(spark.range(3000).selectExpr("cast(id as string) AS k", "lpad(id, 5, '0') AS a"), "a")
+    assert max(len(p) for p in hot.rdd.glom().collect()) < 2000  # one length in many partitions

@@ -1,11 +1,13 @@
 """Readers, writers and the streaming forms of incremental steps."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from gristmill.operators.evaluate import nested
 from gristmill.sources import readers, writers
 from gristmill.streaming import incremental
+from pyspark.sql import functions as F
 
 
 def test_annotations_csv(spark, tmp_path):
@@ -97,3 +99,39 @@ def test_folder_names(spark, tmp_path):
     (tmp_path / "b.txt").touch()
     assert [tuple(r) for r in readers.folder_names(spark, str(tmp_path)).orderBy("name").collect()] == [("a", True), ("b.txt", False)]
     assert readers.folder_names(spark, str(tmp_path / "none")).isEmpty()
+
+
+RUNS = "model string, task string, bucket string, metric string, value double"
+
+
+def test_log_of_results(spark, tmp_path):
+    path = str(tmp_path / "log")
+    make = lambda rows: spark.createDataFrame(rows, RUNS)
+    assert writers.logged_results(spark, path).isEmpty()
+    first = make([("m", "t", "a", "accuracy", 0.5), ("m", "t", "b", "accuracy", 0.25), ("m", "held_out", "vi", "perplexity", 9.0), ("m", "held_out", "th", "perplexity", 8.0)])
+    second = make([("m", "t", "b", "accuracy", 0.75), ("m", "held_out", "vi", "perplexity", 7.0)])
+    assert writers.log_results(first, path, "r1", 1) and writers.log_results(second, path, "r2", 2)
+    got = {(r["bucket"], r["value"], r["run"]) for r in writers.logged_results(spark, path).collect()}
+    assert got == {("a", 0.5, "r1"), ("b", 0.75, "r2"), ("vi", 7.0, "r2")}  # the model's perplexities are those of its last run
+    assert not writers.log_results(first, path, "r2", 3)  # a run that is there stays as it is
+    assert {(r["bucket"], r["value"], r["run"]) for r in writers.logged_results(spark, path).collect()} == got
+    with pytest.raises(Exception):
+        writers.log_results(first.withColumn("value", F.raise_error(F.lit("no")).cast("double")), path, "r3", 3)
+    assert {(r["bucket"], r["value"], r["run"]) for r in writers.logged_results(spark, path).collect()} == got
+
+
+def test_runs_at_the_same_time_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    frames = [spark.createDataFrame([(f"m{k % 2}", "t", f"b{k}", "accuracy", k / 8)], RUNS) for k in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        assert all(pool.map(lambda k: writers.log_results(frames[k], path, f"run{k}", 0), range(8)))
+    assert {(r["bucket"], r["value"]) for r in writers.logged_results(spark, path).collect()} == {(f"b{k}", k / 8) for k in range(8)}
+
+
+def test_a_stream_into_the_log_can_be_replayed(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.createDataFrame([("m", "t", "a", "accuracy", 0.5)], RUNS).write.parquet(source)
+    for checkpoint in ("one", "two"):  # a lost checkpoint: the first batch comes again
+        incremental.log_stream(spark.readStream.schema(RUNS).parquet(source), path, "eval", str(tmp_path / checkpoint)).awaitTermination()
+    assert [tuple(r) for r in writers.logged_results(spark, path).collect()] == [("m", "t", "accuracy", "a", 0.5, "eval-000000000")]
+    assert spark.read.parquet(path).count() == 1
