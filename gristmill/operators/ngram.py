@@ -60,18 +60,36 @@ class Bigrams:
         return F.when(t > 0, F.greatest(c - self.first[k], none) / t + self.first[k] * u / t * lower).otherwise(lower)
 
 
-def fit(docs: DataFrame, readers: dict[str, str], vocabulary: DataFrame, ws: Workspace, text_col: str = "text") -> Bigrams:
-    """Models by name, each from the rows where its column of ``docs`` is true. ``vocabulary`` has a row for each word that may occur.
+#: Models in one mask: the bits of a long but its sign.
+MASK_BITS = 63
+
+
+def mask_columns(models: Sequence[str]) -> list[str]:
+    return [f"__reads{k}" for k in range(-(-len(models) // MASK_BITS))]
+
+
+def masks(selected: DataFrame, models: Sequence[str], name_col: str, key: str) -> DataFrame:
+    """(key, masks): which models read a document, as bits, for selections (model, key)."""
+    number = F.create_map(*(F.lit(x) for k, m in enumerate(models) for x in (m, k)))
+    numbered = selected.select(key, F.element_at(number, F.col(name_col)).alias("__n")).where("__n is not null")
+    bit = lambda k: F.when(F.floor(F.col("__n") / MASK_BITS) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__n") % MASK_BITS).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return numbered.groupBy(key).agg(*(F.bit_or(bit(k)).alias(c) for k, c in enumerate(mask_columns(models))))
+
+
+def all_of(models: Sequence[str]) -> dict[str, Column]:
+    """The masks of a text that every model reads."""
+    return {c: F.lit((1 << min(MASK_BITS, len(models) - k * MASK_BITS)) - 1).cast("long") for k, c in enumerate(mask_columns(models))}
+
+
+def fit(docs: DataFrame, models: Sequence[str], vocabulary: DataFrame, ws: Workspace, text_col: str = "text") -> Bigrams:
+    """Models from the rows of ``docs`` whose masks have their bit. ``vocabulary`` has a row for each word that may occur.
 
     One aggregation of word pairs, two of its result; the driver gets six numbers for each model.
     """
-    names, columns = list(readers), list(readers.values())
-    read = [F.coalesce(c, F.lit(False)) for c in columns]
-    any_ = read[0]
-    for c in read[1:]:
-        any_ = any_ | c
-    rows = pairs(docs.where(any_), columns, text_col)
-    counts = ws.write(rows.groupBy("v", "w").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{k}") for k, c in enumerate(columns))), "counts")
+    names, columns = list(models), mask_columns(models)
+    rows = pairs(docs, columns, text_col)
+    reads = lambda k: F.expr(f"((`{columns[k // MASK_BITS]}` >> {k % MASK_BITS}) & 1) = 1")
+    counts = ws.write(rows.groupBy("v", "w").agg(*(F.count_if(reads(k)).alias(f"c{k}") for k in range(len(names)))), "counts")
     span = range(len(names))
     contexts = ws.write(counts.groupBy("v").agg(*(F.sum(f"c{k}").alias(f"t{k}") for k in span), *(F.count_if(F.col(f"c{k}") > 0).alias(f"u{k}") for k in span)), "contexts")
     continued = ws.write(counts.groupBy("w").agg(*(F.count_if(F.col(f"c{k}") > 0).alias(f"a{k}") for k in span)), "continued")
@@ -98,18 +116,14 @@ def losses(model: Bigrams, held_out: DataFrame, groups: Sequence[str], ws: Works
 def continued_losses(base: DataFrame, candidates: DataFrame, selected: DataFrame, held_out: DataFrame, models: Sequence[str], name_col: str = "model", key: str = "doc_id", group: str = "language", with_base: str | None = None) -> DataFrame:
     """(model, language, loss, n_tokens) on ``held_out`` of models that read ``base`` and then the candidates ``selected`` (model, key) for them.
 
-    ``with_base`` names the model that read the base alone. What a model reads is a column of a document; the selections, which are
+    ``with_base`` names the model that read the base alone. What models read is a mask of bits of a document; the selections, which are
     narrow, are joined to the texts once. All of ``base``, ``candidates`` and ``held_out`` have the key, the group and ``text``.
     """
     ws = Workspace(base.sparkSession, "ngram")
-    names = [*([with_base] if with_base else []), *models]
-    marks = {m: f"__m{k}" for k, m in enumerate(names)}
-    reads = selected.groupBy(key).agg(*(F.max(F.col(name_col) == m).alias(marks[m]) for m in models))
-    chosen = candidates.select(key, "text").join(reads, key)
-    if with_base:
-        chosen = chosen.withColumn(marks[with_base], F.lit(False))
-    docs = base.select(key, "text").withColumns({c: F.lit(True) for c in marks.values()}).unionByName(chosen)
+    names = [*models, *([with_base] if with_base else [])]
+    chosen = candidates.select(key, "text").join(masks(selected.where(F.col(name_col).isin(*models)), names, name_col, key), key)
+    docs = base.select(key, "text").withColumns(all_of(names)).unionByName(chosen)
     every = base.select("text").unionByName(candidates.select("text")).unionByName(held_out.select("text"))
     vocabulary = every.select(F.explode(F.array_distinct(words(F.col("text")))).alias("w")).distinct()
-    fitted = fit(docs, marks, vocabulary, ws)
+    fitted = fit(docs, names, vocabulary, ws)
     return ws.write(losses(fitted, held_out, [group], ws), "losses")

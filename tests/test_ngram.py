@@ -66,9 +66,9 @@ def test_losses_of_several_models_are_those_of_plain_ones(spark):
 
 def test_probabilities_add_up_to_one(spark):
     texts = ["a b a c", "b a", "a b a", "d"]
-    docs = spark.createDataFrame([(k, "xx", t) for k, t in enumerate(texts)], DDL).withColumns({"m": F.lit(True), "none": F.lit(False)})
+    docs = spark.createDataFrame([(k, "xx", t) for k, t in enumerate(texts)], DDL).withColumns(dict.fromkeys(ngram.mask_columns(["all", "nothing"]), F.lit(1).cast("long")))
     vocabulary = spark.createDataFrame([(w,) for w in "a b c d e f".split()], "w string")
-    fitted = ngram.fit(docs, {"all": "m", "nothing": "none"}, vocabulary, Workspace(spark, "test"))
+    fitted = ngram.fit(docs, ["all", "nothing"], vocabulary, Workspace(spark, "test"))
     events = spark.createDataFrame([(v, w) for v in ("", "a", "b", "zz") for w in "a b c d e f".split()], "v string, w string")
     rows = events.join(fitted.counts, ["v", "w"], "left").join(fitted.contexts, "v", "left").join(fitted.continued, "w", "left")
     for k in range(2):
@@ -82,3 +82,15 @@ def test_empty_tables(spark):
     assert ngram.continued_losses(some, some, none, empty, ["a"]).count() == 0
     (row,) = ngram.continued_losses(empty, empty, none, some, ["a"]).collect()
     assert row["loss"] == round(math.log(2), 6)
+
+
+def test_more_models_than_bits_of_a_mask(spark):
+    models = [f"m{k}" for k in range(130)]
+    texts = spark.createDataFrame([(k, "xx", f"a b{k % 3} a") for k in range(130)], DDL)
+    selected = spark.createDataFrame([(m, k) for k, m in enumerate(models)], "model string, doc_id long")
+    held = spark.createDataFrame([(1, "xx", "a b0 a")], DDL)
+    got = {r["model"]: r["loss"] for r in ngram.continued_losses(texts.limit(0), texts, selected, held, models).collect()}
+    p = [plain_probability([f"a b{k} a"], 4) for k in range(3)]
+    for k, m in enumerate(models):
+        want = -sum(math.log(p[k % 3](v, w)) for v, w in (("", "a"), ("a", "b0"), ("b0", "a"))) / 3
+        assert abs(got[m] - want) < 1.1e-6
