@@ -52,12 +52,10 @@ class Bigrams:
 
     def probability(self, k: int) -> Column:
         """P(w | v) of model ``k``, over rows joined with the three tables. Over all words of the vocabulary it adds up to 1."""
-        none = F.lit(0)
-        c, t, u, a = (F.coalesce(f"{x}{k}", none) for x in "ctua")
         some = max(self.kinds[k], 1)
         back = self.second[k] * self.seen[k] / some if self.kinds[k] else 1.0  # an empty model knows nothing
-        lower = F.greatest(a - self.second[k], none) / some + back / self.vocabulary
-        return F.when(t > 0, F.greatest(c - self.first[k], none) / t + self.first[k] * u / t * lower).otherwise(lower)
+        lower = f"(greatest(coalesce(a{k}, 0) - {self.second[k]!r}D, 0D) / {some}D + {back / self.vocabulary!r}D)"
+        return F.expr(f"if(t{k} > 0, greatest(coalesce(c{k}, 0) - {self.first[k]!r}D, 0D) / t{k} + {self.first[k]!r}D * u{k} / t{k} * {lower}, {lower})")
 
 
 #: Models in one mask: the bits of a long but its sign.
@@ -88,13 +86,13 @@ def fit(docs: DataFrame, models: Sequence[str], vocabulary: DataFrame, ws: Works
     """
     names, columns = list(models), mask_columns(models)
     rows = pairs(docs, columns, text_col)
-    reads = lambda k: F.expr(f"((`{columns[k // MASK_BITS]}` >> {k % MASK_BITS}) & 1) = 1")
-    counts = ws.write(rows.groupBy("v", "w").agg(*(F.count_if(reads(k)).alias(f"c{k}") for k in range(len(names)))), "counts")
     span = range(len(names))
-    contexts = ws.write(counts.groupBy("v").agg(*(F.sum(f"c{k}").alias(f"t{k}") for k in span), *(F.count_if(F.col(f"c{k}") > 0).alias(f"u{k}") for k in span)), "contexts")
-    continued = ws.write(counts.groupBy("w").agg(*(F.count_if(F.col(f"c{k}") > 0).alias(f"a{k}") for k in span)), "continued")
-    one = counts.agg(*(F.count_if(F.col(f"c{k}") == n).alias(f"n{n}_{k}") for k in span for n in (1, 2)), *(F.count_if(F.col(f"c{k}") > 0).alias(f"n_{k}") for k in span)).first()
-    two = continued.agg(*(F.count_if(F.col(f"a{k}") == n).alias(f"n{n}_{k}") for k in span for n in (1, 2)), *(F.count_if(F.col(f"a{k}") > 0).alias(f"n_{k}") for k in span)).first()
+    tell = lambda *sql: [F.expr(x) for x in sql]
+    counts = ws.write(rows.groupBy("v", "w").agg(*tell(*(f"count_if(((`{columns[k // MASK_BITS]}` >> {k % MASK_BITS}) & 1) = 1) AS c{k}" for k in span))), "counts")
+    contexts = ws.write(counts.groupBy("v").agg(*tell(*(f"sum(c{k}) AS t{k}" for k in span), *(f"count_if(c{k} > 0) AS u{k}" for k in span))), "contexts")
+    continued = ws.write(counts.groupBy("w").agg(*tell(*(f"count_if(c{k} > 0) AS a{k}" for k in span))), "continued")
+    kinds = lambda x: tell(*(f"count_if({x}{k} {test}) AS {name}_{k}" for k in span for name, test in (("n1", "= 1"), ("n2", "= 2"), ("n", "> 0"))))
+    one, two = counts.agg(*kinds("c")).first(), continued.agg(*kinds("a")).first()
     of = lambda row: [discount(row[f"n1_{k}"], row[f"n2_{k}"]) for k in span]
     return Bigrams(names, counts, contexts, continued, of(one), of(two), [one[f"n_{k}"] for k in span], [two[f"n_{k}"] for k in span], max(vocabulary.count(), 1))
 
