@@ -85,8 +85,8 @@ def test_empty_tables(spark):
 
 
 def test_more_models_than_bits_of_a_mask(spark):
-    models = [f"m{k}" for k in range(130)]
-    texts = spark.createDataFrame([(k, "xx", f"a b{k % 3} a") for k in range(130)], DDL)
+    models = [f"m{k}" for k in range(70)]
+    texts = spark.createDataFrame([(k, "xx", f"a b{k % 3} a") for k in range(70)], DDL)
     selected = spark.createDataFrame([(m, k) for k, m in enumerate(models)], "model string, doc_id long")
     held = spark.createDataFrame([(1, "xx", "a b0 a")], DDL)
     got = {r["model"]: r["loss"] for r in ngram.continued_losses(texts.limit(0), texts, selected, held, models).collect()}
