@@ -2,7 +2,8 @@
 
 A record is a key (8 bytes), a vector and further numbers (4 bytes each, little-endian); all records of a bundle have one size, so any range of rows is
 one range of bytes. A manifest names the files that count. Tasks write under names of their own in a temporary folder; the commit moves what they
-wrote, and then replaces the manifest by one rename, so readers see the bundle before or after a write and never part of it.
+wrote, and then replaces the manifest by one rename, so readers see the bundle before or after a write and never part of it. A failed write takes its folder
+away (a store without folders may keep a late task's file, which no manifest names).
 
     register(spark)
     df.write.format("floatbundle").mode("overwrite").save(path)      # (key long, vector array<float>, further float columns)
@@ -86,6 +87,7 @@ class FloatBundle(DataSource):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, names: list[str], overwrite: bool):
         self.path, self.names, self.overwrite, self.run = path, names, overwrite, uuid.uuid4().hex
+        _store(path)[0].create_dir(self._folder(), recursive=True)  # by the driver alone: a task that is still at work after the write failed finds it gone
 
     def _folder(self) -> str:
         return f"{_store(self.path)[1]}/_temporary-{self.run}"
@@ -104,7 +106,6 @@ class _Writer(DataSourceArrowWriter):
                     raise ValueError(f"vectors of {sorted({*sizes.tolist(), *([width] if rows else [])})} numbers don't make a bundle")
                 if stream is None:
                     width = int(sizes[0])
-                    store.create_dir(self._folder(), recursive=True)
                     stream = store.open_output_stream(f"{self._folder()}/{name}")
                 records = np.zeros(batch.num_rows, _record(width, self.names[2:]))
                 records["key"] = batch.column(0).to_numpy(zero_copy_only=False)
