@@ -7,9 +7,11 @@ and stacked consonants have code points of their own. So the same code points fo
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The legacy code points of stacked consonants, by the consonant.
@@ -58,42 +60,86 @@ def to_legacy(text: str) -> str:
 FIRST, LAST = 0x1000, 0x109F
 #: Symbols: the block's code points, and one for all else.
 SYMBOLS = LAST - FIRST + 2
+#: Symbols of a window: one, and the four before it. Syllables without a vowel of their own ("ser" and "sre") differ in no shorter span for sure.
+WIDTH = 5
+#: Windows that a detector keeps at most, the most frequent ones; of the rest it knows the shorter spans within kept ones.
+MOST = 1 << 18
+
+
+def _windows(text: str) -> np.ndarray:
+    """The distinct windows of a text as numbers, each once, as repeated words are no further evidence; none without a code point of the block."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    inside = (points >= FIRST) & (points <= LAST)
+    if not inside.any():
+        return np.zeros(0, np.int64)
+    end = SYMBOLS - 1
+    symbols = np.concatenate([[end] * (WIDTH - 1), np.where(inside, points - FIRST, end), [end]])
+    codes = np.zeros(len(points) + 1, np.int64)
+    for k in range(WIDTH):
+        codes = codes * SYMBOLS + symbols[k : k + len(codes)]
+    return np.unique(codes)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.stack([np.bincount(at, c, len(found)) for c in counts])
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    known, counts = table
+    if not len(known):
+        return np.zeros((len(counts), len(keys)))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, counts[:, at], 0.0)
 
 
 class Detector:
-    """Two Markov chains as one table of log odds: by how much a code point after another one speaks for the legacy encoding."""
+    """Two Markov chains: a symbol's probability after the four before it, mixed with that after three, and so on to none.
+
+    ``windows`` and, for legacy texts and others, the numbers of texts that have each.
+    """
 
-    def __init__(self, odds: np.ndarray, prior: float = 0.0):
-        self.odds, self.prior = odds, prior
+    def __init__(self, windows: np.ndarray, counts: np.ndarray, smoothing: float = 0.5, prior: float = 0.0):
+        self.smoothing, self.prior = smoothing, prior
+        self.tables = [(_summed(windows % SYMBOLS**k, counts), _summed(windows // SYMBOLS % SYMBOLS ** (k - 1), counts)) for k in range(1, WIDTH + 1)]
 
     def __call__(self, text: str) -> float:
         """The probability that a text is in the legacy encoding; 0 without a code point of the block."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        inside = (points >= FIRST) & (points <= LAST)
-        if not inside.any():
+        windows = _windows(text)
+        if not len(windows):
             return 0.0
-        symbols = np.where(inside, points - FIRST, SYMBOLS - 1)
-        symbols = np.concatenate([[SYMBOLS - 1], symbols, [SYMBOLS - 1]])
-        score = self.prior + self.odds[symbols[:-1], symbols[1:]].sum()
-        return float(1 / (1 + np.exp(-np.clip(score, -500, 500))))
-
-
-def _symbol(c: Column) -> Column:
-    point = F.ascii(c)  # of the first code point
-    return F.when((point >= FIRST) & (point <= LAST), point - FIRST).otherwise(SYMBOLS - 1)
-
-
-def fit_detector(texts: DataFrame, text_col: str = "text", legacy_col: str = "legacy", smoothing: float = 0.5) -> Detector:
-    """A detector from texts that are known to be legacy or not. Transitions are counted in Spark, in both chains at once; the driver gets at most a row for each of
-    the 161 times 161 pairs of symbols. Null texts and unknown encodings (null) don't count."""
-    ends = F.lit(SYMBOLS - 1)
-    symbols = F.concat(F.array(ends), F.transform(F.split(F.col(text_col), ""), _symbol), F.array(ends))
-    rows = texts.where(F.col(text_col).isNotNull() & F.col(legacy_col).isNotNull() & F.col(text_col).rlike("[\\u1000-\\u109f]")).select(F.col(legacy_col).alias("legacy"), symbols.alias("s"))
-    pairs = F.transform(F.slice("s", 2, F.size("s") - 1), lambda x, i: F.struct(F.element_at("s", i + 1).alias("a"), x.alias("b")))
-    counts = rows.select("legacy", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count_if("legacy").alias("old"), F.count_if(~F.col("legacy")).alias("new")).collect()
-    tables = np.full((2, SYMBOLS, SYMBOLS), smoothing)
-    for r in counts:
-        tables[0, r["a"], r["b"]] += r["old"]
-        tables[1, r["a"], r["b"]] += r["new"]
-    old, new = np.log(tables) - np.log(tables.sum(axis=2, keepdims=True))
-    return Detector(old - new)
+        likely = np.full((2, len(windows)), 1 / SYMBOLS)
+        for k, (spans, contexts) in enumerate(self.tables, 1):
+            likely = (_found(spans, windows % SYMBOLS**k) + self.smoothing * likely) / (_found(contexts, windows // SYMBOLS % SYMBOLS ** (k - 1)) + self.smoothing)
+        old, new = np.log(likely).sum(axis=1)
+        return float(1 / (1 + np.exp(-np.clip(self.prior + old - new, -500, 500))))
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of texts (text, legacy), with the numbers of legacy texts and of others that have them, about a million at a time."""
+
+    def give(held: tuple[list, list]) -> pa.RecordBatch:
+        of = [np.concatenate([np.zeros(0, np.int64), *x]) for x in held]
+        keys, counts = _summed(np.concatenate(of), np.repeat(np.eye(2), [len(x) for x in of], axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c.astype(np.int64)) for c in counts)], names=["window", "old", "new"])
+
+    held, size = ([], []), 0
+    for batch in batches:
+        for text, legacy in zip(batch.column(0), batch.column(1), strict=True):
+            own = _windows(text.as_py())
+            held[0 if legacy.as_py() else 1].append(own)
+            size += len(own)
+            if size > 1 << 20:
+                yield give(held)
+                held, size = ([], []), 0
+    if size:
+        yield give(held)
+
+
+def fit_detector(texts: DataFrame, text_col: str = "text", legacy_col: str = "legacy", smoothing: float = 0.5, most: int = MOST) -> Detector:
+    """A detector from texts that are known to be legacy or not. Windows are counted in Spark, in both chains at once; the driver gets ``most`` of them at most.
+    Null texts and unknown encodings (null) don't count."""
+    rows = texts.where(F.col(text_col).isNotNull() & F.col(legacy_col).isNotNull()).select(F.col(text_col), F.col(legacy_col))
+    counts = rows.mapInArrow(_counted, "window long, old long, new long").groupBy("window").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+    kept = counts.orderBy(F.desc(F.col("old") + F.col("new")), "window").limit(most).toPandas()
+    return Detector(kept["window"].to_numpy(np.int64), kept[["old", "new"]].to_numpy(float).T, smoothing)

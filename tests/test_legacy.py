@@ -57,6 +57,19 @@ def test_detector_finds_legacy_text_it_has_not_seen(spark):
     assert detector(WORDS[0][1] * 3) > 0.9 > 0.1 > detector(WORDS[0][0] * 3)
 
 
+def test_repeated_words_and_words_that_differ_late(spark):
+    """A word of weak evidence counts once however often it comes, and "ser" is told from "sre" by what stands around it."""
+    words = ["တဟေရ", "နေမ", "လိုသေရ", "နသရေတ", "ကသ"]
+    texts = [" ".join(words[(k + i * i) % 5] for i in range(4 + k % 3)) for k in range(60)]
+    rows = [(legacy.to_legacy(t) if old else t, old) for t in texts for old in (True, False)]
+    detector = legacy.fit_detector(spark.createDataFrame(rows, "text string, legacy boolean"))
+    text = "တဟ " * 300 + "နေမ တဟေရ လိုသေရ"
+    assert detector(legacy.to_legacy(text)) > 0.5 > detector(text)
+    for word in words[2:4]:
+        assert detector(legacy.to_legacy(word)) > 0.9 > 0.1 > detector(word)
+    assert len(legacy.fit_detector(spark.createDataFrame(rows, "text string, legacy boolean"), most=7).tables[-1][0][0]) == 7
+
+
 def test_no_text_to_learn_from(spark):
     nothing = legacy.fit_detector(spark.createDataFrame([(None, True), ("abc", False)], "text string, legacy boolean"))
     assert nothing(WORDS[0][0]) == pytest.approx(0.5)
