@@ -111,3 +111,14 @@ def test_banned_words(spark):
 def test_clean_id(spark):
     df = spark.createDataFrame([("<urn:uuid:1-2>",), ("urn:uuid:x",), ("<a>",), ("plain",)], "i string")
     assert [r[0] for r in df.select(T.clean_id(F.col("i"))).collect()] == ["1-2", "x", "a", "plain"]
+
+
+def test_a_filter_on_features_computes_them_once(spark):
+    """Below the features the filter would compute them again, in a second Python process for each task."""
+    from gristmill.operators.selection import is_clean
+
+    docs = spark.createDataFrame([(1, "some plain words here", "en", 0.95), (2, "a a a a a a a a", "en", 0.95)], "doc_id long, text string, language string, language_score double")
+    clean = kernel.with_features(docs, "text", "language").where(is_clean()).select("doc_id")
+    assert clean._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["doc_id"] for r in clean.collect()] == [1]
+    assert kernel.PART <= 1 << 18  # some 200 bytes for each code point
