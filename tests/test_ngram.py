@@ -94,3 +94,16 @@ def test_more_models_than_bits_of_a_mask(spark):
     for k, m in enumerate(models):
         want = -sum(math.log(p[k % 3](v, w)) for v, w in (("", "a"), ("a", "b0"), ("b0", "a"))) / 3
         assert abs(got[m] - want) < 1.1e-6
+
+
+def test_losses_are_one_expression_for_all_models(spark):
+    """As many expressions as models make a method that the JVM doesn't compile."""
+    names = [f"m{k}" for k in range(26)]
+    texts = spark.createDataFrame([(1, "xx", "a b a"), (2, "xx", "\tb  c\n\x0bb\r\x0c"), (3, "xx", ""), (4, "xx", None)], DDL)
+    docs = texts.withColumns(dict.fromkeys(ngram.mask_columns(names), F.lit(-1).cast("long")))
+    ws = Workspace(spark, "test")
+    found = ngram.losses(ngram.fit(docs, names, texts.select(F.explode(ngram.words(F.col("text"))).alias("w")).distinct(), ws), texts, ["language"], ws)
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("ln(") == 1
+    rows = found.collect()
+    assert len(rows) == 26 and {r["n_tokens"] for r in rows} == {6} and len({r["loss"] for r in rows}) == 1
+    assert sorted((r["v"], r["w"]) for r in ngram.pairs(texts, []).collect()) == [("", "a"), ("", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
