@@ -20,7 +20,7 @@ def test_constants(spark):
     assert [r["weight_id"] for r in weights_table(spark, ["W03", "none"]).collect()] == ["W03"] and weights_table(spark, []).count() == 0
 
 
-@pytest.mark.parametrize("name", ["merge_results", "nested_results", "missing_baselines"])
+@pytest.mark.parametrize("name", ["merge_results", "skip_done_buckets", "nested_results", "missing_baselines"])
 def test_results_are_computed_once_and_constants_start_no_python(spark, monkeypatch, name):
     """Rows of a list are an RDD, for which each executor starts Python workers beside those of the features."""
     calls = []
