@@ -29,7 +29,7 @@ def test_memory_does_not_grow_with_a_batch():
     assert large < 1.1 * small and large < 50
 
 
-@pytest.mark.parametrize("name", ["nested_results"])
+@pytest.mark.parametrize("name", ["nested_results", "missing_baselines"])
 def test_python_runs_in_one_step(spark, monkeypatch, name):
     steps, write = [], DataFrameWriter.parquet
 
