@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,25 +37,42 @@ _SYLLABLE = re.compile(f"((?:{KINZI_UNICODE})?)({CONSONANT})((?:္[က-အ])?)(
 _MEDIALS = {"ျ": "်", "ွ": "ြ", "ှ": "ွ"}
 
 
+# What a conversion changes, as one match each: signs, and syllables that are written in another order. All else is passed over without a call.
+_SIGN = re.compile(f"[{''.join(map(chr, _TO_UNICODE))}]")
+_LEGACY_MOVED = re.compile(f"(?:{VOWEL_E}{RA}?|{RA}|(?={CONSONANT}(?:{KINZI}|္[က-အ]|[ျွှ][ျွှ]))){CONSONANT}{KINZI}?(?:္[က-အ])?[ျွှ]*")
+_CHANGED = re.compile(f"(?:{KINZI_UNICODE}{CONSONANT}|ဿ|{CONSONANT}(?=[္ျ-ှ{VOWEL_E}]))(?:္[က-အ])?[ျ-ှ]*{VOWEL_E}?|{ASAT}")
+#: Syllables that a converter remembers in a process; texts have few different ones.
+REMEMBERED = 1 << 12
+
+
+def _sign(m: re.Match) -> str:
+    return _TO_UNICODE[ord(m[0])]
+
+
+@lru_cache(REMEMBERED)
+def _syllable_to_unicode(syllable: str) -> str:
+    m = _LEGACY_SYLLABLE.fullmatch(syllable)
+    return (KINZI_UNICODE if m[4] else "") + m[3] + m[5] + "".join(sorted(m[2] + m[6])) + m[1]
+
+
+@lru_cache(REMEMBERED)
+def _syllable_to_legacy(syllable: str) -> str:
+    if syllable == ASAT:
+        return "္"
+    m = _SYLLABLE.fullmatch(syllable)
+    stack = chr(STACKED[ord(m[3][1])]) if m[3] and ord(m[3][1]) in STACKED else m[3]
+    consonant = "ႆ" if m[2] == "ဿ" else m[2]
+    return m[5] + ("ျ" if RA in m[4] else "") + consonant + (KINZI if m[1] else "") + stack + "".join(_MEDIALS.get(c, "") for c in m[4])
+
+
 def to_unicode(text: str) -> str:
     """Legacy text as Unicode: signs by their meaning, all at once, and then each syllable in its order of sound. Text without Burmese stays as it is."""
-    moved = lambda m: (KINZI_UNICODE if m[4] else "") + m[3] + m[5] + "".join(sorted(m[2] + m[6])) + m[1]
-    return _LEGACY_SYLLABLE.sub(moved, text.translate(_TO_UNICODE))
+    return _LEGACY_MOVED.sub(lambda m: _syllable_to_unicode(m[0]), _SIGN.sub(_sign, text))
 
 
 def to_legacy(text: str) -> str:
     """Unicode text in the legacy encoding; the inverse of ``to_unicode`` for text in canonical order. A stack without a legacy code point stays one."""
-
-    def syllable(m: re.Match) -> str:
-        stack = chr(STACKED[ord(m[3][1])]) if m[3] and ord(m[3][1]) in STACKED else m[3]
-        consonant = "ႆ" if m[2] == "ဿ" else m[2]
-        return m[5] + ("ျ" if RA in m[4] else "") + consonant + (KINZI if m[1] else "") + stack + "".join(_MEDIALS.get(c, "") for c in m[4])
-
-    out, at = [], 0
-    for m in _SYLLABLE.finditer(text):
-        out += [text[at : m.start()].replace(ASAT, "္"), syllable(m)]
-        at = m.end()
-    return "".join([*out, text[at:].replace(ASAT, "္")])
+    return _CHANGED.sub(lambda m: _syllable_to_legacy(m[0]), text)
 
 
 FIRST, LAST = 0x1000, 0x109F
@@ -76,8 +94,10 @@ def _windows(text: str) -> np.ndarray:
     symbols = np.concatenate([[end] * (WIDTH - 1), np.where(inside, points - FIRST, end), [end]])
     codes = np.zeros(len(points) + 1, np.int64)
     for k in range(WIDTH):
-        codes = codes * SYMBOLS + symbols[k : k + len(codes)]
-    return np.unique(codes)
+        codes *= SYMBOLS
+        codes += symbols[k : k + len(codes)]
+    codes.sort()  # np.unique takes several times as long
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,36 +116,48 @@ def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray
 class Detector:
     """Two Markov chains: a symbol's probability after the four before it, mixed with that after three, and so on to none.
 
-    ``windows`` and, for legacy texts and others, the numbers of texts that have each.
+    ``windows`` and, for legacy texts and others, the numbers of texts that have each. What a known window says is worked out once, not for each text.
     """
 
     def __init__(self, windows: np.ndarray, counts: np.ndarray, smoothing: float = 0.5, prior: float = 0.0):
         self.smoothing, self.prior = smoothing, prior
         self.tables = [(_summed(windows % SYMBOLS**k, counts), _summed(windows // SYMBOLS % SYMBOLS ** (k - 1), counts)) for k in range(1, WIDTH + 1)]
+        self.known = self.tables[-1][0][0]
+        self.evidence = self._weighed(self.known)
+
+    def _weighed(self, windows: np.ndarray) -> np.ndarray:
+        """The log odds that each window adds."""
+        likely = np.full((2, len(windows)), 1 / SYMBOLS)
+        for k, (spans, contexts) in enumerate(self.tables, 1):
+            likely = (_found(spans, windows % SYMBOLS**k) + self.smoothing * likely) / (_found(contexts, windows // SYMBOLS % SYMBOLS ** (k - 1)) + self.smoothing)
+        old, new = np.log(likely)
+        return old - new
 
     def __call__(self, text: str) -> float:
         """The probability that a text is in the legacy encoding; 0 without a code point of the block."""
         windows = _windows(text)
         if not len(windows):
             return 0.0
-        likely = np.full((2, len(windows)), 1 / SYMBOLS)
-        for k, (spans, contexts) in enumerate(self.tables, 1):
-            likely = (_found(spans, windows % SYMBOLS**k) + self.smoothing * likely) / (_found(contexts, windows // SYMBOLS % SYMBOLS ** (k - 1)) + self.smoothing)
-        old, new = np.log(likely).sum(axis=1)
-        return float(1 / (1 + np.exp(-np.clip(self.prior + old - new, -500, 500))))
+        at = np.searchsorted(self.known, windows)
+        seen = at < len(self.known)
+        seen[seen] = self.known[at[seen]] == windows[seen]
+        odds = self.evidence[at[seen]].sum() + self._weighed(windows[~seen]).sum()
+        return float(1 / (1 + np.exp(-np.clip(self.prior + odds, -500, 500))))
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of texts (text, legacy), with the numbers of legacy texts and of others that have them, about a million at a time."""
+    """Windows of texts (text, legacy), with the numbers of legacy texts and of others that have them, about a million at a time. Nulls don't count."""
 
     def give(held: tuple[list, list]) -> pa.RecordBatch:
-        of = [np.concatenate([np.zeros(0, np.int64), *x]) for x in held]
-        keys, counts = _summed(np.concatenate(of), np.repeat(np.eye(2), [len(x) for x in of], axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c.astype(np.int64)) for c in counts)], names=["window", "old", "new"])
+        (old, n_old), (new, n_new) = (np.unique(np.concatenate([np.zeros(0, np.int64), *x]), return_counts=True) for x in held)
+        counts = np.concatenate([n_old, 0 * n_new]), np.concatenate([0 * n_old, n_new])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([old, new])), *(pa.array(c.astype(np.int64)) for c in counts)], names=["window", "old", "new"])
 
     held, size = ([], []), 0
     for batch in batches:
         for text, legacy in zip(batch.column(0), batch.column(1), strict=True):
+            if not (text.is_valid and legacy.is_valid):
+                continue
             own = _windows(text.as_py())
             held[0 if legacy.as_py() else 1].append(own)
             size += len(own)
@@ -136,10 +168,15 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give(held)
 
 
+def window_counts(texts: DataFrame, text_col: str = "text", legacy_col: str = "legacy") -> DataFrame:
+    """Each window with the numbers of legacy texts and of others that have it. Nulls are left out where windows are read: a filter on the text
+    would go below a Python step that makes it, which would then run twice."""
+    rows = texts.select(F.col(text_col), F.col(legacy_col)).mapInArrow(_counted, "window long, old long, new long")
+    return rows.groupBy("window").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+
+
 def fit_detector(texts: DataFrame, text_col: str = "text", legacy_col: str = "legacy", smoothing: float = 0.5, most: int = MOST) -> Detector:
     """A detector from texts that are known to be legacy or not. Windows are counted in Spark, in both chains at once; the driver gets ``most`` of them at most.
     Null texts and unknown encodings (null) don't count."""
-    rows = texts.where(F.col(text_col).isNotNull() & F.col(legacy_col).isNotNull()).select(F.col(text_col), F.col(legacy_col))
-    counts = rows.mapInArrow(_counted, "window long, old long, new long").groupBy("window").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
-    kept = counts.orderBy(F.desc(F.col("old") + F.col("new")), "window").limit(most).toPandas()
+    kept = window_counts(texts, text_col, legacy_col).orderBy(F.desc(F.col("old") + F.col("new")), "window").limit(most).toPandas()
     return Detector(kept["window"].to_numpy(np.int64), kept[["old", "new"]].to_numpy(float).T, smoothing)

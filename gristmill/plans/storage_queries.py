@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.constants import BENCHMARK_CONFIGS, DIMENSIONS
 from gristmill.functions.legacy import fit_detector, to_legacy, to_unicode
@@ -165,21 +168,24 @@ def masked_means(spark, sf):
 LATIN, BURMESE = "abcdefghijklmnopqrstuvwxyz", ("\u102c", "\u1017", "\u1000\u103b", "\u1012", "\u1031", "\u1016", "\u1002", "\u101f", "\u102d", "\u1007", "\u1000", "\u101c", "\u1019", "\u1014", "\u102f", "\u1015\u103c", "\u1000\u103d", "\u101b", "\u101e", "\u1010", "\u1030", "\u1018", "\u101d\u103e", "\u1001", "\u101a", "\u1005")
 
 
+#: Letters without a place in such a text: vowels need a consonant before them.
+_DROPPED = re.compile("[aeiou](?<![b-df-hj-np-tv-z].)|[^a-z ]")
+_SPELLED = str.maketrans(dict(zip(LATIN, BURMESE, strict=True)))
+
+
+@F.pandas_udf(T.StructType().add("right", T.StringType()).add("text", T.StringType()))
+def _spelled(texts: pd.Series, legacy: pd.Series) -> pd.DataFrame:
+    """Lower-case texts in Burmese letters, and as they are stored; both in one step, as texts are what takes time to pass."""
+    right = [t if t is None else _DROPPED.sub("", t).translate(_SPELLED) for t in texts]
+    return pd.DataFrame({"right": right, "text": [to_legacy(t) if old and t is not None else t for t, old in zip(right, legacy, strict=True)]}, dtype=object)
+
+
 def _burmese(spark, sf):
     """The documents' consonants and vowels as Burmese syllables; of every other one in the legacy encoding."""
-    text = F.regexp_replace(F.lower("text"), "(?<![b-df-hj-np-tv-z])[aeiou]+|[^a-z ]", "")  # vowels need a consonant before them
-    text = F.regexp_replace(text, "([aeiou])[aeiou]+", "$1")
-    for latin, burmese in zip(LATIN, BURMESE, strict=True):
-        text = F.replace(text, F.lit(latin), F.lit(burmese))
-    consonants = F.length(F.regexp_replace(F.lower("text"), "[^b-df-hj-np-tv-z]", ""))
-    rows = load(spark, sf, "documents").select("doc_id", text.alias("right"), consonants.alias("n"))
-
-    @F.pandas_udf("string")
-    def old(texts: pd.Series) -> pd.Series:
-        return texts.map(to_legacy)
-
-    legacy = F.col("doc_id") % 2 == 1
-    return rows.select("doc_id", "n", "right", legacy.alias("legacy"), F.when(legacy, old("right")).otherwise(F.col("right")).alias("text"))
+    lower, legacy = F.lower("text"), F.col("doc_id") % 2 == 1
+    consonants = F.length(lower) - F.length(F.translate(lower, "bcdfghjklmnpqrstvwxyz", ""))
+    rows = load(spark, sf, "documents").select("doc_id", consonants.alias("n"), legacy.alias("legacy"), _spelled(lower, legacy).alias("spelled"))
+    return rows.select("doc_id", "n", "spelled.right", "legacy", "spelled.text")
 
 
 def legacy_repair(spark, sf):

@@ -73,3 +73,45 @@ def test_repeated_words_and_words_that_differ_late(spark):
 def test_no_text_to_learn_from(spark):
     nothing = legacy.fit_detector(spark.createDataFrame([(None, True), ("abc", False)], "text string, legacy boolean"))
     assert nothing(WORDS[0][0]) == pytest.approx(0.5)
+
+
+def test_syllables_converted_as_matches_equal_whole_syllables():
+    """Any string of the block, also one that is no text, becomes what the plain rule gives: each syllable in turn, changed or not."""
+    rng = random.Random(3)
+
+    def plain_unicode(text):
+        moved = lambda m: (legacy.KINZI_UNICODE if m[4] else "") + m[3] + m[5] + "".join(sorted(m[2] + m[6])) + m[1]
+        return legacy._LEGACY_SYLLABLE.sub(moved, text.translate(legacy._TO_UNICODE))
+
+    def plain_legacy(text):
+        out, at = [], 0
+        for m in legacy._SYLLABLE.finditer(text):
+            out += [text[at : m.start()].replace(legacy.ASAT, "္"), legacy._syllable_to_legacy.__wrapped__(m[0])]
+            at = m.end()
+        return "".join([*out, text[at:].replace(legacy.ASAT, "္")])
+
+    for _ in range(20_000):
+        text = "".join(rng.choice("ေြ်ျွှ္ငကဿသၤ ႆ၁") if rng.random() < 0.75 else chr(rng.randint(legacy.FIRST, legacy.LAST)) for _ in range(rng.randint(0, 14)))
+        assert legacy.to_unicode(text) == plain_unicode(text) and legacy.to_legacy(text) == plain_legacy(text)
+
+
+def test_work_is_for_different_syllables_and_windows_only(spark, monkeypatch):
+    """A long text costs a conversion for each different syllable, and the detector works out windows that it has not learned only."""
+    text = syllables(random.Random(4), 300) + "ကောင်း ကျေ " * 20_000
+    legacy._syllable_to_legacy.cache_clear(), legacy._syllable_to_unicode.cache_clear()
+    assert legacy.to_unicode(legacy.to_legacy(text)) == text
+    assert max(legacy._syllable_to_legacy.cache_info().misses, legacy._syllable_to_unicode.cache_info().misses) < 1000
+    detector, done = legacy.fit_detector(spark.createDataFrame([(legacy.to_legacy(text), True), (text, False)], "text string, legacy boolean")), []
+    monkeypatch.setattr(legacy.Detector, "_weighed", lambda self, windows: done.append(len(windows)) or 0 * windows.astype(float))
+    assert detector(text) < 0.5 < detector(legacy.to_legacy(text)) and sum(done) == 0
+    assert detector("ဿဿ") == 0.5 and sum(done) > 0
+
+
+def test_texts_are_made_once(spark):
+    """Windows are counted over one Python step that makes the texts; a filter on them had made it two."""
+    from compare import SF
+    from gristmill.plans.storage_queries import _burmese
+
+    counts = legacy.window_counts(_burmese(spark, SF).where("doc_id % 4 < 2"))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
