@@ -20,7 +20,7 @@ from gristmill.plans.corpus_queries import SP, _weighted
 from gristmill.plans.evaluation_queries import HEADS, MCQ, PREDICTED, mcq, predictions
 from gristmill.session import load
 from gristmill.sources import bundles, readers, writers
-from gristmill.storage import Workspace
+from gristmill.storage import WHILE_WRITING, Workspace, settings
 
 LANGS = ["en", "de", "es", "fr"]
 
@@ -192,9 +192,11 @@ def legacy_repair(spark, sf):
     """Texts of which a fitted detector finds the legacy ones, and how many come back as they were. It is fitted on other documents than it judges."""
     rows = _burmese(spark, sf)
     known = F.floor(F.col("doc_id") / 2) % 2 == 0
-    detector = fit_detector(rows.where(known))
+    with settings(spark, WHILE_WRITING):  # texts in small batches, here and below
+        detector = fit_detector(rows.where(known))
     fixed = repair(rows.where(~known & (F.col("n") > 20)), "text", detector, to_unicode)
-    return fixed.groupBy("legacy").agg(F.count("*").alias("n_rows"), F.count_if("converted").alias("n_converted"), F.count_if(F.col("text") == F.col("right")).alias("n_right"))
+    counts = fixed.groupBy("legacy").agg(F.count("*").alias("n_rows"), F.count_if("converted").alias("n_converted"), F.count_if(F.col("text") == F.col("right")).alias("n_right"))
+    return Workspace(spark, "repair").write(counts, "counts")
 
 
 def null_texts(spark, sf):

@@ -115,3 +115,13 @@ def test_texts_are_made_once(spark):
     counts = legacy.window_counts(_burmese(spark, SF).where("doc_id % 4 < 2"))
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    from compare import SF
+    from gristmill.plans import storage_queries as Q
+
+    fit, sizes = Q.fit_detector, []
+    monkeypatch.setattr(Q, "fit_detector", lambda rows: sizes.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or fit(rows))
+    plan = Q.legacy_repair(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sizes == ["8m"] and "Python" not in plan
